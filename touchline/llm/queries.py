@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import piece_bpe
+from touchline.llm import chat, piece_bpe, quality, secrets
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,9 +24,41 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.round_trip(docs, tokenizer_file("piece_bpe_32k.model")).drop("text"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_chat(turns))
+
+
+def remainder(modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(table(spark, sf_dir, "documents"), labels, remainder(5) == 0, QUALITY_THRESHOLD)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.scan(docs).drop("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op6_chat": op6_chat,
+        "op8_quality": op8_quality,
+        "op9_secrets": op9_secrets,
     }
 
 
