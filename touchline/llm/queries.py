@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, piece_bpe, quality, secrets
+from touchline.llm import chat, decontaminate, piece_bpe, quality, secrets
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,6 +35,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text"))
+
+
 def remainder(modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op6_chat": op6_chat,
+        "op7_decontaminate": op7_decontaminate,
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
     }
