@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, decontaminate, piece_bpe, quality, secrets
+from touchline.llm import chat, decontaminate, jaccard, piece_bpe, quality, secrets
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_bpe.digests(piece_bpe.round_trip(docs, tokenizer_file("piece_bpe_32k.model")).drop("text"))
@@ -60,6 +64,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard": op1_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
         "op6_chat": op6_chat,
         "op7_decontaminate": op7_decontaminate,
