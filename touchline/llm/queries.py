@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, decontaminate, jaccard, piece_bpe, quality, secrets
+from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, piece_bpe, quality, secrets
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.round_trip(docs, tokenizer_file("piece_bpe_32k.model")).drop("text"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digests(fingerprint.fingerprint_with_next(table(spark, sf_dir, "documents")))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -66,10 +74,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_fingerprint": op5_fingerprint,
         "op6_chat": op6_chat,
         "op7_decontaminate": op7_decontaminate,
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
