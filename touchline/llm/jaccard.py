@@ -43,7 +43,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles that a map task gathers before it sends blocks.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Rows of a tile and columns of a block in the product.
 TILE, COLUMNS = 512, 4096
 _U = np.uint64
@@ -132,7 +132,7 @@ _COLUMN, _ROW, _COMMON = 0, 1, 2
 
 
 def linkable_sets(docs: DataFrame, blocks: int, shingle: int = SHINGLE) -> DataFrame:
-    """Steps 2: ``id, n, shingles`` (sorted, shared ones only) of the sets that share 3/4 of their shingles, by ``chunk``."""
+    """Step 2: ``id, n, shingles`` (sorted, shared ones only) of the sets that share 3/4 of their shingles, by ``chunk``."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], None] = {}

@@ -385,12 +385,13 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFram
     return map_columns(docs, run, fields)
 
 
-def digests(round_tripped: DataFrame) -> DataFrame:
-    """Per document: how many ids, and digests of the ids and of the decoded text."""
+def digests(round_tripped: DataFrame, *more: str) -> DataFrame:
+    """Per document: how many ids, and digests of the ids and of the decoded text; ``more`` names columns to keep."""
     spelled = F.array_join(F.col("ids").cast("array<string>"), " ")
     return round_tripped.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(spelled, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, piece_bpe, quality, secrets
+from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, piece_bpe, quality, secrets, shards
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.round_trip(docs, tokenizer_file("piece_bpe_32k.model")).drop("text"))
 
 
+#: The key of the training order; another key gives another order.
+ORDER_KEY = b"training order 1"
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shards.read_back(shards.materialise(docs, tokenizer_file("byte_bpe_50k.tiktoken"), ORDER_KEY))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digests(fingerprint.fingerprint_with_next(table(spark, sf_dir, "documents")))
 
@@ -74,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
+        "op4_token_shards": op4_token_shards,
         "op5_fingerprint": op5_fingerprint,
         "op6_chat": op6_chat,
         "op7_decontaminate": op7_decontaminate,
