@@ -33,24 +33,27 @@ BLOCK = 9
 _EXACT_MASK, _SKETCH_MASK = (1 << EXACT_BITS) - 1, (1 << SKETCH_BITS) - 1
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; a lambda's outer expressions are otherwise worked out at each step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def exact_lanes(text: Column) -> Column:
     """The exact lanes of a text, an array of longs."""
-    hashed = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 512))
     width = EXACT_BITS // 4
-    lane = lambda h, k: F.conv(F.substring(h, k * width + F.lit(1), F.lit(width)), 16, 10).cast("long")
-    of = lambda k: F.aggregate(hashed, F.lit(0).cast("long"), lambda a, h: (a + lane(h, k)).bitwiseAND(F.lit(_EXACT_MASK)))
-    return F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), of)
+    hashed = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 512))
+    lane = lambda h, k: F.conv(F.substring(h, 1 + k * width, width), 16, 10).cast("long")
+    of = lambda hs, k: F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + lane(h, k)).bitwiseAND(F.lit(_EXACT_MASK)))
+    return _let(hashed, lambda hs: F.array(*[of(hs, k) for k in range(EXACT)]))
 
 
 def sketch_lanes(text: Column) -> Column:
     """The sketch lanes of a text, an array of longs in 0 .. 2**16 - 1."""
     hashes = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.xxhash64(F.lit(11), s))
     # the sum of signs is twice the number of set bits less the number of sentences
-    return F.transform(F.array(*[_bits_at(hashes, k) for k in range(SKETCH)]), lambda ones: (ones * 2 - F.size(hashes)).bitwiseAND(F.lit(_SKETCH_MASK)).cast("long"))
-
-
-def _bits_at(hashes: Column, k: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1).cast("long")))
+    ones = lambda hs, k: F.size(F.filter(hs, lambda h: F.getbit(h, F.lit(k)) == 1))
+    lane = lambda hs, k: (ones(hs, k) * 2 - F.size(hs)).bitwiseAND(F.lit(_SKETCH_MASK)).cast("long")
+    return _let(hashes, lambda hs: F.array(*[lane(hs, k) for k in range(SKETCH)]))
 
 
 def lanes(text: Column) -> Column:
@@ -84,8 +87,8 @@ def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints, else the cosine of the sketches, not below 0."""
     signed = lambda x: F.when(x >= 1 << SKETCH_BITS - 1, x - (1 << SKETCH_BITS)).otherwise(x).cast("double")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: signed(u) * signed(v)), F.lit(0.0), lambda s, u: s + u)
-    size = F.sqrt(dot(a["sketch"], a["sketch"]) * dot(b["sketch"], b["sketch"]))
-    cosine = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(size > 0, dot(a["sketch"], b["sketch"]) / size).otherwise(0.0)))
+    inside = lambda xy, size: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(size > 0, xy / F.sqrt(size)).otherwise(0.0)))
+    cosine = inside(dot(a["sketch"], b["sketch"]), dot(a["sketch"], a["sketch"]) * dot(b["sketch"], b["sketch"]))
     return F.when(a["exact"] == b["exact"], F.lit(1.0)).otherwise(cosine)
 
 
