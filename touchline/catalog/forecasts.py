@@ -1 +1,358 @@
-QUERIES = {}
+"""Queries over forecasts: score matrices, ensembles, metrics, searches, exports, models."""
+
+from __future__ import annotations
+
+from datetime import date
+from math import factorial
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from touchline.catalog.features import _clean, _r
+from touchline.functions import scalar
+from touchline.operators import metrics, models, scores
+from touchline.params import DEFAULT
+from touchline.plans import export, weekly
+from touchline.sources import adapters as A
+
+RHO = -0.03
+T = 0.92
+MASKS = {"all": "true", "domestic": "not is_uefa", "uefa": "is_uefa", "second_tier": "tier = 2", "uefa_main": "is_uefa and tier = 1"}
+
+
+def _forecasts(spark, d) -> DataFrame:
+    """Two components' probabilities, from positive weights."""
+    f = A.forecasts(spark, d)
+    total = {c: F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2") for c in "ab"}
+    return f.select("match_id", "d", "y", "is_uefa", "tier", "lh", "la", *[(F.col(f"{c}{k}") / total[c]).alias(f"{c}{k}") for c in "ab" for k in range(3)])
+
+
+PROBABILITIES = "SELECT match_id, d, y, is_uefa, tier, lh, la, " + ", ".join(f"{c}{k}/({c}0 + {c}1 + {c}2) AS {c}{k}" for c in "ab" for k in range(3)) + " FROM forecasts"
+_PMF = {s: [f"exp(-{lam})*pow({lam}, {k}e0)/{float(factorial(k))!r}" for k in range(11)] for s, lam in (("h", "lh"), ("a", "la"))}
+CELLS = """SELECT match_id, i, j, p/sum(p) OVER (PARTITION BY match_id) AS p FROM (SELECT match_id, i, j, greatest(0e0, list_extract(ph, cast(i + 1 AS bigint))*list_extract(pa, cast(j + 1 AS bigint))*
+ CASE WHEN i = 0 AND j = 0 THEN 1e0 - lh*la*({rho}) WHEN i = 0 AND j = 1 THEN 1e0 + lh*({rho}) WHEN i = 1 AND j = 0 THEN 1e0 + la*({rho}) WHEN i = 1 AND j = 1 THEN 1e0 - ({rho}) ELSE 1e0 END) AS p
+ FROM (SELECT match_id, lh, la, [{h}] AS ph, [{a}] AS pa FROM forecasts WHERE match_id % 10 = 1) x, range(0, 11) r(i), range(0, 11) c(j)) y""".replace("{rho}", str(RHO)).replace("{h}", ", ".join(_PMF["h"])).replace("{a}", ", ".join(_PMF["a"]))
+
+
+def _f(sql: str, *, cells: bool = False, **more: str) -> str:
+    return A.with_views(sql, "forecasts", q=PROBABILITIES, **({"cells": CELLS} if cells else {}), **more)
+
+
+def _tenth(spark, d) -> DataFrame:
+    """Every tenth match, as a matrix has 121 cells."""
+    return _forecasts(spark, d).where("match_id % 10 = 1")
+
+
+def poisson_score_matrix(spark, d):
+    m = _tenth(spark, d).select("match_id", scores.matrix("lh", "la", RHO).alias("m"))
+    return scores.cells(m, "m", "match_id").select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _r("p", 9).alias("p"))
+
+
+def dixon_coles_wdl(spark, d):
+    m = _tenth(spark, d).withColumn("r", scores.regions(scores.matrix("lh", "la", RHO)))
+    return m.select("match_id", *[_r(f"r.{n}", 9).alias(n) for n in ("home", "draw", "away")])
+
+
+REGIONS = "SELECT match_id, sum(CASE WHEN i > j THEN p ELSE 0e0 END) AS home, sum(CASE WHEN i = j THEN p ELSE 0e0 END) AS draw, sum(CASE WHEN i < j THEN p ELSE 0e0 END) AS away FROM cells GROUP BY match_id"
+
+
+def consistent_matrix(spark, d):
+    m = _tenth(spark, d).withColumn("m", scores.consistent(scores.matrix("lh", "la", RHO), ["a0", "a1", "a2"]))
+    return scores.cells(m.select("match_id", "m"), "m", "match_id").where("i < 3 and j < 3").select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _r("p", 9).alias("p"))
+
+
+CONSISTENT = _f("SELECT c.match_id, i, j, round(p*CASE WHEN i > j THEN a0/greatest(home, 1e-6) WHEN i = j THEN a1/greatest(draw, 1e-6) ELSE a2/greatest(away, 1e-6) END, 9) AS p FROM cells c JOIN r ON r.match_id = c.match_id JOIN q ON q.match_id = c.match_id WHERE i < 3 AND j < 3", cells=True, r=REGIONS)
+
+
+def top_scores(spark, d):
+    m = _tenth(spark, d).select("match_id", scores.top_scores(scores.matrix("lh", "la", RHO), 5).alias("t"))
+    return m.select("match_id", F.posexplode("t").alias("n", "t")).select("match_id", F.col("n").cast("long").alias("n"), F.col("t.score").alias("score"), _r("t.p", 9).alias("p"))
+
+
+TOP = _f("SELECT match_id, n - 1 AS n, i || '-' || j AS score, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, i, j) AS n FROM cells) r WHERE n <= 5", cells=True)
+
+
+def score_sampling(spark, d):
+    m = _tenth(spark, d).withColumn("u", (F.col("match_id") * 7919 % 1000) / 1000.0 + 0.0005)
+    return m.withColumn("s", scores.sample(scores.matrix("lh", "la", RHO), "u")).select("match_id", F.col("s.home").cast("long").alias("home"), F.col("s.away").cast("long").alias("away"))
+
+
+SAMPLED = _f(
+    "SELECT match_id, cast(floor(k/11) AS bigint) AS home, cast(k % 11 AS bigint) AS away FROM (SELECT match_id, coalesce(min(CASE WHEN c > (match_id*7919 % 1000)/1000e0 + 0.0005e0 THEN k END), 120) AS k FROM (SELECT match_id, i*11 + j AS k, sum(p) OVER (PARTITION BY match_id ORDER BY i, j) AS c FROM cells) s GROUP BY match_id) x",
+    cells=True,
+)
+
+
+def extra_time(spark, d):
+    m = _tenth(spark, d).withColumn("u", (F.col("match_id") * 104729 % 1000) / 1000.0 + 0.0005)
+    return m.select("match_id", _r(scores.extra_time("lh"), 9).alias("lambda"), scores.poisson_draw(scores.extra_time("lh"), "u").cast("long").alias("goals"))
+
+
+EXTRA = _f(
+    "SELECT match_id, round(max(lam), 9) AS lambda, coalesce(min(CASE WHEN c > (match_id*104729 % 1000)/1000e0 + 0.0005e0 THEN k END), 10) AS goals FROM (SELECT match_id, lam, k, sum(exp(-lam)*pow(lam, k)/gamma(k + 1)) OVER (PARTITION BY match_id ORDER BY k) AS c FROM (SELECT match_id, lh*30e0/90e0 AS lam, k FROM q, range(0, 11) t(k) WHERE match_id % 10 = 1) x) s GROUP BY match_id"
+)
+
+
+def temperature_softmax(spark, d):
+    p = scalar.temperature(["a0", "a1", "a2"], T)
+    return _forecasts(spark, d).select("match_id", *[_r(c, 9).alias(f"p{k}") for k, c in enumerate(p)])
+
+
+_POW = [f"exp(ln(greatest(least({{}}{k}, 1e0), 1e-6))/{T})" for k in range(3)]
+
+
+def _tempered(c: str) -> list[str]:
+    parts = [x.format(c) for x in _POW]
+    return [f"{x}/({' + '.join(parts)})" for x in parts]
+
+
+TEMPERATURE = _f("SELECT match_id, " + ", ".join(f"round({x}, 9) AS p{k}" for k, x in enumerate(_tempered("a"))) + " FROM q")
+
+
+def _combined(df: DataFrame) -> DataFrame:
+    m = df.withColumn("_w", scores.regions(scores.matrix("lh", "la", RHO))).withColumns({f"c{k}": F.col(f"_w.{n}") for k, n in enumerate(("home", "draw", "away"))})
+    final = scalar.combine({n: [f"{c}{k}" for k in range(3)] for n, c in (("classifier", "a"), ("logistic", "b"), ("poisson", "c"))}, DEFAULT.weights, T)
+    return m.withColumns({f"p{k}": p for k, p in enumerate(final)})
+
+
+def ensemble_combine(spark, d):
+    return _combined(_tenth(spark, d)).select("match_id", *[_r(f"p{k}", 8).alias(f"p{k}") for k in range(3)])
+
+
+COMBINED = _f(
+    "SELECT match_id, " + ", ".join(f"round({x}, 8) AS p{k}" for k, x in enumerate(_tempered("m"))) + " FROM mixed", cells=True, r=REGIONS,
+    mixed="SELECT q.match_id, " + ", ".join(f"(0.45e0*a{k} + 0.25e0*b{k} + 0.3e0*{n})/(0.45e0*(a0 + a1 + a2) + 0.25e0*(b0 + b1 + b2) + 0.3e0*(home + draw + away)) AS m{k}" for k, n in enumerate(("home", "draw", "away"))) + " FROM q JOIN r ON r.match_id = q.match_id",
+)
+
+_LOSS = "-ln(least(1 - 1e-15, greatest(1e-15, CASE y WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END)))"
+_TOP = "CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END"
+_BRIER = " + ".join(f"pow(a{k} - CASE WHEN y = {k} THEN 1e0 ELSE 0e0 END, 2)" for k in range(3))
+_EVAL = f"count(*) AS n, round(avg(CASE WHEN {_TOP} = y THEN 1e0 ELSE 0e0 END), 9) AS accuracy, round(avg({_LOSS}), 9) AS log_loss, round(avg({_BRIER}), 9) AS brier"
+P = ["a0", "a1", "a2"]
+
+
+def _rounded(df: DataFrame, *keep: str, n: int = 9) -> DataFrame:
+    return df.select(*keep, *[_r(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keep])
+
+
+def logloss_brier_accuracy(spark, d):
+    return _rounded(_forecasts(spark, d).agg(*metrics.evaluation("y", P)))
+
+
+def objective_half_half(spark, d):
+    return _rounded(_forecasts(spark, d).agg(*metrics.objective("y", P, F.col("is_uefa"))))
+
+
+OBJECTIVE = _f(f"SELECT round(0.5e0*(x + u), 9) AS objective, round(x, 9) AS log_loss_all, round(u, 9) AS log_loss_uefa FROM (SELECT avg({_LOSS}) AS x, avg(CASE WHEN is_uefa THEN {_LOSS} END) AS u FROM q) s")
+
+
+def subset_metrics(spark, d):
+    """Both components and their mean, on every subset, in one pass."""
+    f = _forecasts(spark, d)
+    named = lambda n, ps: F.struct(F.lit(n).alias("model"), *[p.alias(f"a{k}") for k, p in enumerate(ps)])
+    first, second = [F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)]
+    long = f.select("y", "is_uefa", "tier", F.inline(F.array(named("first", first), named("second", second), named("mean", [(x + z) / 2 for x, z in zip(first, second)]))))
+    out = metrics.subsets(long, {n: F.expr(m) for n, m in MASKS.items()}).groupBy("model", "subset").agg(*metrics.evaluation("y", P))
+    return _rounded(out, "model", "subset")
+
+
+SUBSETS = _f(
+    f"SELECT model, subset, {_EVAL} FROM long JOIN (VALUES " + ", ".join(f"('{n}')" for n in MASKS) + ") s(subset) ON CASE subset " + " ".join(f"WHEN '{n}' THEN {m}" for n, m in MASKS.items()) + " END GROUP BY model, subset",
+    long="SELECT 'first' AS model, y, is_uefa, tier, a0, a1, a2 FROM q UNION ALL SELECT 'second', y, is_uefa, tier, b0, b1, b2 FROM q UNION ALL SELECT 'mean', y, is_uefa, tier, (a0 + b0)/2, (a1 + b1)/2, (a2 + b2)/2 FROM q",
+)
+
+
+def calibration_bins(spark, d):
+    t = metrics.calibration(_forecasts(spark, d), "y", P)
+    return t.select("target", F.col("bin").cast("int").alias("bin"), "count", *[_r(c, 9).alias(c) for c in ("mean_predicted", "observed_rate", "gap")])
+
+
+_EDGES = " + ".join(f"CASE WHEN p >= {k / 10!r}e0 THEN 1 ELSE 0 END" for k in range(1, 10))
+TARGETS = f"""SELECT 'home_win' AS target, a0 AS p, CASE WHEN y = 0 THEN 1e0 ELSE 0e0 END AS hit FROM q UNION ALL SELECT 'draw', a1, CASE WHEN y = 1 THEN 1e0 ELSE 0e0 END FROM q
+ UNION ALL SELECT 'away_win', a2, CASE WHEN y = 2 THEN 1e0 ELSE 0e0 END FROM q UNION ALL SELECT 'top_label', greatest(a0, a1, a2), CASE WHEN {_TOP} = y THEN 1e0 ELSE 0e0 END FROM q"""
+BINS = f"SELECT target, cast({_EDGES} AS int) AS bin, count(*) AS count, avg(p) AS mean_predicted, avg(hit) AS observed_rate FROM targets GROUP BY 1, 2"
+
+
+def ece(spark, d):
+    return _rounded(metrics.calibration_error(metrics.calibration(_forecasts(spark, d), "y", P)), "target")
+
+
+def time_decay_weight(spark, d):
+    m = A.matches(spark, d)
+    return m.select("match_id", _r(scalar.time_weight("d", F.lit(date(2002, 1, 1)), 4.0), 9).alias("weight"))
+
+
+def null_rate_profile(spark, d):
+    m = A.matches(spark, d).withColumn("constant", F.lit(1)).withColumn("absent", F.lit(None).cast("double"))
+    return _rounded(metrics.profile(m, ["home_shots", "odds_home", "odds_away", "tier", "constant", "absent"]), "column")
+
+
+PROFILE = A.with_views(
+    " UNION ALL ".join(f"SELECT '{c}' AS column, round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 9) AS null_rate, count(DISTINCT {c}) AS n_distinct, avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) < 1 AND count(DISTINCT {c}) > 1 AS usable FROM m" for c in ("home_shots", "odds_home", "odds_away", "tier", "constant", "absent")),
+    "matches", m="SELECT *, 1 AS constant, cast(NULL AS double) AS absent FROM matches",
+)
+
+
+def rolling_origin_folds(spark, d):
+    f = models.assign_folds(A.matches(spark, d), models.folds(date(2001, 7, 1)))
+    return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
+
+
+FOLDS = A.with_views(
+    """SELECT cast(fold AS int) AS fold, role, count(*) AS n, min(d) AS first, max(d) AS last FROM (SELECT f.k AS fold, d, CASE WHEN d < make_date(1996 + f.k, 7, 1) THEN 'fit' WHEN d < make_date(1997 + f.k, 7, 1) THEN 'stop' WHEN d < make_date(1998 + f.k, 7, 1) THEN 'val' END AS role
+ FROM matches, (VALUES (0), (1), (2), (3)) f(k)) x WHERE role IS NOT NULL GROUP BY 1, 2""",
+    "matches",
+)
+
+
+def weight_grid_argmin(spark, d):
+    f = _forecasts(spark, d).withColumns({f"c{k}": F.lit(1 / 3) for k in range(3)})
+    g = metrics.weight_grid(f, "y", [["a0", "a1", "a2"], ["b0", "b1", "b2"], ["c0", "c1", "c2"]], F.col("is_uefa"))
+    return _rounded(metrics.first_least(g, "objective", "g").drop("g"))
+
+
+_MIX = [f"(w1*a{k} + w2*b{k} + w3/3e0)" for k in range(3)]
+_MIXLOSS = f"-ln(least(1 - 1e-15, greatest(1e-15, CASE y WHEN 0 THEN {_MIX[0]} WHEN 1 THEN {_MIX[1]} ELSE {_MIX[2]} END)))"
+WEIGHTS = _f(
+    f"SELECT w1, w2, w3, round(0.5e0*(x + u), 9) AS objective, round(x, 9) AS log_loss_all, round(u, 9) AS log_loss_uefa FROM (SELECT w1, w2, w3, avg({_MIXLOSS}) AS x, avg(CASE WHEN is_uefa THEN {_MIXLOSS} END) AS u FROM q, grid GROUP BY 1, 2, 3) s ORDER BY 0.5e0*(x + u), w1, w2 LIMIT 1",
+    grid="SELECT i/20e0 AS w1, j/20e0 AS w2, (20 - i - j)/20e0 AS w3 FROM range(0, 21) a(i), range(0, 21) b(j) WHERE i + j <= 20",
+)
+
+
+def market_reference(spark, d):
+    m = weekly.market_reference(A.matches(spark, d))
+    return m.select("match_id", *[_r(f"m.{n}", 9).alias(n) for n in ("home", "draw", "away")])
+
+
+_OK = "coalesce(odds_home > 1 AND odds_draw > 1 AND odds_away > 1, false)"
+_INV = "(1e0/odds_home + 1e0/odds_draw + 1e0/odds_away)"
+MARKET = A.with_views(f"SELECT match_id, round((1e0/odds_home)/{_INV}, 9) AS home, round((1e0/odds_draw)/{_INV}, 9) AS draw, round((1e0/odds_away)/{_INV}, 9) AS away FROM matches WHERE {_OK}", "matches")
+
+
+def live_performance(spark, d):
+    f = _forecasts(spark, d).withColumnsRenamed({f"a{k}": f"p{k}" for k in range(3)}).select("match_id", "y", "p0", "p1", "p2")
+    m = A.matches(spark, d).select("match_id", "d", "is_uefa", "odds_home", "odds_draw", "odds_away")
+    return _rounded(weekly.live_performance(m.join(f, "match_id"), date(2001, 1, 1)))
+
+
+_BOOK = f"-ln(least(1 - 1e-15, greatest(1e-15, CASE y WHEN 0 THEN 1e0/odds_home WHEN 1 THEN 1e0/odds_draw ELSE 1e0/odds_away END/{_INV})))"
+LIVE = A.with_views(
+    f"""SELECT count(*) AS n, round(avg(l), 9) AS log_loss, count(b) AS n_market, round(avg(CASE WHEN b IS NOT NULL THEN l END), 9) AS model_on_market, round(avg(b), 9) AS market_log_loss, sum(CASE WHEN is_uefa THEN 1 ELSE 0 END)::bigint AS n_uefa,
+ round(avg(CASE WHEN b IS NOT NULL THEN l END) - avg(b), 9) AS gap, round(avg(CASE WHEN is_uefa THEN l END), 9) AS uefa_log_loss FROM (SELECT m.is_uefa, {_LOSS} AS l, CASE WHEN {_OK} THEN {_BOOK} END AS b FROM matches m JOIN q ON q.match_id = m.match_id WHERE m.d > DATE '2001-01-01') x""",
+    "matches", "forecasts", q=PROBABILITIES,
+)
+
+
+def range_summary(spark, d):
+    return metrics.range_summary(A.matches(spark, d), "d", F.col("is_uefa"))
+
+
+def class_frequencies(spark, d):
+    f = A.forecasts(spark, d)
+    total = F.sum(F.count(F.lit(1))).over(Window.partitionBy("one"))
+    return f.withColumn("one", F.lit(1)).groupBy("one", "y").agg(F.count(F.lit(1)).alias("n"), _r(F.count(F.lit(1)) / total, 9).alias("share")).drop("one")
+
+
+def export_nested_json(spark, d):
+    """One JSON document for each competition: home, away, stage, probabilities."""
+    mapping = A.table(spark, d, "supplier").selectExpr("cast(s_nationkey AS string) AS competition", "s_name AS name", "s_suppkey AS key")
+    f = export.fixtures(mapping, "2026-09-01")
+    rated = f.withColumn("lambda_home", 0.5 + F.pmod(F.xxhash64("home"), F.lit(200)) / 100.0).withColumn("lambda_away", 0.5 + F.pmod(F.xxhash64("away"), F.lit(200)) / 100.0)
+    m = rated.withColumn("r", scores.regions(scores.matrix("lambda_home", "lambda_away", RHO))).withColumn("elo_missing", F.col("home_key") % 17 == 0)
+    return export.nested(m.withColumns({c: F.col(f"r.{n}") for c, n in zip(DEFAULT.class_labels, ("home", "draw", "away"))}))
+
+
+def export_round_trip(spark, d):
+    """The documents read back: how many predictions, and the sums of their numbers."""
+    docs = export_nested_json(spark, d)
+    parsed = docs.select("competition", F.from_json("document", "map<string,map<string,map<string,struct<p:array<double>,lambda:array<double>>>>>").alias("m"))
+    flat = parsed.select("competition", F.explode("m").alias("home", "m")).select("competition", "home", F.explode("m").alias("away", "m")).select("competition", "home", "away", F.explode("m").alias("stage", "v"))
+    return flat.groupBy("competition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("home").alias("n_home"))
+
+
+TRIP = """WITH s AS (SELECT cast(s_nationkey AS varchar) AS competition, s_name, s_suppkey FROM supplier)
+ SELECT h.competition, count(*)*3 AS n, count(DISTINCT h.s_name) AS n_home FROM s h JOIN s a ON a.competition = h.competition AND a.s_name <> h.s_name WHERE h.s_suppkey % 17 <> 0 GROUP BY 1"""
+
+
+# -- models -----------------------------------------------------------------------
+
+
+def _training(spark, d) -> DataFrame:
+    """Matches with a few columns to learn from and their class."""
+    m = _clean(spark, d)
+    return m.select("match_id", "d", "is_uefa", "tier", "home_goals", "away_goals", scalar.class_index(scalar.result("home_goals", "away_goals")).alias("target"), *[F.col(c).cast("double").alias(c) for c in ("home_shots", "away_shots", "home_sot", "odds_home", "odds_away")])
+
+
+COLUMNS = ["home_shots", "away_shots", "home_sot", "odds_home", "odds_away"]
+CUT = date(2000, 7, 1)
+
+
+def _fit_and_score(spark, d, component) -> DataFrame:
+    rows = _training(spark, d)
+    scored = component.fit(rows.where(F.col("d") < F.lit(CUT)), CUT)(rows.where(F.col("d") >= F.lit(CUT)))
+    return _rounded(scored.agg(*metrics.evaluation("target", [f"{component.name}_{k}" for k in range(3)])), n=3)
+
+
+def ml_logreg(spark, d):
+    return _fit_and_score(spark, d, models.Logistic(COLUMNS, c=0.3, half_life=4.0))
+
+
+def ml_boosted(spark, d):
+    return _fit_and_score(spark, d, models.Boosted(COLUMNS, trees=3, depth=3))
+
+
+def ml_poisson(spark, d):
+    return _fit_and_score(spark, d, models.PoissonGoals(COLUMNS))
+
+
+def rho_and_temperature(spark, d):
+    """The low-score correction and the temperature that fit best."""
+    m = A.matches(spark, d).select("match_id", F.col("home_goals").cast("int").alias("hg"), F.col("away_goals").cast("int").alias("ag"))
+    f = _forecasts(spark, d)
+    rho = scores.fit_rho(f.join(m, "match_id"), "lh", "la", "hg", "ag")
+    return spark.createDataFrame([(rho, models.fit_temperature(f, "y", P))], "rho double, temperature double")
+
+
+def forward_selection_folds(spark, d):
+    """Groups of columns chosen by rolling-origin log loss of the logistic component."""
+    rows = _training(spark, d).persist()
+    spans = models.folds(date(2001, 7, 1), 2)
+
+    def score(columns: list[str]) -> float:
+        oof = models.out_of_fold(rows, spans, lambda: models.Logistic(columns, c=1.0), parallelism=2)
+        return oof.agg(F.avg(metrics.log_loss("target", [f"logistic_{k}" for k in range(3)]))).first()[0]
+
+    _, log = models.forward_selection({"base": ["odds_home"], "away": ["odds_away"], "shots": ["home_shots", "away_shots"]}, score, parallelism=2)
+    rows.unpersist()
+    return spark.createDataFrame([(r["round"], r["group"], round(r["objective"], 6), r["added"]) for r in log], "round int, group string, objective double, added boolean")
+
+
+QUERIES = {
+    "poisson_score_matrix": (poisson_score_matrix, _f("SELECT match_id, i, j, round(p, 9) AS p FROM cells", cells=True)),
+    "dixon_coles_wdl": (dixon_coles_wdl, _f("SELECT match_id, round(home, 9) AS home, round(draw, 9) AS draw, round(away, 9) AS away FROM r", cells=True, r=REGIONS)),
+    "consistent_matrix": (consistent_matrix, CONSISTENT),
+    "top_scores": (top_scores, TOP),
+    "score_sampling": (score_sampling, SAMPLED),
+    "extra_time": (extra_time, EXTRA),
+    "temperature_softmax": (temperature_softmax, TEMPERATURE),
+    "ensemble_combine": (ensemble_combine, COMBINED),
+    "logloss_brier_accuracy": (logloss_brier_accuracy, _f(f"SELECT {_EVAL} FROM q")),
+    "objective_half_half": (objective_half_half, OBJECTIVE),
+    "subset_metrics": (subset_metrics, SUBSETS),
+    "calibration_bins": (calibration_bins, _f("SELECT target, bin, count, round(mean_predicted, 9) AS mean_predicted, round(observed_rate, 9) AS observed_rate, round(observed_rate - mean_predicted, 9) AS gap FROM bins", targets=TARGETS, bins=BINS)),
+    "ece": (ece, _f("SELECT target, round(sum(count*abs(observed_rate - mean_predicted))/sum(count), 9) AS ece FROM bins GROUP BY target", targets=TARGETS, bins=BINS)),
+    "time_decay_weight": (time_decay_weight, A.with_views("SELECT match_id, round(pow(0.5e0, (DATE '2002-01-01' - d)/365.25e0/4e0), 9) AS weight FROM matches", "matches")),
+    "null_rate_profile": (null_rate_profile, PROFILE),
+    "rolling_origin_folds": (rolling_origin_folds, FOLDS),
+    "weight_grid_argmin": (weight_grid_argmin, WEIGHTS),
+    "market_reference": (market_reference, MARKET),
+    "live_performance": (live_performance, LIVE),
+    "range_summary": (range_summary, A.with_views("SELECT min(d) AS first, max(d) AS last, count(*) AS n, count(*) FILTER (WHERE is_uefa) AS n_flagged FROM matches", "matches")),
+    "class_frequencies": (class_frequencies, A.with_views("SELECT y, count(*) AS n, round(count(*)/cast(sum(count(*)) OVER () AS double), 9) AS share FROM forecasts GROUP BY y", "forecasts")),
+    "export_nested_json": (export_nested_json, None),
+    "export_round_trip": (export_round_trip, TRIP),
+    "ml_logreg": (ml_logreg, None),
+    "ml_boosted": (ml_boosted, None),
+    "ml_poisson": (ml_poisson, None),
+    "rho_and_temperature": (rho_and_temperature, None),
+    "forward_selection_folds": (forward_selection_folds, None),
+}

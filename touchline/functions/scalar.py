@@ -13,6 +13,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. What a lambda takes from outside is worked out at each of its steps."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def season_start(day) -> Column:
     """The year in which the season of a day began; seasons begin in July."""
     return F.year(col(day)) - F.when(F.month(col(day)) < 7, 1).otherwise(0)
