@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, piece_bpe, quality, secrets, shards
+from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, mixing, piece_bpe, quality, secrets, shards
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.round_trip(docs, tokenizer_file("piece_bpe_32k.model")).drop("text"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out")))
+
+
 #: The key of the training order; another key gives another order.
 ORDER_KEY = b"training order 1"
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_token_shards": op4_token_shards,
         "op5_fingerprint": op5_fingerprint,
         "op6_chat": op6_chat,
