@@ -12,7 +12,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Tokens that say nothing about a club, and short forms.
 STOP_TOKENS = (
@@ -65,7 +65,7 @@ def substring_match(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 5) & (a.contains(b) | b.contains(a))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters (longest common blocks)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

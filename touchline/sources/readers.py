@@ -69,8 +69,8 @@ def csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", com
 
 
 def csv_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files in UTF-8, those that are not read as Latin-1: told by the replacement character in the decoded text."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").contains("�").alias("bad"))
+    """Files in UTF-8, and those that are not as Latin-1."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), (~F.is_valid_utf8("value")).alias("bad"))
     bad = {r["path"] for r in lines.where("bad").select("path").distinct().collect()}  # at most as many as files
     clean = [p for p in paths if not any(b.endswith(Path(p).name) for b in bad)]
     rest = [p for p in paths if p not in clean]
