@@ -38,7 +38,8 @@ def test_same_rows(spark, duck, small, name):
 
 @pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys() - {"feature_assembly"}))
 def test_runs(spark, small, name):
-    rows = catalog.queries()[name](spark, small).collect()
+    # the smallest tables have too few suppliers for a fixture
+    rows = catalog.queries()[name](spark, small.replace("0.001", "0.01") if name == "export_nested_json" else small).collect()
     assert rows
     if name.startswith("check_"):
         assert all(v == 0 for r in rows for k, v in r.asDict().items() if k.endswith("mismatches"))

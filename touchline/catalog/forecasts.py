@@ -237,7 +237,7 @@ def live_performance(spark, d):
 _BOOK = f"-ln(least(1 - 1e-15, greatest(1e-15, CASE y WHEN 0 THEN 1e0/odds_home WHEN 1 THEN 1e0/odds_draw ELSE 1e0/odds_away END/{_INV})))"
 LIVE = A.with_views(
     f"""SELECT count(*) AS n, round(avg(l), 9) AS log_loss, count(b) AS n_market, round(avg(CASE WHEN b IS NOT NULL THEN l END), 9) AS model_on_market, round(avg(b), 9) AS market_log_loss, sum(CASE WHEN is_uefa THEN 1 ELSE 0 END)::bigint AS n_uefa,
- round(avg(CASE WHEN b IS NOT NULL THEN l END) - avg(b), 9) AS gap, round(avg(CASE WHEN is_uefa THEN l END), 9) AS uefa_log_loss FROM (SELECT m.is_uefa, {_LOSS} AS l, CASE WHEN {_OK} THEN {_BOOK} END AS b FROM matches m JOIN q ON q.match_id = m.match_id WHERE m.d > DATE '2001-01-01') x""",
+ round(avg(CASE WHEN b IS NOT NULL THEN l END) - avg(b), 9) AS gap, CASE WHEN count(*) FILTER (WHERE is_uefa) >= 30 THEN round(avg(CASE WHEN is_uefa THEN l END), 9) END AS uefa_log_loss FROM (SELECT m.is_uefa, {_LOSS} AS l, CASE WHEN {_OK} THEN {_BOOK} END AS b FROM matches m JOIN q ON q.match_id = m.match_id WHERE m.d > DATE '2001-01-01') x""",
     "matches", "forecasts", q=PROBABILITIES,
 )
 

@@ -41,4 +41,4 @@ def stream_form(sides: DataFrame, params: Params = DEFAULT, gap_days: int | None
         state.update(tuple(list(c) for c in zip(*seen)))
         yield pd.DataFrame(out, columns=["team", "day", "match_id", "form_after"])
 
-    return sides.groupBy("team").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return sides.withColumn("team", sides["team"].cast("string")).groupBy("team").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
