@@ -75,8 +75,8 @@ def repeated(lines: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Replaces ``text`` by what stays of it and adds ``removed``: start, end and the document that keeps the line."""
-    own = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("tie", F.xxhash64("text"))
-    keyed = own.where("text is not null").select("doc", "tie", "text")
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_tie", F.xxhash64("text"))
+    keyed = own.where("text is not null").select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text")
     # rows of one id and text are the same document: its lines count once
     lines = units(keyed, least_words)
     # a removed occurrence ranks after the one that stays; equal rows have equal ranks
@@ -86,10 +86,10 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         .select("doc", "tie", F.struct("start", "end", F.nullif(F.col("first.doc"), F.lit(_LAST)).alias("first_doc")).alias("gone"))
         .distinct()
     )
-    lists = doomed.groupBy("doc", "tie").agg(F.sort_array(F.collect_list("gone")).alias("removed"))
-    joined = own.join(lists, ["doc", "tie"], "left")
+    lists = doomed.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.sort_array(F.collect_list("gone")).alias("_removed"))
+    joined = own.join(lists, ["_doc", "_tie"], "left")
     none = F.array().cast("array<struct<start:long,end:long,first_doc:long>>")
-    removed = F.coalesce("removed", none)
+    removed = F.coalesce("_removed", none)
     # what stays: the stretches between removed ranges
     stays = F.aggregate(
         removed,
