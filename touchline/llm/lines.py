@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Lines of fewer words are left alone.
 LEAST_WORDS = 5
+#: Tasks over which the occurrences of one line are dealt.
+SALTS = 16
 _LAST = (1 << 63) - 1
 
 UNITS = "doc long, tie long, place int, start long, end long, hi long, lo long"
@@ -80,8 +82,11 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     # rows of one id and text are the same document: its lines count once
     lines = units(keyed, least_words)
     # a removed occurrence ranks after the one that stays; equal rows have equal ranks
+    # a frequent line is dealt over several tasks, its verdict to each of them
+    verdicts = repeated(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     doomed = (
-        lines.join(repeated(lines), ["hi", "lo"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        .join(verdicts, ["hi", "lo", "salt"])
         .where(F.struct("doc", "tie", "place") > F.col("first"))
         .select("doc", "tie", F.struct("start", "end", F.nullif(F.col("first.doc"), F.lit(_LAST)).alias("first_doc")).alias("gone"))
         .distinct()
