@@ -46,6 +46,8 @@ PERCENT = 75
 CHUNK = 1_000_000
 #: Rows of a tile and columns of a block in the product.
 TILE, COLUMNS = 512, 4096
+#: Tasks over which the classes of one component are dealt.
+SALTS = 16
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
 
@@ -445,7 +447,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
     classes = written(classes.join(roots.withColumnRenamed("node", "hi"), "hi", "left"), "jaccard-classes")
     joined = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("component"))
-    labels = classes.join(joined, "root", "left").select("hi", "lo", F.coalesce("component", "first").alias("component"))
+    # a component of very many classes is dealt over several tasks
+    salted = joined.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    labels = classes.withColumn("salt", F.pmod("lo", F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left").select("hi", "lo", F.coalesce("component", "first").alias("component"))
     return signed.join(labels, ["hi", "lo"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
     )
