@@ -46,7 +46,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return lines.report(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
