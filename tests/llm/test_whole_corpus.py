@@ -1,6 +1,21 @@
 """Corpus operators on inputs that an earlier form handled only in part."""
 
-from touchline.llm import queries
+import pytest
+
+from touchline.llm import mixing, queries
+
+
+@pytest.mark.parametrize("batch", [59_999, 70_000])
+def test_lm_chunk_of_many_empty_texts(spark, batch):
+    """More rows than 16 bits number, in one slice or behind others, are each scored like the rest."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(batch))
+    try:
+        docs = spark.range(0, 70_000, 1, 1).selectExpr("id AS doc_id", "'' AS text", "false AS held_out")
+        got = mixing.score_texts(docs).groupBy("n_tokens", "n_known", "base_score", "score").count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert [(r["n_tokens"], r["n_known"], r["count"]) for r in got] == [(1, 1, 70_000)]
 
 
 def test_query_removes_short_lines_and_lines_without_spaces(spark, tmp_path):

@@ -43,8 +43,9 @@ from touchline.llm._words import _BYTE_CODES, _Powers, mix, text_slices, words
 CLASSES = 16
 #: Distinct words by document that a map task gathers before it sends a chunk.
 CHUNK = 400_000
-#: Documents of a chunk are numbered in 16 bits.
+#: Documents of a chunk are numbered in 16 bits; no chunk holds more than MOST_DOCS.
 CHUNK_DOCS = 60_000
+MOST_DOCS = 1 << 16
 #: A task adds up the sums of so many documents before it sends them.
 SUMMED_DOCS = 1_000_000
 #: Slots of a hashed table, and how many there are.
@@ -221,18 +222,25 @@ def chunks(docs: DataFrame, blocks: int) -> DataFrame:
             part = [pa.array([-1], pa.int32()), pa.array([task + n], pa.int64()), *none_part[2:]]
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *part, *lists], names=fields)
 
-        for batch in batches:
-            for piece in text_slices(batch.column(1)):
-                c, t = chunk.add(piece)
-                classes.append(c)
-                tokens.append(t.astype(np.int64))
-                ids.append(batch.column(0).slice(piece.first, piece.rows))
-                held.append(batch.column(2).slice(piece.first, piece.rows))
-                if chunk.n >= CHUNK or chunk.docs >= CHUNK_DOCS:
-                    yield from close()
-                    n += 1
-                    chunk, ids, held, classes, tokens = _Chunk.new(), [], [], [], []
-                    pa.default_memory_pool().release_unused()
+        def pieces() -> Iterator[tuple[pa.RecordBatch, object]]:
+            # no slice of texts has more rows than a chunk
+            for whole in batches:
+                for lo in range(0, len(whole), MOST_DOCS):
+                    batch = whole.slice(lo, MOST_DOCS)
+                    for piece in text_slices(batch.column(1)):
+                        yield batch, piece
+
+        for batch, piece in pieces():
+            if ids and (chunk.n >= CHUNK or chunk.docs >= CHUNK_DOCS or chunk.docs + piece.rows > MOST_DOCS):
+                yield from close()
+                n += 1
+                chunk, ids, held, classes, tokens = _Chunk.new(), [], [], [], []
+                pa.default_memory_pool().release_unused()
+            c, t = chunk.add(piece)
+            classes.append(c)
+            tokens.append(t.astype(np.int64))
+            ids.append(batch.column(0).slice(piece.first, piece.rows))
+            held.append(batch.column(2).slice(piece.first, piece.rows))
         if ids:
             yield from close()
 
