@@ -339,26 +339,71 @@ def test_trigram_queries_and_redaction(spark):
 # -- 10 ----------------------------------------------------------------------------
 
 
-def test_line_dedup(docs, empty, corpus):
-    ranked = sorted(dict.fromkeys(r for r in corpus if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0))
+def units_by_hand(t):
+    """Sentences of lines, told from the text character by character."""
+    out, start, now, ended = [], 0, "", False
+    for k, c in enumerate(t):
+        if now and (now[-1] == "\n" or (ended and c not in ".!?。！？ \t\n") or (now[-1] in " \t" and ended and c != "\n" and c not in " \t")):
+            out.append((start, k))
+            start, now, ended = k, "", False
+        now += c
+        ended |= c in ".!?。！？"
+    out += [(start, len(t))] if now else []
+    merged = []
+    for a, b in out:
+        if not t[a:b].encode().split() and merged:
+            merged[-1] = (merged[-1][0], b)
+        else:
+            merged.append((a if merged else 0, b))
+    if len(merged) > 1 and not t[slice(*merged[0])].encode().split():
+        merged[:2] = [(0, merged[1][1])]
+    return [u for u in merged if t[slice(*u)].encode().split()]
+
+
+def dedup_by_hand(corpus, least):
     first, expected = {}, {}
-    for i, t in ranked:
-        at, kept, gone = 0, "", []
-        for line in t.split("\n"):
-            end = at + len(line) + 1
-            unit = tuple(line.encode().lower().split())
-            if len(unit) >= lines.LEAST_WORDS and unit in first:
-                gone.append((at, end, first[unit]))
-            else:
-                first.setdefault(unit, i)
-                kept += t[at:end]
-            at = end
-        expected[i, t] = (kept, gone)
-    got = lines.dedup(docs).select("doc_id", "text", "removed").collect()
-    assert Counter((r["doc_id"], r["text"], str([tuple(x) for x in r["removed"]])) for r in got) == Counter((i, *((None, "[]") if t is None else (expected[i, t][0], str(expected[i, t][1])))) for i, t in corpus)
+    for i, t in sorted(dict.fromkeys(r for r in corpus if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        runs, last = [], None
+        for k, (a, b) in enumerate(units_by_hand(t)):
+            unit = tuple(t[a:b].encode().lower().split())
+            if unit in first:
+                runs = [*runs[:-1], (runs[-1][0], b, runs[-1][2])] if last == k - 1 else [*runs, (a, b, first[unit])]
+                last = k
+            first.setdefault(unit, i)
+        gone = [r for r in runs if r[1] - r[0] >= least]
+        at, kept = 0, ""
+        for a, b, _ in gone:
+            kept, at = kept + t[at:a], b
+        expected[i, t] = (kept + t[at:], str(gone))
+    return expected
+
+
+PASSAGE = "A first part of what both hold, told in full. Another sentence of it!\nThen a line. And one more sentence here, so that it is long enough to count."
+
+
+@pytest.mark.parametrize("least", [1, 40, lines.LEAST_CHARS])
+def test_line_dedup(spark, docs, empty, corpus, least):
+    more = [(300, "Own begin. " + PASSAGE), (301, "Another " + PASSAGE.lower() + " And an end.\n\n  \nof its own. "), (302, "\n \nOwn begin.\n\n" + PASSAGE + "\n\n?! ... Own begin."), (303, "里山の朝は静かだ。" * 300), (304, "x" + "里山の朝は静かだ。" * 300)]
+    rows = docs.select("doc_id", "text", "removed").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumn("removed", F.lit(1)))
+    expected = dedup_by_hand([*corpus, *more], least)
+    got = lines.dedup(rows, least).collect()
+    told = lambda r: str([tuple(x) for x in r["removed"]])
+    assert Counter((r["doc_id"], r["text"], told(r)) for r in got) == Counter((i, *((None, "[]") if t is None else expected[i, t])) for i, t in [*corpus, *more])
+    if least == lines.LEAST_CHARS:
+        by = {r["doc_id"]: r for r in got}
+        # inside a line, and across lines: only the torn first sentence stays
+        assert by[301]["removed"] == [] or len(by[301]["text"]) < 100
+        assert len(by[302]["removed"]) == 1 and by[300]["removed"] == [] and len(by[303]["text"]) == 9
     assert lines.dedup(empty).count() == 0
 
 
+def test_dedup_of_frequent_units(spark):
+    """A unit of a third of all documents is dealt over several tasks and keeps one occurrence."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('Own text ', id, '. ', if(id % 3 = 0, 'All rights reserved. ', ''), 'End.') AS text")
+    got = lines.dedup(df, 1).select("doc_id", "text").collect()
+    assert sum("All rights" in r["text"] for r in got) == 1 and sum("End." in r["text"] for r in got) == 1
+
+
 # -- pipeline ------------------------------------------------------------------------
 
 
