@@ -139,22 +139,127 @@ def test_lm_base_is_exact_and_the_mix_is_better(spark):
     assert all(g["score"] < 0 for g in got.values())
 
 
-def test_lm_probabilities_sum_to_one():
-    """All continuations of a beginning, one bit each: their probabilities sum to one."""
+def test_lm_states_mirror_and_bits_sum_to_one():
     rnd = np.random.default_rng(1)
-    shared = rnd.integers(0, 50, (mixing.TABLES, 2, mixing.SLOTS)).astype(np.float32)
-    keys = sorted({bytes(rnd.integers(97, 101, rnd.integers(1, 9)).astype(np.uint8)) for _ in range(300)}, key=lambda w: w + b" ")
-    every = sorted([*keys, *(b"abcdz" + bytes([c]) for c in range(256) if c != 32)], key=lambda w: w + b" ")
-    lengths = np.array([len(w) for w in every])
-    learned = np.array([3 if w in keys else 0 for w in every])
-    scores = mixing.word_scores(np.frombuffer(b"".join(every), np.uint8), lengths, np.zeros(len(every), np.uint8), learned, shared)
-    assert (scores < 0).all() and np.exp2(scores).sum() < 1
+    a, b, c, d, e, f = (rnd.integers(0, [3, 40, 3000][k % 3], 5000) for k in range(6))
+    there = mixing.joint(mixing.pair_state(a, b), mixing.class_state(c, d), mixing.plain_state(e, f))
+    back = mixing.joint(mixing.pair_state(b, a), mixing.class_state(d, c), mixing.plain_state(f, e))
+    odd = (e == f) | ((c == d) & (c >= 32))  # even odds have a level of their own on either side
+    assert (mixing.mirrored(there) == back)[~odd].all()
+    every = np.arange(mixing.JOINT)
+    assert (mixing.mirrored(mixing.mirrored(every)) == every).all()
+    cost = mixing.fit(np.bincount(there, rnd.integers(1, 9, len(there)), mixing.JOINT))
+    assert np.allclose(np.exp2(-cost) + np.exp2(-cost[mixing.mirrored(every)]), 1)
+    # evidence is believed
+    sure = mixing.joint(mixing.pair_state(np.array([7]), np.array([0])), mixing.class_state(np.array([9]), np.array([1])), mixing.plain_state(np.array([9]), np.array([1])))
+    learned = mixing.fit(np.bincount(np.repeat([sure[0], mixing.mirrored(sure)[0]], [90, 10]), minlength=mixing.JOINT))
+    assert learned[sure[0]] < 0.4 < 2 < learned[mixing.mirrored(sure)[0]]
+
+
+def lm_by_hand(rows):
+    """The model of ``mixing`` from dictionaries, a token and a bit at a time. Rows: text, held out."""
+    from touchline.llm._words import span_hashes
+
+    def code(word):
+        return int(span_hashes(np.frombuffer(word.encode(), np.uint8), np.array([len(word.encode())]))[0])
+
+    levels, told = mixing.LEVELS, mixing.LEVELS + mixing.TELLING
+    docs, spelling, classes = [], np.zeros((mixing.SPELLED, 256)), np.ones(mixing.CLASSES)
+    context = lambda two, one: int(mixing.mix(np.array([two << 8 | one], np.uint64))[0] % np.uint64(mixing.SPELLED))
+    spell = lambda w: [(context(*([0, 0, *w.encode()][k : k + 2])), x) for k, x in enumerate([*w.encode(), 0])]
+    for text, held in rows:
+        ws = spaced(text)
+        of = Counter(ws)
+        cls = min((-n, code(w)) for w, n in of.items())[1] % mixing.CLASSES if ws else 0
+        docs.append((["\n", *ws, "\n"], cls, held))
+        if not held:
+            classes[cls] += 1
+            for w in ws:
+                for x in spell(w):
+                    spelling[x] += 1
+    train = [(a, b, c) for ws, c, held in docs if not held for a, b in zip(ws, ws[1:])]
+    count, in_class = Counter(b for _, b, _ in train), Counter((b, c) for _, b, c in train)
+    pair, by_class, plain = Counter(), Counter(), Counter()
+    for a, b, c in train:
+        for k in [*range(levels + 1), told]:
+            node = code(b) >> (64 - k)
+            pair[a, k, node] += 1
+            by_class[c, k, node] += 1
+            plain[k, node] += 1
+
+    def states(a, b, c, less):
+        one = lambda n: np.array([max(n - less, 0)])
+        for k in range(1, levels + 1):
+            x = code(b) >> (64 - k)
+            y = x ^ 1
+            other = lambda n: np.array([n])
+            yield int(mixing.joint(mixing.pair_state(one(pair[a, k, x]), other(pair[a, k, y])), mixing.class_state(one(by_class[c, k, x]), other(by_class[c, k, y])), mixing.plain_state(one(plain[k, x]), other(plain[k, y])))[0])
+
+    joint, leaf = np.zeros(mixing.JOINT), np.zeros((2, mixing.SEEN_LEVELS))
+    level = lambda n: int(np.searchsorted(mixing._PAIR_LEVELS, n, "right"))
+    # distinct (pair, class): the token left out is one of the pair's in texts of the class
+    for a, b, c in train:
+        for s in states(a, b, c, 1):
+            joint[s] += 1
+        k = level(pair[a, levels, code(b) >> (64 - levels)] - 1)
+        leaf[:, k] += pair[a, told, code(b) >> (64 - told)] > 1, 1
+    cost = mixing.fit(joint)
+    trust = (leaf[0] + 0.5) / (leaf[1] + 1)
+    trust[0] = 0
+    n, once = len(train), sum(x == 1 for x in count.values())
+    unknown = (once + 1) / (n + 2)
+    table = mixing._spelling(spelling)
+    bits = []
+    for ws, c, _ in docs:
+        total = -np.log2(classes[c] / classes.sum())
+        for a, b in zip(ws, ws[1:]):
+            if not count[b]:
+                total += -np.log2(unknown) + sum(table[x] for x in (spell(b) if b != "\n" else [(context(0, 0), 0)]))
+                continue
+            x = code(b) >> (64 - levels)
+            here = pair[a, levels, x]
+            share = np.floor(mixing.SHARES * pair[a, told, code(b) >> (64 - told)] / max(here, 1)) / mixing.SHARES
+            low = (in_class[b, c] + count[b] / plain[levels, x]) / (by_class[c, levels, x] + 1)
+            w = trust[level(here)]
+            path = np.ceil(sum(cost[s] for s in states(a, b, c, 0)) * mixing.STEP) / mixing.STEP
+            total += -np.log2(1 - unknown) + path - np.log2(w * share + (1 - w) * low)
+        bits.append(total)
+    return bits
+
+
+def test_lm_scores_equal_brute_force_and_ignore_partitions(spark, corpus, monkeypatch):
+    rows = [(i, t, k % 4 == 0) for k, (i, t) in enumerate(corpus) if len(t or "") < 20_000]
+    df = spark.createDataFrame([(i, t, h, k) for k, (i, t, h) in enumerate(rows)], "doc_id long, text string, held_out boolean, k int")
+    # ids stand for texts here, as the result has no text
+    by_row = df.select(F.col("k").cast("long").alias("doc_id"), "text", "held_out")
+    want = {k: b for k, b in zip(range(len(rows)), lm_by_hand([(t, h) for _, t, h in rows]))}
+    seen = []
+    for partitions, chunk, block in ((4, 0, 0), (24, 300, 150)):
+        monkeypatch.setattr(mixing, "partitions", lambda s, n=partitions: n)
+        got = {r["doc_id"]: r for r in mixing.score_texts(by_row.repartition(partitions), chunk, block).collect()}
+        assert all(abs(got[k]["bits"] - want[k]) < 1e-6 * want[k] for k in want), max((abs(got[k]["bits"] - want[k]), k) for k in want)
+        assert all(abs(got[k]["bits_per_byte"] * max(len((rows[k][1] or "").encode()), 1) - got[k]["bits"]) < 1e-6 * got[k]["bits"] for k in want)
+        seen.append({k: got[k]["score"] for k in want})
+    assert all(abs(seen[0][k] - seen[1][k]) <= 1e-9 * abs(seen[0][k]) for k in want)
+
+
+def test_lm_frequent_first_words_are_dealt_out(spark, monkeypatch):
+    """Counts of a frequent first word are whole although its pairs are dealt over blocks; word order matters."""
+    texts = [("a b c d e f g h " * 9 + f"only{k}", False) for k in range(40)] + [("a b c d e f g h", True), ("h g f e d c b a", True)]
+    want = lm_by_hand(texts)
+    df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["bits"] for r in mixing.score_texts(df, 100, 50).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in got) and len(got) == len(want)
+    assert got[40] < 0.7 * got[41]
 
 
 def test_lm_odd_cases(docs, empty, corpus):
     held = docs.withColumn("held_out", F.col("doc_id") % 3 == 0)
     got = mixing.score_texts(held.select("doc_id", "text", "held_out")).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(spaced(t)) + 1) for i, t in corpus)
+    assert all(r["score"] < 0 < r["bits"] for r in got)
+    nothing = mixing.score_texts(docs.select("doc_id", "text", F.lit(True).alias("held_out"))).collect()
+    assert {(r["n_known"], r["train_tokens"]) for r in nothing} == {(0, 0)} and all(r["score"] < 0 for r in nothing)
     assert mixing.score_texts(empty.withColumn("held_out", F.lit(True))).count() == 0
 
 

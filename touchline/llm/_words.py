@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+#: A random code for each byte at each of the first places of a word; further places multiply them.
+_PLACES = 32
+_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, _PLACES * 256, dtype=np.uint64) << _U(1) | _U(1)
 #: Odd factors by the place of a word in a window; more are drawn as needed.
 _PLACE_FACTORS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 4096, dtype=np.uint64) | _U(1)
 
@@ -82,18 +82,20 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         lo = hi
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, SLICE_BYTES + (1 << 16))
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _MULTIPLIER, _U)]), dtype=_U)
-                cls.down = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _INVERSE, _U)]), dtype=_U)
-        return cls.up, cls.down
+def span_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of non-empty words that stand one after the other in ``data``, by a random code for each byte and place."""
+    if not len(lengths):
+        return np.zeros(0, _U)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        codes = _CODES[(place % _PLACES) << 8 | data]
+        if lengths.max() > _PLACES:
+            codes = mix(codes ^ mix((place // _PLACES).astype(_U) * _U(0xD6E8FEB86659FD93)))
+            # short words keep the hash that they have among short ones
+            short = np.repeat(lengths <= _PLACES, lengths)
+            codes[short] = _CODES[(place[short] % _PLACES) << 8 | data[short]]
+        return mix(np.add.reduceat(codes, starts) + lengths.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -128,12 +130,7 @@ def words(piece: TextSlice, inside: np.ndarray = SPACED) -> Words:
     cuts = np.flatnonzero(edge)
     keep = is_word[cuts[:-1]]
     starts, ends = cuts[:-1][keep], cuts[1:][keep]
-    up, down = _Powers.to(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(_BYTE_CODES[data] * up[:n], dtype=_U)
-        before = np.where(starts > 0, sums[starts - 1], _U(0))
-        hashes = (sums[ends - 1] - before) * down[starts]
-        hashes = mix(hashes + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    hashes = span_hashes(data[is_word], ends - starts)
     return Words(starts, ends, hashes, np.searchsorted(starts, piece.offsets), data)
 
 

@@ -1,649 +1,730 @@
 """LM scoring by online logistic context mixing.
 
-A text is its words and one end. Every token is spelled in bytes, every byte in
-eight bits, and each bit's probability mixes several bit predictors:
-
-* the bits seen after the same beginning of a word, over all training words and
-  over those of the text's class (exact counts, kept where the word's block is);
-* the bits seen after hashed contexts of two and three bytes and of a beginning
-  with the class, in tables of fixed size learned from all training tokens.
-
-The predictors' log odds are added with weights of a gate, which is chosen by
-how much evidence the two exact predictors have; weights are learned online,
-batch by batch, from training tokens, each left out of the counts that predict
-it. Last, a table over (partial byte, log odds) refines the mixed probability by
-how often it came true. A text's class is its commonest word, hashed; its choice
-is paid for with the class's share of the training texts, so what a text scores
-is the log of a (sub-)probability over all texts.
-
-What is gathered grows with the corpus: every distinct word of a chunk of
-documents goes, with its count and the places it occurs at, to the block of its
-first five bytes. A block merges its chunks, learns, scores each of its words
-once and sends back one sum for each document and chunk. No word list is ever in
-one place, and a word of a third of all tokens is one entry for each chunk.
-
-Results by case: null and empty texts are one end token; repeated rows are each
-scored; rows with null id are not learned from; with nothing to learn from, bits
-have probability one half; further columns are left out.
+A text is its words and one end. A word's code is a 64-bit hash; it is told in
+``LEVELS`` bits of the code and by what then tells it from the words that share
+them. Each bit is predicted in three hashed contexts, from counts of what
+training texts held there:
+
+* the word before (exact counts of every pair, kept where the pair's block is);
+* the class of the text (a table of fixed size), which is its commonest word;
+* none (the same table, summed).
+
+A predictor's counts are a state, its probability is how often the state came
+true. The three log odds are added with weights of a gate, chosen by how much
+evidence there is; the mixed probability is refined by a table over (log odds,
+evidence). Weights are learned online over the table of joint states, which
+holds every bit of every training token, each left out of the counts that
+predict it. All that is learned rests on integer sums over the corpus, so a score
+depends on the training texts and on nothing else: not on partitions or blocks.
+
+Bits done, the word before and the class share out what the words of equal code
+bits get, by counts. A word that training has not seen pays for being unknown
+and is spelled byte by byte. A text also pays for its class, so that a score is
+the log of a (sub-)probability over all texts; ``bits`` is the total and
+``bits_per_byte`` the rate.
+
+What is gathered grows with the corpus: every distinct pair of a chunk of texts
+goes, once with its count, to the block of its first word, which learns, scores
+it once and sends back one answer for the chunk; places stay with the chunk. A
+frequent pair is one entry for each chunk. Pairs whose first word is one of the
+``HOT`` most frequent (more than one in HOT tokens, so the list is bounded) are
+dealt over ``1 << HOT_LEVELS`` blocks by the second word's code; the counts of
+those first bits come from a table of fixed size.
+
+Results by case: null and empty texts are one end token; a very long text is one
+chunk of its own; repeated rows are each scored; rows with null id are scored like
+others (they are learned from unless held out); with nothing to learn from, every
+word is unknown; further columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm._arrow import partitions, written
-from touchline.llm._words import _BYTE_CODES, _Powers, mix, text_slices, words
-
-CLASSES = 16
-#: Distinct words by document that a map task gathers before it sends a chunk.
-CHUNK = 400_000
-#: Documents of a chunk are numbered in 16 bits; no chunk holds more than MOST_DOCS.
-CHUNK_DOCS = 60_000
-MOST_DOCS = 1 << 16
-#: A task adds up the sums of so many documents before it sends them.
-SUMMED_DOCS = 1_000_000
-#: Slots of a hashed table, and how many there are.
-SLOT_BITS, TABLES = 18, 3
-SLOTS = 1 << SLOT_BITS
-#: Words that share so many first bytes are in one block.
-SHARED_BYTES = 5
-PREDICTORS = TABLES + 2
-#: Evidence levels of an exact predictor: fewer observations than these.
-LEVELS = np.array([0.5, 1.5, 3.5, 10.5])
-GATES = (len(LEVELS) + 1) ** 2
-BUCKETS = 33
-BATCH = 1 << 15
+from touchline.llm._words import mix, span_hashes, text_slices, words
+
+#: Tokens of a chunk, about; it holds at least one text.
+CHUNK = 2_000_000
+#: Tokens that one block of pairs is meant for.
+BLOCK = 4_000_000
+CLASSES, LEVELS = 16, 14
+HOT, HOT_LEVELS = 1024, 8
+LEAVES = 1 << LEVELS
 _U = np.uint64
-_END = b"\n"  # no word holds a line break
-_STOP = 0x20
-_ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_END = span_hashes(np.frombuffer(b"\n", np.uint8), np.array([1]))[0]  # no word holds a line break
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
-# -- words of chunks -----------------------------------------------------------
+def pack(x: np.ndarray) -> bytes:
+    """An array of whole numbers, narrowed and byte by byte plane, compressed."""
+    if not len(x):
+        return b""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
 
-PART = "block int, chunk long, words binary, lengths binary, classes binary, learned binary, places binary, docs binary, counts binary"
-META = "chunk long, doc_ids array<long>, held_out array<boolean>, n_tokens array<long>, classes array<int>"
-_PART_NAMES = [x.split()[0] for x in PART.split(", ")]
 
+def unpack(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.int64)
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(_CODEC.decompress(raw[9:], width * n, asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8")[:, 0]
 
-def _ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of several spans, one after the other."""
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    return data[np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)]
 
+# -- states ---------------------------------------------------------------------
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """The same numbers in two bytes each if they fit, else in four."""
-    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+#: Least counts of the levels of a pair's state; the first are exact.
+_PAIR_LEVELS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 12, 18, 28, 48, 96, 256, 1024])
+_FEW_LEVELS = np.array([1, 2, 3, 5, 9, 17])
+_FEW = 32
+PAIR_STATES, CLASS_STATES, PLAIN_STATES = 256, 49 + 64, 16
+JOINT = PAIR_STATES * CLASS_STATES * PLAIN_STATES
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+def pair_state(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_PAIR_LEVELS, own, "right") << 4 | np.searchsorted(_PAIR_LEVELS, other, "right")
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The word kernel's hash of given spans."""
-    up, down = _Powers.to(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_CODES[data] * up[: len(data)], dtype=_U)])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _ODD[3])
+def _odds_level(own: np.ndarray, other: np.ndarray, step: float, half: int) -> np.ndarray:
+    """Log odds in steps; mirrored counts give the mirrored level."""
+    odds = (np.log(own + 0.4) - np.log(other + 0.4)) / step
+    return np.clip(np.where(odds >= 0, np.floor(odds), -np.floor(-odds) - 1), -half, half - 1).astype(np.int64) + half
+
+
+def class_state(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    few = np.searchsorted(_FEW_LEVELS, own, "right") * 7 + np.searchsorted(_FEW_LEVELS, other, "right")
+    return np.where((own < _FEW) & (other < _FEW), few, 49 + _odds_level(own, other, 0.25, 32))
+
+
+def plain_state(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return _odds_level(own, other, 0.7, 8)
+
+
+def joint(pair: np.ndarray, cls: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    return (pair * CLASS_STATES + cls) * PLAIN_STATES + plain
+
+
+def mirrored(states: np.ndarray) -> np.ndarray:
+    """The joint states as the other bit value sees them."""
+    rest, plain = np.divmod(states, PLAIN_STATES)
+    pair, cls = np.divmod(rest, CLASS_STATES)
+    few = cls % 7 * 7 + cls // 7
+    return joint(pair % 16 * 16 + pair // 16, np.where(cls < 49, few, 49 + 63 - (cls - 49)), PLAIN_STATES - 1 - plain)
 
 
-def _block_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of a word: by its first bytes."""
-    key = np.zeros(len(starts), _U)
-    for k in range(SHARED_BYTES):
-        inside = lengths > k
-        key[inside] |= (data[starts[inside] + k].astype(_U) + _U(1)) << _U(9 * k)
-    return (mix(key) % _U(blocks)).astype(np.int64)
+# -- the model ------------------------------------------------------------------
+
+GATES, BUCKETS = 32, 33
+#: Hashed contexts of two bytes in which the bytes of an unknown word are counted.
+SPELLED = 1 << 12
+
+
+def _stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p) - np.log1p(-p)
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def fit(counts: np.ndarray, rounds: int = 3, pieces: int = 64) -> np.ndarray:
+    """Bits that each joint state costs. ``counts``: how often training bits were seen in it.
+
+    Three steps: each predictor's states become probabilities; weights of the gates
+    are learned online, a piece of the table at a time in a fixed order, by Newton
+    steps over all that was seen so far; a table refines what they give.
+    """
+    every = np.arange(JOINT)
+    other = mirrored(every)
+    seen = np.flatnonzero(counts + counts[other])
+    mirror = other[seen]
+    true = counts[seen].astype(float)
+    both = true + counts[mirror]
+    rest, plain = np.divmod(every, PLAIN_STATES)
+    pair, cls = np.divmod(rest, CLASS_STATES)
+    inputs = []
+    for state, n in ((pair, PAIR_STATES), (cls, CLASS_STATES), (plain, PLAIN_STATES)):
+        t = np.bincount(state[seen], true, n)
+        f = np.bincount(state[mirror], true, n)
+        # what was never seen is even; pseudo-counts keep odds finite
+        inputs.append(_stretch((t + 0.4) / (t + f + 0.8))[state])
+    x = np.stack(inputs, 1)
+    evidence = np.minimum(np.maximum(pair // 16, pair % 16), 7)
+    sure = np.minimum(np.abs(x[:, 0]).astype(int), 1)
+    many = (cls >= 49).astype(int)
+    gate = (evidence * 2 + sure) * 2 + many
+    weights = np.full((GATES, 3), 1 / 3)
+    order = np.argsort(mix(seen.astype(_U) + _U(1)))
+    for _ in range(rounds):
+        hessian = np.tile(np.eye(3), (GATES, 1, 1))
+        slope = np.zeros((GATES, 3))
+        for part in np.array_split(order, pieces):
+            at = seen[part]
+            g, xs = gate[at], x[at]
+            p = np.clip(_squash((weights[g] * xs).sum(1)), 1e-6, 1 - 1e-6)
+            np.add.at(hessian, g, (both[part] * p * (1 - p))[:, None, None] * xs[:, :, None] * xs[:, None, :])
+            slope[:] = 0
+            np.add.at(slope, g, (true[part] - both[part] * p)[:, None] * xs)
+            weights += np.clip(np.linalg.solve(hessian, slope[:, :, None])[:, :, 0], -0.5, 0.5)
+    mixed = np.clip((weights[gate] * x).sum(1), -12, 12)
+    bucket = np.rint((mixed + 12) / 24 * (BUCKETS - 1)).astype(int)
+    cell, back = bucket * GATES + gate, (BUCKETS - 1 - bucket) * GATES + gate
+    t = np.bincount(cell[seen], true, BUCKETS * GATES)
+    total = np.bincount(cell[seen], both, BUCKETS * GATES)
+    own = _squash(mixed)
+    refined = (t[cell] + 16 * own) / (total[cell] + 16)
+    mirrored_refined = (t[back] + 16 * (1 - own)) / (total[back] + 16)
+    refined = refined / (refined + mirrored_refined)
+    p = np.clip((own + refined) / 2, 1 / 4096, 1 - 1 / 4096)
+    # a state and its mirror share one bit
+    return -np.log2(p / (p + p[other]))
 
 
 @dataclass
-class _Chunk:
-    """Document-word counts gathered so far. The end is a word of its own, put first."""
-
-    hashes: list
-    rows: list
-    counts: list
-    word_hashes: list
-    word_bytes: list
-    word_lengths: list
-    n: int = 0
-    docs: int = 0
-
-    @classmethod
-    def new(cls) -> _Chunk:
-        return cls([], [], [], [], [], [])
-
-    def add(self, piece) -> tuple[np.ndarray, np.ndarray]:
-        """Takes a slice of texts; their classes and numbers of tokens."""
-        w = words(piece)
-        row = w.row_of()
-        # one sort by row and the hash's upper bits; the rare slice in which these clash is sorted in full
-        shift = _U(max(1, int(piece.rows).bit_length()))
-        by = np.argsort(row.astype(_U) << (_U(64) - shift) | w.hashes >> shift)
-        h, r = w.hashes[by], row[by]
-        step = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        if (step & (r[1:] == r[:-1]) & (h[1:] >> shift == h[:-1] >> shift)).any():
-            by = np.lexsort((w.hashes, row))
-            h, r = w.hashes[by], row[by]
-            step = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        new = np.flatnonzero(np.r_[True, step]) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[new, len(h)]).astype(np.int64)
-        h, r, token = h[new], r[new], by[new]
-        # the commonest word, the least hash where several are, names the class
-        classes = np.zeros(piece.rows, np.int32)
-        if len(h):
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.r_[first, len(r)]))
-            least = np.minimum.reduceat(np.where(count == most, h, ~_U(0)), first)
-            classes[r[first]] = (mix(least) % _U(CLASSES)).astype(np.int32)
-        self.hashes.append(h)
-        self.rows.append(r + self.docs)
-        self.counts.append(count)
-        by = np.argsort(h)
-        own = by[np.r_[True, h[by][1:] != h[by][:-1]]] if len(h) else by
-        self.word_hashes.append(h[own])
-        at = token[own]
-        lengths = w.ends[at] - w.starts[at]
-        self.word_lengths.append(lengths)
-        self.word_bytes.append(_ragged(w.lowered, w.starts[at], lengths))
-        self.n += len(h)
-        self.docs += piece.rows
-        return classes, w.counts() + 1
-
-    def flush(self, chunk: int, classes: np.ndarray, learn: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
-        """One row for each block: its words by class, their training counts, and where they occur."""
-        end = np.frombuffer(_END, np.uint8)
-        end_hash = span_hashes(end, np.array([0]), np.array([1]))
-        h = np.concatenate([*self.hashes, np.repeat(end_hash, self.docs)])
-        row = np.concatenate([*self.rows, np.arange(self.docs)])
-        count = np.concatenate([*self.counts, np.ones(self.docs, np.int64)])
-        word_hash = np.concatenate([*self.word_hashes, end_hash])
-        data = np.concatenate([*self.word_bytes, end])
-        length = np.concatenate([*self.word_lengths, [1]]).astype(np.int64)
-        start = np.cumsum(length) - length
-        by = np.argsort(word_hash)
-        first = by[np.r_[True, word_hash[by][1:] != word_hash[by][:-1]]]
-        # the same words stand in both lists, so the n-th kind of one is the n-th of the other
-        by = np.argsort(h)
-        word = np.empty(len(h), np.int64)
-        word[by] = np.cumsum(np.r_[0, h[by][1:] != h[by][:-1]])
-        pair = word * CLASSES + classes[row]
-        order = np.argsort(pair << 16 | row)
-        pair, row, count = pair[order], row[order], count[order]
-        at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        places = np.diff(np.r_[at, len(pair)])
-        learned = np.add.reduceat(np.where(learn[row], count, 0), at)
-        own = first[pair[at] // CLASSES]
-        cls = (pair[at] % CLASSES).astype(np.uint8)
-        block = _block_of(data, start[own], length[own], blocks)
-        by = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, block[by][1:] != block[by][:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(by)]):
-            p = by[a:b]
-            o = own[p]
-            entries = np.arange(places[p].sum()) + np.repeat(at[p] - (np.cumsum(places[p]) - places[p]), places[p])
-            columns = [_ragged(data, start[o], length[o]), _narrow(length[o]), cls[p], learned[p].astype(np.uint32), places[p].astype(np.uint32), row[entries].astype(np.uint16), _narrow(count[entries])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(block[p[0]])], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=_PART_NAMES
-            )
-
-
-def chunks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``kind`` 0: a chunk's words of a block; ``kind`` 1: a chunk's documents. ``docs``: doc_id, text, held_out."""
-    schema = f"kind int, {PART}, {META.split(', ', 1)[1].replace('classes', 'doc_classes')}"
-    fields = [x.split()[0] for x in schema.split(", ")]
-    none_part = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), *[pa.binary()] * 7)]
+class Tables:
+    """What every task knows, of fixed size: counts by class and code, by frequent first word and code, and byte pairs."""
+
+    hot: np.ndarray  # codes, sorted
+    leaves: np.ndarray  # CLASSES x LEAVES
+    hot_leaves: np.ndarray  # len(hot) x (1 << HOT_LEVELS)
+    spelling: np.ndarray  # bits of a byte behind two others, these hashed; 0 stands before a word and behind it
+    class_bits: np.ndarray
+    known_bits: float
+    unknown_bits: float
+
+    def trees(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level the counts of its nodes, by class, plain, and by frequent first word."""
+        out = []
+        for b in range(LEVELS + 1):
+            by_class = self.leaves.reshape(CLASSES, 1 << b, -1).sum(2)
+            hot = self.hot_leaves.reshape(len(self.hot), 1 << b, 1 << HOT_LEVELS - b).sum(2) if b <= HOT_LEVELS else None
+            out.append((by_class, by_class.sum(0), hot))
+        return out
+
+
+def _spelling(count: np.ndarray) -> np.ndarray:
+    """Bits of each byte in each context: its share there, with that among all as a share of two more."""
+    plain = count.sum(0) + 0.1
+    plain = plain / plain.sum()
+    return -np.log2((count + 2 * plain) / (count.sum(1, keepdims=True) + 2))
+
+
+# -- chunks ---------------------------------------------------------------------
+
+CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, n_train long, n_tokens long, lengths binary, n_bytes binary, classes binary, blob binary, word_lengths binary, tokens binary"
+
+
+def _packed_batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def chunks(docs: DataFrame, size: int = 0) -> DataFrame:
+    """Texts as numbers of a chunk's distinct words. ``docs``: doc_id, text, held_out."""
+    size = size or CHUNK
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
-        n = 0
-        chunk = _Chunk.new()
-        ids: list[pa.Array] = []
-        held: list[pa.Array] = []
-        classes: list[np.ndarray] = []
-        tokens: list[np.ndarray] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            cls, tok = np.concatenate(classes), np.concatenate(tokens)
-            doc = pa.concat_arrays(ids)
+        n = total = 0
+        ids, held, hashes, counts, sizes, blobs, lengths = ([] for _ in range(7))
+
+        def close() -> pa.RecordBatch:
+            count = np.concatenate(counts)
+            h = np.concatenate(hashes)
+            order = np.argsort(h)
+            head = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+            kind = np.empty(len(h), np.int64)
+            kind[order] = np.cumsum(head) - 1
+            first = order[head]
+            data, span = np.concatenate(blobs), np.concatenate(lengths)
+            # frequent words have small numbers; the end is word 0
+            often = np.argsort(-np.bincount(kind), kind="stable")
+            number = np.empty(len(often), np.int64)
+            number[often] = np.arange(1, len(often) + 1)
+            first = first[often]
+            starts = np.cumsum(span) - span
+            own = span[first]
+            at = np.arange(own.sum()) + np.repeat(starts[first] - (np.cumsum(own) - own), own)
+            ends = np.cumsum(count + 1) - 1
+            tokens = np.zeros(len(h) + len(count), np.int64)
+            inside = np.ones(len(tokens), bool)
+            inside[ends] = False
+            tokens[inside] = number[kind] if len(h) else 0
+            # a text's class: the commonest of its words, the least code of equals, by its code's last bits
+            doc = np.repeat(np.arange(len(count)), count)
+            by = np.lexsort((h, doc))
+            d, x = doc[by], h[by]
+            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[new, len(h)])
+            best = np.lexsort((x[new], -times, d[new]))
+            lead = best[np.r_[True, d[new][best][1:] != d[new][best][:-1]]] if len(new) else new
+            classes = np.zeros(len(count), np.int64)
+            classes[d[new][lead]] = (x[new][lead] % _U(CLASSES)).astype(np.int64)
             out = pa.concat_arrays(held)
             learn = ~out.to_numpy(zero_copy_only=False).astype(bool)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (doc, out, pa.array(tok), pa.array(cls))]
-            for b in chunk.flush(task + n, cls, learn, blocks):
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *b.columns, *[pa.nulls(1, x.type) for x in lists]], names=fields)
-            part = [pa.array([-1], pa.int32()), pa.array([task + n], pa.int64()), *none_part[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *part, *lists], names=fields)
-
-        def pieces() -> Iterator[tuple[pa.RecordBatch, object]]:
-            # no slice of texts has more rows than a chunk
-            for whole in batches:
-                for lo in range(0, len(whole), MOST_DOCS):
-                    batch = whole.slice(lo, MOST_DOCS)
-                    for piece in text_slices(batch.column(1)):
-                        yield batch, piece
-
-        for batch, piece in pieces():
-            if ids and (chunk.n >= CHUNK or chunk.docs >= CHUNK_DOCS or chunk.docs + piece.rows > MOST_DOCS):
-                yield from close()
-                n += 1
-                chunk, ids, held, classes, tokens = _Chunk.new(), [], [], [], []
-                pa.default_memory_pool().release_unused()
-            c, t = chunk.add(piece)
-            classes.append(c)
-            tokens.append(t.astype(np.int64))
-            ids.append(batch.column(0).slice(piece.first, piece.rows))
-            held.append(batch.column(2).slice(piece.first, piece.rows))
+            row = (
+                task + n, pa.concat_arrays(ids), out, int((count + 1)[learn].sum()), len(tokens), pack(count + 1), pack(np.concatenate(sizes)), pack(classes),
+                data[at].tobytes(), pack(own), pack(tokens),
+            )
+            cells = [pa.array([x]) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
+            return pa.RecordBatch.from_arrays(cells, names=names)
+
+        for batch in batches:
+            for piece in text_slices(batch.column(1)):
+                w = words(piece)
+                if total and total + len(w.hashes) + piece.rows > size:
+                    yield close()
+                    n, total = n + 1, 0
+                    ids, held, hashes, counts, sizes, blobs, lengths = ([] for _ in range(7))
+                    pa.default_memory_pool().release_unused()
+                ids.append(batch.column(0).slice(piece.first, piece.rows))
+                held.append(batch.column(2).slice(piece.first, piece.rows))
+                counts.append(w.counts())
+                sizes.append(np.diff(piece.offsets))
+                hashes.append(w.hashes)
+                span = w.ends - w.starts
+                blobs.append(w.lowered[np.arange(span.sum()) + np.repeat(w.starts - (np.cumsum(span) - span), span)])
+                lengths.append(span)
+                total += len(w.hashes) + piece.rows
         if ids:
-            yield from close()
+            yield close()
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """A chunk's tokens, the word before each, and its distinct pairs and words by class."""
+
+    def __init__(self, row: dict, held: np.ndarray | None = None):
+        self.lengths = unpack(row["lengths"])
+        self.classes = unpack(row["classes"])
+        span = unpack(row["word_lengths"])
+        self.blob = np.frombuffer(row["blob"], np.uint8)
+        self.codes = np.concatenate([[_END], span_hashes(self.blob, span)])
+        self.spans = span
+        self.tokens = unpack(row["tokens"])
+        self.before = np.concatenate([[0], self.tokens[:-1]])  # each text begins behind an end
+        self.learn = ~np.array(row["held"], bool)
+        self.token_learn = np.repeat(self.learn, self.lengths)
+        self.token_class = np.repeat(self.classes, self.lengths)
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Context, byte and word of every byte of the distinct words, stops included; word 0 is the end."""
+        full = np.r_[0, self.spans] + 1
+        byte = np.zeros(full.sum(), np.int64)
+        ends = np.cumsum(full)
+        inside = np.ones(len(byte), bool)
+        inside[ends - 1] = False
+        byte[inside] = self.blob
+        word = np.repeat(np.arange(len(full)), full)
+        place = np.arange(len(byte)) - (ends - full)[word]
+        one = np.where(place > 0, np.r_[0, byte[:-1]], 0)
+        two = np.where(place > 1, np.r_[0, 0, byte[:-2]][: len(byte)], 0)
+        return (mix((two << 8 | one).astype(_U)) % _U(SPELLED)).astype(np.int64), byte, word
+
+    def _distinct(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        k = key[order]
+        head = np.r_[True, k[1:] != k[:-1]]
+        inverse = np.empty(len(key), np.int64)
+        inverse[order] = np.cumsum(head) - 1
+        return k[head], inverse, np.bincount(inverse, self.token_learn, int(head.sum())).astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, first and second word of each distinct pair, its training count, and each token's pair."""
+        n = len(self.codes)
+        key, inverse, count = self._distinct((self.token_class * n + self.before) * n + self.tokens)
+        rest, word = np.divmod(key, n)
+        cls, before = np.divmod(rest, n)
+        return cls, before, word, count, inverse
+
+    def class_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word and class of each distinct such pair, its training count, and each token's."""
+        key, inverse, count = self._distinct(self.tokens * CLASSES + self.token_class)
+        return key // CLASSES, key % CLASSES, count, inverse
+
+
+def _hot_place(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Where the codes stand among the frequent ones; -1 for others."""
+    if not len(hot):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
+    return np.where(hot[at] == codes, at, -1)
+
+
+def contexts(before: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The context that a pair is counted in: its first word, with the second's first bits where that is frequent."""
+    with np.errstate(over="ignore"):
+        return mix(before + np.where(hot >= 0, (word >> _U(64 - HOT_LEVELS)) + _U(1), _U(0)) * _U(0x9E3779B97F4A7C15))
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
+# -- words: exact counts ----------------------------------------------------------
 
-# -- blocks ---------------------------------------------------------------------
+ASKED = "block int, chunk long, codes binary, classes binary, counts binary"
+ANSWERS = "kind int, chunk long, block int, a binary, b binary, code long, n long"
 
-BLOCK = "block int, words binary, lengths binary, classes binary, learned binary, n_learned long, n_kinds long, chunks array<long>, pairs array<binary>, places array<binary>, docs array<binary>, counts array<binary>"
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
 
-def merged(parts: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block: its distinct (class, word) pairs in order, and each chunk's places by pair."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and r[0] != now:
-                    yield _merge(rows)
-                    rows = []
-                    pa.default_memory_pool().release_unused()
-                now = r[0]
-                rows.append(r)
-        if rows:
-            yield _merge(rows)
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of a sorted partition, a key's at a time."""
+    rows: list[dict] = []
+    for r in _rows(batches):
+        if rows and r[key] != rows[0][key]:
+            yield rows
+            rows = []
+            pa.default_memory_pool().release_unused()
+        rows.append(r)
+    if rows:
+        yield rows
 
-    placed = parts.select(*_PART_NAMES).repartition(blocks, "block").sortWithinPartitions("block", "chunk")
-    return placed.mapInArrow(run, BLOCK)
 
+def _word_block(codes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((codes >> _U(44)).astype(np.int64) * blocks) >> 20
 
-def _merge(rows: list[tuple]) -> pa.RecordBatch:
-    cls = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    lengths = np.concatenate([_wide(r[3], len(r[4])) for r in rows])
-    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-    ends = np.cumsum(lengths)
-    h = span_hashes(data, ends - lengths, ends)
-    with np.errstate(over="ignore"):
-        key = mix(h + (cls.astype(_U) + _U(1)) * _ODD[0])
-    by = np.argsort(key)
-    run = np.cumsum(np.r_[0, key[by][1:] != key[by][:-1]])
-    first = by[np.r_[True, key[by][1:] != key[by][:-1]]]
-    kind = np.empty(len(key), np.int64)
-    kind[by] = run
-    learned = np.bincount(kind, np.concatenate([np.frombuffer(r[5], np.uint32) for r in rows])).astype(np.int64)
-    # words sort with their stop, so that equal beginnings stand together bit by bit
-    raw = data.tobytes()
-    spelled = [bytes([c]) + raw[e - n : e] + b" " for c, e, n in zip(cls[first].tolist(), ends[first].tolist(), lengths[first].tolist())]
-    order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    kind = place[kind]
-    total, own = learned[order], first[order]
-    known = np.unique(h[first][learned > 0])
-    cuts = np.cumsum([0] + [len(r[4]) for r in rows])
-    columns = [
-        pa.array([rows[0][0]], pa.int32()),
-        pa.array([_ragged(data, (ends - lengths)[own], lengths[own]).tobytes()], pa.binary()),
-        pa.array([lengths[own].astype(np.uint32).tobytes()], pa.binary()),
-        pa.array([cls[own].tobytes()], pa.binary()),
-        pa.array([total.tobytes()], pa.binary()),
-        pa.array([int(total.sum())], pa.int64()),
-        pa.array([len(known)], pa.int64()),
-        pa.array([[r[1] for r in rows]], pa.list_(pa.int64())),
-        pa.array([[kind[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]], pa.list_(pa.binary())),
-        *[pa.array([[r[k] for r in rows]], pa.list_(pa.binary())) for k in (6, 7, 8)],
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
+def word_counts(parts: DataFrame, blocks: int, n_train: int) -> DataFrame:
+    """``kind`` 0: for a chunk, counts of its words and of its words by class; 1: frequent words; 2: number of words, and of those seen once."""
 
-# -- bits ---------------------------------------------------------------------------
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            c = Chunk(row)
+            word, cls, count, _ = c.class_words()
+            code = c.codes[word]
+            block = _word_block(code, blocks)
+            out = []
+            for b, at in _by_block(block):
+                out.append((b, row["chunk"], code[at].tobytes(), pack(cls[at]), pack(count[at])))
+            yield _packed_batch([x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int64()] + [pa.binary()] * 3, out)
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in ANSWERS.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        for rows in _grouped(batches, "block"):
+            codes = np.frombuffer(b"".join(r["codes"] for r in rows), _U)
+            cls = np.concatenate([unpack(r["classes"]) for r in rows])
+            count = np.concatenate([unpack(r["counts"]) for r in rows])
+            order = np.lexsort((cls, codes))
+            c, k, n = codes[order], cls[order], count[order]
+            new = np.r_[True, c[1:] != c[:-1]]
+            pair = np.cumsum(np.r_[True, new[1:] | (k[1:] != k[:-1])]) - 1
+            word = np.cumsum(new) - 1
+            of_word = np.bincount(word, n).astype(np.int64)
+            total, own = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+            total[order] = of_word[word]
+            own[order] = np.bincount(pair, n).astype(np.int64)[pair]
+            cuts = np.cumsum([0] + [len(r["codes"]) // 8 for r in rows])
+            out = [(0, r["chunk"], r["block"], pack(total[a:b]), pack(own[a:b]), None, None) for r, a, b in zip(rows, cuts[:-1], cuts[1:])]
+            out.append((2, None, None, None, None, int((of_word == 1).sum()), int((of_word > 0).sum())))
+            for at in np.flatnonzero((of_word * HOT > n_train) & (of_word > 0)).tolist():
+                out.append((1, None, None, None, None, int(c[new][at].astype(np.int64)), int(of_word[at])))
+            yield _packed_batch(names, kinds, out)
 
-class Bits:
-    """The bytes of some words, each with its stop, and what stands before each byte."""
+    asked = parts.select("chunk", "held", "lengths", "classes", "blob", "word_lengths", "tokens").mapInArrow(ask, ASKED)
+    return asked.repartition(blocks, "block").sortWithinPartitions("block", "chunk").mapInArrow(answer, ANSWERS)
+
+
+def _by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(block, kind="stable")
+    sorted_block = block[order]
+    cuts = np.flatnonzero(np.r_[True, sorted_block[1:] != sorted_block[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
+        yield int(sorted_block[a]), order[a:b]
+
+
+# -- tables of fixed size -----------------------------------------------------------
+
+
+def _sums(df: DataFrame, size: int) -> np.ndarray:
+    """Adds up ``cell, n`` rows; there are at most ``size`` cells."""
+    out = np.zeros(size, np.int64)
+    for cell, n in df.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[cell] = n
+    return out
+
+
+def _cells(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(total)
+    for part in np.array_split(at, -(-len(at) // 100_000)) if len(at) else ():
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], names=["cell", "n"])
 
-    def __init__(self, blob: np.ndarray, lengths: np.ndarray, classes: np.ndarray):
-        full = lengths + 1
-        ends = np.cumsum(full)
-        self.byte = np.full(int(ends[-1]) if len(ends) else 0, _STOP, np.uint8)
-        self.word = np.repeat(np.arange(len(lengths), dtype=np.int32), full)
-        starts = ends - full
-        self.place = (np.arange(len(self.byte)) - starts[self.word]).astype(np.int32)
-        self.byte[self.place < lengths[self.word]] = blob
-        self.cls = classes[self.word].astype(np.uint32)
-        before = []
-        for k in (1, 2, 3):
-            x = np.zeros(len(self.byte), np.uint32)
-            x[k:] = self.byte[:-k]
-            x[self.place < k] = 0
-            before.append(x)
-        up, down = _Powers.to(len(self.byte) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_CODES[self.byte] * up[: len(self.byte)], dtype=_U)])
-            at = np.arange(len(self.byte))
-            self.prefix = mix((sums[at] - sums[starts[self.word]]) * down[starts[self.word]] + self.place.astype(_U))
-            one, two = before[0].astype(_U), before[1].astype(_U)
-            cls = self.cls.astype(_U) + _U(1)
-            young = self.place < SHARED_BYTES
-            beginning = np.where(young, self.prefix, (one << _U(8) | two) * _ODD[4] + _U(7))
-            self.contexts = [
-                mix(np.where(young, self.prefix, (one << _U(8) | two) * _ODD[1]) + _U(1)),
-                mix((one << _U(16) | two << _U(8) | before[2].astype(_U)) * _ODD[2] + _U(2)),
-                mix(beginning * _ODD[3] + cls * _ODD[0]),
-            ]
-
-    def bit(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The partial byte before bit i (with a leading one), and the bit."""
-        b = self.byte.astype(np.uint32)
-        return (1 << i | b >> (8 - i)).astype(np.uint32), (b >> (7 - i) & 1).astype(np.uint8)
-
-    def slots(self, i: int) -> list[np.ndarray]:
-        node, _ = self.bit(i)
-        with np.errstate(over="ignore"):
-            step = node.astype(_U) * _ODD[2]
-            return [(((c + step) * _ODD[1]) >> _U(64 - SLOT_BITS)).astype(np.int64) for c in self.contexts]
-
-    def exact(self, i: int, order: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often the bit's context, and a one in it, was learned. ``order`` puts equal contexts together."""
-        node, bit = self.bit(i)
-        with np.errstate(over="ignore"):
-            k = key + node[order].astype(_U) * _ODD[4]
-        run = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) if len(k) else np.zeros(0, np.int64)
-        n = np.bincount(run, weight)
-        ones = np.bincount(run, weight * bit[order])
-        out_n, out_ones = np.empty(len(k), np.float32), np.empty(len(k), np.float32)
-        out_n[order], out_ones[order] = n[run], ones[run]
-        return out_n, out_ones
-
-
-def _tables_of(rows: Iterator[tuple]) -> np.ndarray:
-    """Counts of zeros and ones in every slot of every hashed table, over blocks."""
-    counts = np.zeros((TABLES, SLOTS * 2))
-    for blob, lengths, classes, learned in rows:
-        at = np.cumsum(lengths) - lengths
-        for lo, hi in _word_slices(lengths):
-            own = np.flatnonzero(learned[lo:hi] > 0) + lo
-            if not len(own):
-                continue
-            bits = Bits(_ragged(blob, at[own], lengths[own]), lengths[own], classes[own])
-            weight = learned[own].astype(float)[bits.word]
-            for i in range(8):
-                _, bit = bits.bit(i)
-                for t, slot in enumerate(bits.slots(i)):
-                    counts[t] += np.bincount(slot * 2 + bit, weight, SLOTS * 2)
-    return np.ascontiguousarray(counts.reshape(TABLES, SLOTS, 2).transpose(0, 2, 1))
-
-
-def _word_slices(lengths: np.ndarray, most: int = 400_000) -> Iterator[tuple[int, int]]:
-    total = np.cumsum(lengths + 1)
-    lo = 0
-    while lo < len(lengths):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
-def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for k in range(len(batch)):
-        col = lambda c, k=k: batch.column(batch.schema.get_field_index(c))[k].as_py()
-        yield np.frombuffer(col("words"), np.uint8), np.frombuffer(col("lengths"), np.uint32).astype(np.int64), np.frombuffer(col("classes"), np.uint8), np.frombuffer(col("learned"), np.int64)
-
-
-def tables(blocks: DataFrame) -> np.ndarray:
-    """The hashed tables, summed over all blocks: a fixed size, whatever the corpus."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _tables_of(r for b in batches for r in _block_rows(b))
-        flat = counts.astype(np.float32).reshape(-1, 1 << 13)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array([x.tobytes() for x in flat], pa.binary())], names=["piece", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.float32).astype(np.float64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["piece", "sums"])
-
-    pieces = TABLES * 2 * SLOTS // (1 << 13)
-    schema = "piece int, sums binary"
-    summed = blocks.select("words", "lengths", "classes", "learned").mapInArrow(part, schema).repartition(min(pieces, partitions(blocks.sparkSession)), "piece").mapInArrow(add, schema)
-    out = np.zeros((pieces, 1 << 13), np.float32)
-    for r in summed.collect():  # 6 MB, whatever the corpus
-        out[r["piece"]] = np.frombuffer(r["sums"], np.float32)
-    return out.reshape(TABLES, 2, SLOTS)
-
-
-class Mixer:
-    """Gated weights over the predictors' log odds, learned online, and the table that refines the mix. One for each bit of a byte."""
-
-    def __init__(self):
-        self.weights = np.full((PREDICTORS + 1, GATES), 0.25, np.float32)
-        self.weights[-1] = 0.0
-        self.seen = np.zeros((256, BUCKETS))
-        self.ones = np.zeros((256, BUCKETS))
-
-    def mixed(self, s: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(gate), np.float32)
-        for f in range(PREDICTORS + 1):
-            z += s[f] * self.weights[f][gate]
-        return np.clip(z, -12, 12, out=z)
-
-    def learn(self, s: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
-        """Batches of bits, each a damped step of every gate's weights towards fewer bits. Bits must be sorted by gate."""
-        steps = max(1, len(bit) // BATCH)
-        for k in range(steps):
-            x, g, y, w = s[:, k::steps], gate[k::steps], bit[k::steps], weight[k::steps]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            own = g[first]
-            p = 1 / (1 + np.exp(-self.mixed(x, g)))
-            total = np.add.reduceat(w, first) + np.float32(1e-9)
-            slope = np.add.reduceat(x * (w * (y - p)), first, axis=1) / total
-            curve = np.add.reduceat(x * x * (w * p * (1 - p)), first, axis=1) / total
-            self.weights[:, own] += np.clip(0.15 * slope / (curve + 0.02), -0.2, 0.2)
-
-    @staticmethod
-    def bucket(z: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(z * 2), -16, 16).astype(np.int64) + 16
-
-    def refine(self, z: np.ndarray, node: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
-        at = node.astype(np.int64) * BUCKETS + self.bucket(z)
-        self.seen += np.bincount(at, weight, 256 * BUCKETS).reshape(256, BUCKETS)
-        self.ones += np.bincount(at, weight * bit, 256 * BUCKETS).reshape(256, BUCKETS)
-
-    def probability(self, z: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Of a one: the mean of the mixed and the refined probability."""
-        # how far the outcomes of a bucket lay from its middle is carried over to z
-        middle = (np.arange(BUCKETS) - 16) / 2
-        n, ones = self.seen + 8, self.ones + 8 / (1 + np.exp(-middle))
-        shift = (np.log(ones / np.maximum(n - ones, 1e-9)) - middle).astype(np.float32)
-        refined = np.clip(z + shift[node, self.bucket(z)], -14, 14)
-        return 0.5 / (1 + np.exp(-z)) + 0.5 / (1 + np.exp(-refined))
-
-
-def _inputs(counts: list[tuple[np.ndarray, np.ndarray]], bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of every predictor out of its zeros and ones, and the gate; with ``bit``, one observation of it is left out."""
-    s = np.empty((PREDICTORS + 1, len(counts[0][0])), np.float32)
-    gate = np.zeros(s.shape[1], np.int64)
-    for f, (zeros, ones) in enumerate(counts):
-        if bit is not None:
-            zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
-        spare = np.float32(0.2 if f < TABLES else 0.02)
-        np.log((ones + spare) / (zeros + spare), out=s[f])
-        if f >= TABLES:
-            n = zeros + ones
-            gate *= len(LEVELS) + 1
-            for level in LEVELS:
-                gate += n > level
-    np.clip(s, -9, 9, out=s)
-    s[-1] = 0.3
-    return s, gate
-
-
-def word_scores(blob: np.ndarray, lengths: np.ndarray, classes: np.ndarray, learned: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """log2 probability of each (class, word) of a block, sorted by class and word.
-
-    Bit by bit: learns the bit's weights and refinement from the training
-    counts, then gives every word its share.
-    """
-    bits = Bits(blob, lengths, classes)
-    weight = learned.astype(np.float32)[bits.word]
-    # equal beginnings of one class, and of all classes, put together
-    per_class = np.argsort(bits.place, kind="stable").astype(np.int32)
-    full = lengths + 1
-    starts, ends = np.cumsum(full) - full, np.cumsum(lengths)
-    raw = blob.tobytes()
-    spelled = [raw[e - n : e] + b" " for e, n in zip(ends.tolist(), lengths.tolist())]
-    by_word = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
-    flat = np.arange(len(bits.byte)) + np.repeat(starts[by_word] - (np.cumsum(full[by_word]) - full[by_word]), full[by_word])
-    over_all = flat[np.argsort(bits.place[flat], kind="stable")].astype(np.int32)
-    del flat
-    young = bits.place < SHARED_BYTES  # shorter beginnings are shared with other blocks: a hashed table has them
-    known = np.flatnonzero(weight > 0)
-    known_weight = weight[known]
-    total = np.zeros(len(lengths))
-    for i in range(8):
-        node, bit = bits.bit(i)
-        counts = [(shared[t, 0][slot], shared[t, 1][slot]) for t, slot in enumerate(bits.slots(i))]
-        for order, factor in ((per_class, _ODD[0]), (over_all, _U(0))):
-            with np.errstate(over="ignore"):
-                key = (bits.prefix + bits.cls.astype(_U) * factor)[order]
-            n, ones = bits.exact(i, order, key, weight[order])
-            # the hashed tables of beginnings, with and without the class, stand in where this block alone does not know
-            zeros, hashed = counts[2 if factor else 0]
-            counts.append((np.where(young, zeros, n - ones), np.where(young, hashed, ones)))
-        mixer = Mixer()
-        if len(known):
-            y = bit[known]
-            s, gate = _inputs([(z[known], o[known]) for z, o in counts], y)
-            by = np.argsort(gate.astype(np.uint8), kind="stable")
-            s, gate, y, w, at = s[:, by], gate[by], y[by], known_weight[by], node[known][by]
-            mixer.learn(s, gate, y, w)
-            mixer.refine(mixer.mixed(s, gate), at, y, w)
-        for lo in range(0, len(bit), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            s, gate = _inputs([(z[part], o[part]) for z, o in counts], None)
-            p = np.clip(mixer.probability(mixer.mixed(s, gate), node[part]), 1e-7, 1 - 1e-7)
-            total += np.bincount(bits.word[part], np.log2(np.where(bit[part] == 1, p, 1 - p)), len(lengths))
-    return total
-
-
-SUMS = "chunk long, docs binary, score binary, base binary, known binary"
-
-
-def block_sums(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
-    """For each chunk, sums over its documents' words in a task's blocks: log10 score, log10 (count + 1) + 1, known tokens."""
-    broadcast = blocks.sparkSession.sparkContext.broadcast(shared)
+
+def tables(parts: DataFrame, hot: np.ndarray, n_words: int, n_once: int, n_train: int) -> Tables:
+    ends = np.cumsum([CLASSES * LEAVES, len(hot) << HOT_LEVELS, SPELLED * 256, CLASSES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the sums of a task's blocks are added up before they leave, as far as they fit
-        sums: dict[int, np.ndarray] = {}
+        total = np.zeros(ends[-1], np.int64)
+        for row in _rows(batches):
+            c = Chunk(row)
+            learn = c.token_learn
+            code = c.codes[c.tokens[learn]]
+            leaf = (code >> _U(64 - LEVELS)).astype(np.int64)
+            total[: ends[0]] += np.bincount(c.token_class[learn] * LEAVES + leaf, minlength=ends[0])
+            place = _hot_place(c.codes, hot)[c.before[learn]]
+            top = (code >> _U(64 - HOT_LEVELS)).astype(np.int64)
+            total[ends[0] : ends[1]] += np.bincount((place << HOT_LEVELS | top)[place >= 0], minlength=ends[1] - ends[0])
+            spelled, byte, word = c.spelled()
+            times = np.bincount(c.tokens[learn], minlength=len(c.codes))[word]
+            times[word == 0] = 0
+            total[ends[1] : ends[2]] += np.bincount(spelled << 8 | byte, times, ends[2] - ends[1]).astype(np.int64)
+            total[ends[2] :] += np.bincount(c.classes[c.learn], minlength=CLASSES)
+        yield from _cells(total)
+
+    columns = parts.select("held", "lengths", "classes", "blob", "word_lengths", "tokens")
+    leaves, hot_leaves, spelling, classes = np.split(_sums(columns.mapInArrow(run, "cell long, n long"), int(ends[-1])), ends[:-1])
+    classes = (classes + 1) / (classes + 1).sum()
+    # as many tokens are unknown as words were seen once
+    unknown = (n_once + 1) / (n_train + 2) if n_words else 1.0
+    return Tables(
+        hot, leaves.reshape(CLASSES, LEAVES), hot_leaves.reshape(len(hot), 1 << HOT_LEVELS), _spelling(spelling.reshape(SPELLED, 256)), -np.log2(classes), float(-np.log2(max(1 - unknown, 1e-9))), float(-np.log2(unknown))
+    )
+
+
+# -- pairs: bits ----------------------------------------------------------------------
+
+PAIRS = "block int, chunk long, context binary, runs binary, classes binary, hot binary, codes binary, counts binary"
+_PAIR_NAMES = [x.split()[0] for x in PAIRS.split(", ")]
+#: Further code bits that tell words of equal first bits apart in a context.
+TELLING = 10
+
+
+def ask_pairs(parts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
+    """Each chunk's distinct pairs, dealt over blocks by context."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, total in sums.items():
-                docs = np.flatnonzero(total[1])
-                if len(docs):
-                    cells = [docs.astype(np.uint16), total[0][docs], total[1][docs], total[2][docs].astype(np.uint32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in cells]], names=[x.split()[0] for x in SUMS.split(", ")])
-            sums.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            c = Chunk(row)
+            cls, before, word, count, _ = c.pairs()
+            place = _hot_place(c.codes, hot)
+            context = contexts(c.codes[before], c.codes[word], place[before])
+            out = []
+            for b, at in _by_block(((context >> _U(32)).astype(np.int64) * blocks) >> 32):
+                key = context[at]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cls[at][1:] != cls[at][:-1])])
+                head = at[new]
+                code = (c.codes[word[at]] >> _U(64 - LEVELS - TELLING)).astype(np.int64)
+                out.append((b, row["chunk"], context[head].tobytes(), pack(np.diff(np.r_[new, len(at)])), pack(cls[head]), pack(place[before[head]] + 1), pack(code), pack(count[at])))
+            yield _packed_batch(_PAIR_NAMES, [pa.int32(), pa.int64()] + [pa.binary()] * 6, out)
+
+    asked = parts.select("chunk", "held", "lengths", "classes", "blob", "word_lengths", "tokens").mapInArrow(run, PAIRS)
+    placed = asked.repartition(blocks, "block").sortWithinPartitions("block", "chunk")
+    lists = ", ".join(f"{x.split()[0]} array<{x.split()[1]}>" for x in PAIRS.split(", ")[1:])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "block"):
+            cells = [pa.array([rows[0]["block"]], pa.int32())] + [pa.array([[r[x] for r in rows]], pa.list_(pa.int64() if x == "chunk" else pa.binary())) for x in _PAIR_NAMES[1:]]
+            yield pa.RecordBatch.from_arrays(cells, names=_PAIR_NAMES)
+
+    return placed.mapInArrow(gather, f"block int, {lists}")
+
+
+class PairBlock:
+    """All pairs of a block: counts along the code bits of each, in its context."""
+
+    def __init__(self, row: dict, tables: Tables, trees: list):
+        self.trees = trees
+        runs = [unpack(x) for x in row["runs"]]
+        each = np.concatenate(runs)
+        spread = lambda name, shift=0: np.repeat(np.concatenate([unpack(x) for x in row[name]]) - shift, each)
+        context = np.repeat(np.frombuffer(b"".join(row["context"]), _U), each)
+        code = np.concatenate([unpack(x) for x in row["codes"]])
+        count = np.concatenate([unpack(x) for x in row["counts"]])
+        cls, hot = spread("classes"), spread("hot", 1)
+        self.chunks = list(zip(row["chunk"], np.cumsum([0] + [int(r.sum()) for r in runs])[:-1], np.cumsum([int(r.sum()) for r in runs])))
+        order = np.lexsort((cls, code, context))
+        ctx, c, k = context[order], code[order], cls[order]
+        new_context = np.r_[True, ctx[1:] != ctx[:-1]]
+        new_pair = np.r_[True, new_context[1:] | (c[1:] != c[:-1])]
+        new = np.r_[True, new_pair[1:] | (k[1:] != k[:-1])]
+        # events: distinct (context, code, class); pairs: distinct (context, code)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        head = order[new]
+        self.cls, self.hot = cls[head], hot[head]
+        self.count = np.bincount(self.of, count, len(head)).astype(np.int64)  # of the pair in texts of the class
+        self.pair = np.cumsum(new_pair[new]) - 1
+        first = np.flatnonzero(new_pair[new])
+        self.pair_code = code[head[first]]
+        self.pair_context = np.cumsum(new_context[new][first]) - 1
+        self.pair_count = np.bincount(self.pair, self.count, len(first)).astype(np.int64)
+
+    def nodes(self, level: int) -> np.ndarray:
+        """For each pair, the count of its context's pairs that share its first ``level`` bits."""
+        key = self.pair_context << level | self.pair_code >> (LEVELS + TELLING - level)
+        head = np.r_[True, key[1:] != key[:-1]]
+        at = np.flatnonzero(head)
+        return np.add.reduceat(self.pair_count, at)[np.cumsum(head) - 1]
+
+    def walk(self) -> Iterator[tuple[tuple, tuple, tuple]]:
+        """Level by level, (own, other) counts of the bit taken: in the context, in the class, plain."""
+        above = self.nodes(0)[self.pair]
+        code = self.pair_code[self.pair]
+        frequent = np.flatnonzero(self.hot >= 0)
+        for b in range(LEVELS):
+            below = self.nodes(b + 1)[self.pair]
+            node = code >> (LEVELS + TELLING - b - 1)
+            own, other = below, above - below
+            if b < HOT_LEVELS and len(frequent):
+                own, other = own.copy(), other.copy()
+                tree = self.trees[b + 1][2]
+                f, h = node[frequent], self.hot[frequent]
+                own[frequent], other[frequent] = tree[h, f], tree[h, f ^ 1]
+            above = below
+            by_class, plain, _ = self.trees[b + 1]
+            yield (own, other), (by_class[self.cls, node], by_class[self.cls, node ^ 1]), (plain[node], plain[node ^ 1])
+
+
+#: Cells behind the joint states: by count of a context's leaf, tokens whose pair was seen but for themselves, and all.
+SEEN_LEVELS = 16
+
+
+def learn(blocks: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """How often each joint state was seen, and how often a pair's leaf held the pair, over all training tokens."""
+    spread = blocks.sparkSession.sparkContext.broadcast(pickle.dumps(tables))
 
-        for batch in batches:
-            for k, (blob, lengths, classes, learned) in enumerate(_block_rows(batch)):
-                score = word_scores(blob, lengths, classes, learned, broadcast.value) * np.log10(2)
-                pa.default_memory_pool().release_unused()
-                # a word's count is over all classes
-                ends = np.cumsum(lengths)
-                h = span_hashes(blob, ends - lengths, ends)
-                _, same = np.unique(h, return_inverse=True)
-                count = np.bincount(same, learned)[same]
-                # log10 (count + 1), with one more for each token, so that no document's sum is 0
-                values = (score, np.log10(count + 1) + 1, (count > 0).astype(float))
-                cells = {c: batch.column(batch.schema.get_field_index(c))[k].as_py() for c in ("chunks", "pairs", "places", "docs", "counts")}
-                for chunk, pairs, places, docs, counts in zip(*cells.values()):
-                    pair = np.repeat(np.frombuffer(pairs, np.uint32), np.frombuffer(places, np.uint32))
-                    doc = np.frombuffer(docs, np.uint16)
-                    n = _wide(counts, len(doc)).astype(float)
-                    own = np.array([np.bincount(doc, n * v[pair]) for v in values])
-                    total = sums.get(chunk)
-                    if total is None or total.shape[1] < own.shape[1]:
-                        wider = np.zeros((3, own.shape[1] + 64))
-                        if total is not None:
-                            wider[:, : total.shape[1]] = total
-                        total = sums[chunk] = wider
-                    total[:, : own.shape[1]] += own
-                if sum(x.shape[1] for x in sums.values()) > SUMMED_DOCS:
-                    yield from flush()
-        yield from flush()
-
-    return blocks.mapInArrow(run, SUMS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(spread.value)
+        trees = known.trees()
+        total = np.zeros(JOINT + 2 * SEEN_LEVELS, np.int64)
+        for row in _rows(batches):
+            p = PairBlock(row, known, trees)
+            at = np.flatnonzero(p.count)
+            if not len(at):
+                continue
+            n = p.count[at]
+            # a token is left out of the counts that predict it
+            less = lambda x: np.maximum(x[at] - 1, 0)
+            for (a, b), (c, d), (e, f) in p.walk():
+                states = joint(pair_state(less(a), b[at]), class_state(less(c), d[at]), plain_state(less(e), f[at]))
+                total[:JOINT] += np.bincount(states, n, JOINT).astype(np.int64)
+            level = np.searchsorted(_PAIR_LEVELS, less(p.nodes(LEVELS)[p.pair]), "right")
+            seen = p.pair_count[p.pair][at] > 1
+            total[JOINT : JOINT + SEEN_LEVELS] += np.bincount(level, n * seen, SEEN_LEVELS).astype(np.int64)
+            total[JOINT + SEEN_LEVELS :] += np.bincount(level, n, SEEN_LEVELS).astype(np.int64)
+        yield from _cells(total)
+
+    total = _sums(blocks.mapInArrow(run, "cell long, n long"), JOINT + 2 * SEEN_LEVELS)
+    return total[:JOINT], total[JOINT:].reshape(2, SEEN_LEVELS)
+
+
+#: Bits are sent in steps of 1/256, rounded up; shares in steps of 1/65535, rounded down.
+STEP, SHARES = 256, 65535
+SCORES = "chunk long, block int, bits binary, shares binary, leaf binary"
+
+
+def pair_scores(blocks: DataFrame, tables: Tables, cost: np.ndarray) -> DataFrame:
+    """For each chunk and block: bits of each pair's code, the pair's share of its leaf in the context, and the leaf's level."""
+    spread = blocks.sparkSession.sparkContext.broadcast(pickle.dumps((tables, cost)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, costs = pickle.loads(spread.value)
+        trees = known.trees()
+        for row in _rows(batches):
+            p = PairBlock(row, known, trees)
+            bits = np.zeros(len(p.cls))
+            for (a, b), (c, d), (e, f) in p.walk():
+                bits += costs[joint(pair_state(a, b), class_state(c, d), plain_state(e, f))]
+            leaf = p.nodes(LEVELS)[p.pair]
+            share = np.floor(SHARES * p.pair_count[p.pair] / np.maximum(leaf, 1)).astype(np.int64)
+            bits = np.ceil(bits * STEP).astype(np.int64)
+            level = np.searchsorted(_PAIR_LEVELS, leaf, "right")
+            out = [(chunk, row["block"], pack(bits[p.of[a:b]]), pack(share[p.of[a:b]]), pack(level[p.of[a:b]])) for chunk, a, b in p.chunks]
+            yield _packed_batch([x.split()[0] for x in SCORES.split(", ")], [pa.int64(), pa.int32()] + [pa.binary()] * 3, out)
+
+    return blocks.mapInArrow(run, SCORES)
 
 
 # -- the whole ------------------------------------------------------------------------
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double, bits_per_byte double"
+
+
+def _finish(rows: list[dict], word_blocks: int, pair_blocks: int, known: Tables, trust: np.ndarray, n_train: int, n_words: int) -> pa.RecordBatch:
+    """A chunk's documents from its tokens and the answers for its words and pairs."""
+    own = next(r for r in rows if r["kind"] == 0)
+    c = Chunk(own)
+    word, cls, _, class_word = c.class_words()
+    total, in_class = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    answers = {r["block"]: r for r in rows if r["kind"] == 1}
+    for b, at in _by_block(_word_block(c.codes[word], word_blocks)):
+        total[at], in_class[at] = unpack(answers[b]["a"]), unpack(answers[b]["b"])
+    p_cls, before, p_word, _, pair = c.pairs()
+    context = contexts(c.codes[before], c.codes[p_word], _hot_place(c.codes, known.hot)[before])
+    bits, share, level = (np.zeros(len(p_cls), np.int64) for _ in range(3))
+    answers = {r["block"]: r for r in rows if r["kind"] == 2}
+    for b, at in _by_block(((context >> _U(32)).astype(np.int64) * pair_blocks) >> 32):
+        bits[at], share[at], level[at] = (unpack(answers[b][x]) for x in ("a", "b", "c"))
+    # what words of equal first bits share: by the word before, then by class, then by all
+    leaf = (c.codes[word] >> _U(64 - LEVELS)).astype(np.int64)
+    by_class, plain = known.leaves[cls, leaf], known.leaves.sum(0)[leaf]
+    low = (in_class + total / np.maximum(plain, 1)) / (by_class + 1)
+    n = total[class_word]
+    w = trust[level[pair]]
+    p = w * (share[pair] / SHARES) + (1 - w) * low[class_word]
+    seen = n > 0
+    context, byte, word = c.spelled()
+    spelled = np.bincount(word, known.spelling[context, byte])[c.tokens]
+    each = np.where(seen, known.known_bits + bits[pair] / STEP - np.log2(np.where(seen, p, 1)), known.unknown_bits + spelled)
+    starts = np.cumsum(c.lengths) - c.lengths
+    score_bits = np.add.reduceat(each, starts) + known.class_bits[c.classes]
+    base = np.add.reduceat(np.log10(n + 1), starts) - c.lengths * np.log10(n_train + n_words + 1)
+    n_bytes = unpack(own["n_bytes"])
+    columns = [
+        pa.array(own["doc_ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(c.lengths), pa.array(np.add.reduceat(seen.astype(np.int64), starts)), pa.array(np.full(len(starts), n_train)),
+        pa.array(base), pa.array(-score_bits * np.log10(2)), pa.array(score_bits), pa.array(score_bits / np.maximum(n_bytes, 1)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
+
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``docs``: doc_id, text, held_out."""
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
-    blocks = 5 * n_parts
+def score_texts(docs: DataFrame, chunk: int = 0, block: int = 0) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte``. ``docs``: doc_id, text, held_out."""
+    spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(True)).alias("held_out"))
     # written, so that documents' places in their chunks stay what they are
-    parts = written(chunks(rows, blocks), "mixing-chunks")
-    by_block = written(merged(parts.where("kind = 0"), blocks), "mixing-blocks")
-    totals = by_block.agg(F.coalesce(F.sum("n_learned"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_kinds"), F.lit(0)).alias("v")).first()
-    meta = parts.where("kind = 1").select("chunk", "doc_ids", "held_out", "n_tokens", "doc_classes")
-    shares = np.ones(CLASSES)
-    pairs = meta.select(F.explode(F.arrays_zip("doc_classes", "held_out")).alias("x")).where("not x.held_out")
-    for r in pairs.groupBy(F.col("x.doc_classes").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most CLASSES rows
-        shares[r["c"]] += r["n"]
-    class_scores = np.log10(shares / shares.sum())
-    sums = written(block_sums(by_block, tables(by_block)), "mixing-sums")
-
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("doc_ids", "array<long>"), ("held_out", "array<boolean>"), ("n_tokens", "array<long>"), ("doc_classes", "array<int>"))]
-    left = meta.select("chunk", F.lit(0).alias("kind"), "doc_ids", "held_out", "n_tokens", "doc_classes", *[F.lit(None).cast("binary").alias(n) for n in ("docs", "score", "base", "known")])
-    right = sums.select("chunk", F.lit(1).alias("kind"), *empty, "docs", "score", "base", "known")
-    n, v = int(totals["n"]), int(totals["v"])
-    out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_of: list | None = None
-        score = base = known = None
-
-        def done() -> pa.RecordBatch:
-            ids, held, tokens, cls = docs_of
-            tokens = np.array(tokens, np.int64)
-            total = score + class_scores[np.array(cls)]
-            low = base - tokens * (1 + np.log10(n + v + 1))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(tokens), n)), pa.array(low), pa.array(total)], names=out_names)
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[1] == 0:
-                    if docs_of is not None:
-                        yield done()
-                    docs_of = list(r[2:6])
-                    score, base, known = (np.zeros(len(docs_of[0])) for _ in range(3))
-                else:
-                    at = np.frombuffer(r[6], np.uint16)
-                    for into, raw, kind in ((score, r[7], np.float64), (base, r[8], np.float64), (known, r[9], np.uint32)):
-                        into[at] += np.frombuffer(raw, kind)
-        if docs_of is not None:
-            yield done()
-
-    placed = left.unionByName(right).repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind")
-    return placed.mapInArrow(collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = written(chunks(rows, chunk), "mixing-chunks")
+    size = parts.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("train"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("chunks")).first()
+    n_train = int(size["train"])
+    blocks = max(partitions(spark), -(-int(size["tokens"]) // (block or BLOCK)))
+    counted = written(word_counts(parts, blocks, n_train), "mixing-words")
+    told = counted.where("kind = 2").agg(F.coalesce(F.sum("code"), F.lit(0)).alias("once"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    n_words = int(told["words"])
+    # fewer than HOT rows: each is more than one in HOT tokens
+    hot = np.sort(np.array([r["code"] for r in counted.where("kind = 1").select("code").collect()], np.int64).view(_U))
+    known = tables(parts, hot, n_words, int(told["once"]), n_train)
+    pairs = written(ask_pairs(parts, blocks, hot), "mixing-pairs")
+    counts, leaf = learn(pairs, known)
+    trust = (leaf[0] + 0.5) / (leaf[1] + 1.0)
+    trust[0] = 0
+    scored = pair_scores(pairs, known, fit(counts))
+
+    own = ["doc_ids", "held", "lengths", "n_bytes", "classes", "blob", "word_lengths", "tokens"]
+    none = {x.split()[0]: F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in CHUNKS.split(", ")}
+    no = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    left = parts.select("chunk", F.lit(0).alias("kind"), no("block", "int"), *own, no("a", "binary"), no("b", "binary"), no("c", "binary"))
+    words_told = counted.where("kind = 0").select("chunk", F.lit(1).alias("kind"), "block", *[none[x] for x in own], "a", "b", no("c", "binary"))
+    pairs_told = scored.select("chunk", F.lit(2).alias("kind"), "block", *[none[x] for x in own], F.col("bits").alias("a"), F.col("shares").alias("b"), F.col("leaf").alias("c"))
+    n_parts = max(partitions(spark), int(size["chunks"]))
+    spread = spark.sparkContext.broadcast(pickle.dumps((known, trust)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables_, trusted = pickle.loads(spread.value)
+        for group in _grouped(batches, "chunk"):
+            yield _finish(group, blocks, blocks, tables_, trusted, n_train, n_words)
+
+    together = left.unionByName(words_told).unionByName(pairs_told).repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind")
+    return together.mapInArrow(finish, RESULT)
