@@ -87,14 +87,14 @@ def span_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(lengths):
         return np.zeros(0, _U)
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
     with np.errstate(over="ignore"):
-        codes = _CODES[(place % _PLACES) << 8 | data]
+        codes = _CODES[(place & (_PLACES - 1)) << 8 | data]
         if lengths.max() > _PLACES:
             codes = mix(codes ^ mix((place // _PLACES).astype(_U) * _U(0xD6E8FEB86659FD93)))
             # short words keep the hash that they have among short ones
             short = np.repeat(lengths <= _PLACES, lengths)
-            codes[short] = _CODES[(place[short] % _PLACES) << 8 | data[short]]
+            codes[short] = _CODES[(place[short] & (_PLACES - 1)) << 8 | data[short]]
         return mix(np.add.reduceat(codes, starts) + lengths.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
@@ -107,6 +107,8 @@ class Words:
     hashes: np.ndarray
     bounds: np.ndarray
     lowered: np.ndarray
+    #: The words' bytes, one word behind the other.
+    packed: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -121,7 +123,7 @@ def words(piece: TextSlice, inside: np.ndarray = SPACED) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, _U), np.zeros(piece.rows + 1, np.int64), data)
+        return Words(none, none, np.zeros(0, _U), np.zeros(piece.rows + 1, np.int64), data, data)
     is_word = inside[data]
     edge = np.ones(n + 1, bool)
     edge[1:-1] = is_word[1:] != is_word[:-1]
@@ -130,8 +132,9 @@ def words(piece: TextSlice, inside: np.ndarray = SPACED) -> Words:
     cuts = np.flatnonzero(edge)
     keep = is_word[cuts[:-1]]
     starts, ends = cuts[:-1][keep], cuts[1:][keep]
-    hashes = span_hashes(data[is_word], ends - starts)
-    return Words(starts, ends, hashes, np.searchsorted(starts, piece.offsets), data)
+    packed = data[is_word]
+    hashes = span_hashes(packed, ends - starts)
+    return Words(starts, ends, hashes, np.searchsorted(starts, piece.offsets), data, packed)
 
 
 def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -52,9 +52,9 @@ from touchline.llm._arrow import partitions, written
 from touchline.llm._words import mix, span_hashes, text_slices, words
 
 #: Tokens of a chunk, about; it holds at least one text.
-CHUNK = 2_000_000
+CHUNK = 1_250_000
 #: Tokens that one block of pairs is meant for.
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 CLASSES, LEVELS = 16, 14
 HOT, HOT_LEVELS = 1024, 8
 LEAVES = 1 << LEVELS
@@ -92,8 +92,15 @@ PAIR_STATES, CLASS_STATES, PLAIN_STATES = 256, 49 + 64, 16
 JOINT = PAIR_STATES * CLASS_STATES * PLAIN_STATES
 
 
+_PAIR_LEVEL = np.searchsorted(_PAIR_LEVELS, np.arange(_PAIR_LEVELS[-1] + 1), "right").astype(np.int32)
+
+
+def pair_level(count: np.ndarray) -> np.ndarray:
+    return _PAIR_LEVEL[np.minimum(count, len(_PAIR_LEVEL) - 1)]
+
+
 def pair_state(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_PAIR_LEVELS, own, "right") << 4 | np.searchsorted(_PAIR_LEVELS, other, "right")
+    return pair_level(own) << 4 | pair_level(other)
 
 
 def _odds_level(own: np.ndarray, other: np.ndarray, step: float, half: int) -> np.ndarray:
@@ -203,13 +210,16 @@ class Tables:
     known_bits: float
     unknown_bits: float
 
-    def trees(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level the counts of its nodes, by class, plain, and by frequent first word."""
+    def trees(self, less: int = 0) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """For each level the class and plain state of a step to a node, by class, and counts by frequent first word. ``less`` is left out of what the step holds."""
         out = []
-        for b in range(LEVELS + 1):
+        for b in range(1, LEVELS + 1):
             by_class = self.leaves.reshape(CLASSES, 1 << b, -1).sum(2)
+            other = by_class[:, np.arange(1 << b) ^ 1]
+            own, plain = np.maximum(by_class - less, 0), np.maximum(by_class.sum(0) - less, 0)
+            states = class_state(own, other) * PLAIN_STATES + plain_state(plain, other.sum(0))
             hot = self.hot_leaves.reshape(len(self.hot), 1 << b, 1 << HOT_LEVELS - b).sum(2) if b <= HOT_LEVELS else None
-            out.append((by_class, by_class.sum(0), hot))
+            out.append((states.astype(np.int32), hot))
         return out
 
 
@@ -263,14 +273,16 @@ def chunks(docs: DataFrame, size: int = 0) -> DataFrame:
             tokens[inside] = number[kind] if len(h) else 0
             # a text's class: the commonest of its words, the least code of equals, by its code's last bits
             doc = np.repeat(np.arange(len(count)), count)
-            by = np.lexsort((h, doc))
-            d, x = doc[by], h[by]
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.zeros(0, np.int64)
+            key = np.sort(doc * len(often) + kind)  # kinds are in the order of their codes
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             times = np.diff(np.r_[new, len(h)])
-            best = np.lexsort((x[new], -times, d[new]))
-            lead = best[np.r_[True, d[new][best][1:] != d[new][best][:-1]]] if len(new) else new
+            d, k = np.divmod(key[new], max(len(often), 1))
+            most = np.zeros(len(count), np.int64)
+            np.maximum.at(most, d, times)
+            lead = np.flatnonzero(times == most[d])
+            lead = lead[np.r_[True, d[lead][1:] != d[lead][:-1]][: len(lead)]]
             classes = np.zeros(len(count), np.int64)
-            classes[d[new][lead]] = (x[new][lead] % _U(CLASSES)).astype(np.int64)
+            classes[d[lead]] = (h[order[head]][k[lead]] % _U(CLASSES)).astype(np.int64)
             out = pa.concat_arrays(held)
             learn = ~out.to_numpy(zero_copy_only=False).astype(bool)
             row = (
@@ -293,9 +305,8 @@ def chunks(docs: DataFrame, size: int = 0) -> DataFrame:
                 counts.append(w.counts())
                 sizes.append(np.diff(piece.offsets))
                 hashes.append(w.hashes)
-                span = w.ends - w.starts
-                blobs.append(w.lowered[np.arange(span.sum()) + np.repeat(w.starts - (np.cumsum(span) - span), span)])
-                lengths.append(span)
+                blobs.append(w.packed)
+                lengths.append(w.ends - w.starts)
                 total += len(w.hashes) + piece.rows
         if ids:
             yield close()
@@ -536,57 +547,54 @@ def ask_pairs(parts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
 class PairBlock:
     """All pairs of a block: counts along the code bits of each, in its context."""
 
-    def __init__(self, row: dict, tables: Tables, trees: list):
-        self.trees = trees
+    def __init__(self, row: dict):
         runs = [unpack(x) for x in row["runs"]]
         each = np.concatenate(runs)
-        spread = lambda name, shift=0: np.repeat(np.concatenate([unpack(x) for x in row[name]]) - shift, each)
-        context = np.repeat(np.frombuffer(b"".join(row["context"]), _U), each)
+        told, place = np.unique(np.frombuffer(b"".join(row["context"]), _U), return_inverse=True)
+        head = place << 32 | np.concatenate([unpack(x) for x in row["classes"]])
         code = np.concatenate([unpack(x) for x in row["codes"]])
-        count = np.concatenate([unpack(x) for x in row["counts"]])
-        cls, hot = spread("classes"), spread("hot", 1)
-        self.chunks = list(zip(row["chunk"], np.cumsum([0] + [int(r.sum()) for r in runs])[:-1], np.cumsum([int(r.sum()) for r in runs])))
-        order = np.lexsort((cls, code, context))
-        ctx, c, k = context[order], code[order], cls[order]
-        new_context = np.r_[True, ctx[1:] != ctx[:-1]]
-        new_pair = np.r_[True, new_context[1:] | (c[1:] != c[:-1])]
-        new = np.r_[True, new_pair[1:] | (k[1:] != k[:-1])]
+        key = np.repeat(head, each) | code << 4
+        hot = np.repeat(np.concatenate([unpack(x) for x in row["hot"]]).astype(np.int16) - 1, each)
+        sizes = np.cumsum([0] + [int(r.sum()) for r in runs])
+        self.chunks = list(zip(row["chunk"], sizes[:-1], sizes[1:]))
+        order = np.argsort(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
         # events: distinct (context, code, class); pairs: distinct (context, code)
-        self.of = np.empty(len(order), np.int64)
+        self.of = np.empty(len(order), np.int32)
         self.of[order] = np.cumsum(new) - 1
-        head = order[new]
-        self.cls, self.hot = cls[head], hot[head]
-        self.count = np.bincount(self.of, count, len(head)).astype(np.int64)  # of the pair in texts of the class
-        self.pair = np.cumsum(new_pair[new]) - 1
-        first = np.flatnonzero(new_pair[new])
-        self.pair_code = code[head[first]]
-        self.pair_context = np.cumsum(new_context[new][first]) - 1
-        self.pair_count = np.bincount(self.pair, self.count, len(first)).astype(np.int64)
+        self.hot = hot[order[new]]
+        self.count = np.bincount(self.of, np.concatenate([unpack(x) for x in row["counts"]]), int(new.sum())).astype(np.int32)  # of the pair in texts of the class
+        key = key[new]
+        self.cls = (key & 15).astype(np.int32)
+        key >>= 4
+        new = np.r_[True, key[1:] != key[:-1]]
+        self.pair = np.cumsum(new, dtype=np.int32) - 1
+        self.pair_key = key[new]
+        self.pair_code = (self.pair_key & ((1 << LEVELS + TELLING) - 1)).astype(np.int32)
+        self.pair_count = np.bincount(self.pair, self.count, len(self.pair_key)).astype(np.int32)
 
     def nodes(self, level: int) -> np.ndarray:
         """For each pair, the count of its context's pairs that share its first ``level`` bits."""
-        key = self.pair_context << level | self.pair_code >> (LEVELS + TELLING - level)
+        key = self.pair_key >> (LEVELS + TELLING - level)
         head = np.r_[True, key[1:] != key[:-1]]
-        at = np.flatnonzero(head)
-        return np.add.reduceat(self.pair_count, at)[np.cumsum(head) - 1]
-
-    def walk(self) -> Iterator[tuple[tuple, tuple, tuple]]:
-        """Level by level, (own, other) counts of the bit taken: in the context, in the class, plain."""
-        above = self.nodes(0)[self.pair]
-        code = self.pair_code[self.pair]
-        frequent = np.flatnonzero(self.hot >= 0)
-        for b in range(LEVELS):
-            below = self.nodes(b + 1)[self.pair]
+        return np.add.reduceat(self.pair_count, np.flatnonzero(head))[np.cumsum(head, dtype=np.int32) - 1]
+
+    def walk(self, trees: list, at: np.ndarray | None = None, less: int = 0) -> Iterator[np.ndarray]:
+        """Level by level the joint states of events, ``less`` tokens left out of what each step holds."""
+        pair, cls, hot = (x if at is None else x[at] for x in (self.pair, self.cls, self.hot))
+        above = self.nodes(0)
+        frequent = np.flatnonzero(hot >= 0)
+        code = self.pair_code[pair]
+        for b, (known, tree) in enumerate(trees):
+            below = self.nodes(b + 1)
+            state = pair_state(np.maximum(below - less, 0), above - below)[pair]
             node = code >> (LEVELS + TELLING - b - 1)
-            own, other = below, above - below
-            if b < HOT_LEVELS and len(frequent):
-                own, other = own.copy(), other.copy()
-                tree = self.trees[b + 1][2]
-                f, h = node[frequent], self.hot[frequent]
-                own[frequent], other[frequent] = tree[h, f], tree[h, f ^ 1]
+            if tree is not None and len(frequent):
+                f, h = node[frequent], hot[frequent]
+                state[frequent] = pair_state(np.maximum(tree[h, f] - less, 0), tree[h, f ^ 1])
             above = below
-            by_class, plain, _ = self.trees[b + 1]
-            yield (own, other), (by_class[self.cls, node], by_class[self.cls, node ^ 1]), (plain[node], plain[node ^ 1])
+            yield state * (CLASS_STATES * PLAIN_STATES) + known[cls, node]
 
 
 #: Cells behind the joint states: by count of a context's leaf, tokens whose pair was seen but for themselves, and all.
@@ -598,22 +606,19 @@ def learn(blocks: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     spread = blocks.sparkSession.sparkContext.broadcast(pickle.dumps(tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(spread.value)
-        trees = known.trees()
+        trees = pickle.loads(spread.value).trees(less=1)
         total = np.zeros(JOINT + 2 * SEEN_LEVELS, np.int64)
         for row in _rows(batches):
-            p = PairBlock(row, known, trees)
+            p = PairBlock(row)
             at = np.flatnonzero(p.count)
             if not len(at):
                 continue
             n = p.count[at]
             # a token is left out of the counts that predict it
-            less = lambda x: np.maximum(x[at] - 1, 0)
-            for (a, b), (c, d), (e, f) in p.walk():
-                states = joint(pair_state(less(a), b[at]), class_state(less(c), d[at]), plain_state(less(e), f[at]))
+            for states in p.walk(trees, at, less=1):
                 total[:JOINT] += np.bincount(states, n, JOINT).astype(np.int64)
-            level = np.searchsorted(_PAIR_LEVELS, less(p.nodes(LEVELS)[p.pair]), "right")
-            seen = p.pair_count[p.pair][at] > 1
+            level = pair_level(np.maximum(p.nodes(LEVELS) - 1, 0))[p.pair[at]]
+            seen = p.pair_count[p.pair[at]] > 1
             total[JOINT : JOINT + SEEN_LEVELS] += np.bincount(level, n * seen, SEEN_LEVELS).astype(np.int64)
             total[JOINT + SEEN_LEVELS :] += np.bincount(level, n, SEEN_LEVELS).astype(np.int64)
         yield from _cells(total)
@@ -635,14 +640,14 @@ def pair_scores(blocks: DataFrame, tables: Tables, cost: np.ndarray) -> DataFram
         known, costs = pickle.loads(spread.value)
         trees = known.trees()
         for row in _rows(batches):
-            p = PairBlock(row, known, trees)
+            p = PairBlock(row)
             bits = np.zeros(len(p.cls))
-            for (a, b), (c, d), (e, f) in p.walk():
-                bits += costs[joint(pair_state(a, b), class_state(c, d), plain_state(e, f))]
-            leaf = p.nodes(LEVELS)[p.pair]
-            share = np.floor(SHARES * p.pair_count[p.pair] / np.maximum(leaf, 1)).astype(np.int64)
+            for states in p.walk(trees):
+                bits += costs[states]
+            leaf = p.nodes(LEVELS)
+            share = np.floor(SHARES * p.pair_count / np.maximum(leaf, 1)).astype(np.int64)[p.pair]
             bits = np.ceil(bits * STEP).astype(np.int64)
-            level = np.searchsorted(_PAIR_LEVELS, leaf, "right")
+            level = pair_level(leaf)[p.pair]
             out = [(chunk, row["block"], pack(bits[p.of[a:b]]), pack(share[p.of[a:b]]), pack(level[p.of[a:b]])) for chunk, a, b in p.chunks]
             yield _packed_batch([x.split()[0] for x in SCORES.split(", ")], [pa.int64(), pa.int32()] + [pa.binary()] * 3, out)
 
