@@ -63,10 +63,30 @@ def test_odds_priority(spark):
     assert got[0]["type"] == "two" and got[0]["home"] == 2.0 and got[1] is None
 
 
+def test_fixed_orders(spark):
+    from touchline.params import DEFAULT, FEATURE_GROUPS, FEATURES
+    from touchline.sources import conform, leagues
+
+    assert leagues.ODDS_PREFIXES == ("PSC", "AvgC", "B365C", "Avg", "BbAv", "B365", "PS")
+    # each prefix gives way to all before it
+    for k, best in enumerate(leagues.ODDS_PREFIXES):
+        names = [f"{p}{x}" for p in leagues.ODDS_PREFIXES for x in "HDA"]
+        values = [None if j // 3 < k else 2.0 + j for j in range(len(names))]
+        df = spark.createDataFrame([tuple(values)], ", ".join(f"`{n}` double" for n in names))
+        assert df.select(conform._odds(df).alias("o")).first()["o"]["type"] == best
+    assert DEFAULT.reference_countries == ("ENG", "ESP", "GER", "ITA", "FRA", "NED", "POR", "BEL", "TUR", "GRE", "SCO", "RUS", "UKR", "DEN")
+    assert list(FEATURE_GROUPS) == ["base", "market", "shots", "form", "squad_value", "xi_value", "lines", "production", "goals_form", "rest", "experience", "continuity"]
+    assert len(FEATURES) == 41 and FEATURES[:8] == ["elo_diff", "home_form", "away_form", "home_squad_value", "away_squad_value", "is_knockout", "is_uefa", "home_xi_value"]
+    assert FEATURES[-7:] == ["mkt_elo_diff", "home_sot_share", "away_sot_share", "home_shot_share", "away_shot_share", "home_rest_days", "away_rest_days"]
+    assert sorted(FEATURES) == sorted(f for g in FEATURE_GROUPS.values() for f in g)
+    assert len(leagues.COVERED) == 21 and leagues.tier("E1") == 2 and leagues.tier("E0") == 1
+
+
 def test_round_class(spark):
-    rows = [("Qualifying Round", 2018, D), ("Group A", 2018, D), ("final", 2018, D), ("Final", 2018, D), ("Quarter-Finals", 2019, date(2020, 8, 1)), ("Quarter-Finals 1st leg", 2019, date(2020, 8, 1))]
-    df = spark.createDataFrame(rows, "r string, s int, d date").select(scalar.round_class("r", "s", "d").alias("c"))
-    assert [tuple(r["c"]) for r in df.collect()] == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (1, 0)]
+    rows = [("CLQ", "Third Round", 2018, D), ("ELQ", "Final", 2018, D), ("ECLQ", None, 2018, D), ("EL", "Third Round", 2018, D), ("CL", "Qualifying Round", 2018, D), ("CL", " Group A", 2018, D), ("CL", "final", 2018, D)]
+    rows += [(None, "Final ", 2018, D), ("CL", "Quarter-Finals", 2019, date(2020, 8, 1)), ("CL", "Quarter-Finals 1st leg", 2019, date(2020, 8, 1))]
+    df = spark.createDataFrame(rows, "k string, r string, s int, d date").select(scalar.round_class("k", "r", "s", "d").alias("c"))
+    assert [tuple(r["c"]) for r in df.collect()] == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 0), (0, 0), (1, 1), (1, 1), (1, 1), (1, 0)]
 
 
 def grid(spark, *rows):
@@ -168,6 +188,60 @@ def test_dominance(spark):
     assert co(3, 1) == [1] and co(3, 2) == [] and co(2, 0) == []
 
 
+def test_matching_pieces_lose_no_pair(spark):
+    """Names met by pieces of spelling give what all pairs give."""
+    import difflib
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))
+    left, right = sorted({word() for _ in range(150)}), sorted({word() for _ in range(150)})
+    right += [x[: k % len(x)] + "b" + x[k % len(x) + 1 :] for k, x in enumerate(left) if len(x) > 5]
+    names_ = spark.createDataFrame([("1", x) for x in left], "country string, name string")
+    clubs = spark.createDataFrame([(f"tm:{k}", x, "1") for k, x in enumerate(right)], "key string, display string, country string")
+    close = {(r["name"], r["key"]) for r in identity._pairs(names_, clubs, None, close=True).collect()}
+    met = {(r["name"], r["key"]) for r in identity._pairs(names_, clubs, None).collect()}
+    for x in left:
+        for k, y in enumerate(right):
+            short = min(len(x), len(y))
+            if x == y or (short >= 3 and (x.startswith(y) or y.startswith(x))) or (short >= 5 and (x in y or y in x)):
+                assert (x, f"tm:{k}") in met
+            if difflib.SequenceMatcher(None, y, x).ratio() >= 0.88:
+                assert (x, f"tm:{k}") in close, (x, y)
+
+
+def test_taken_clubs_names_and_mapping(spark):
+    clubs = spark.createDataFrame([("tm:1", "Alpha", "1"), ("tm:2", "Alphaville", None), ("tm:3", "Gamma", "2"), ("tm:4", "Delta City", None)], "key string, display string, country string")
+    names_ = spark.createDataFrame([("1", "Alpha X"), ("1", "Alphavill"), ("1", "Alpha"), ("2", "Alphaville"), ("2", "Nowhere")], "country string, name string")
+    co = spark.createDataFrame([("1", "Alpha X", 1, 9)], "country string, name string, club_id long, n long")
+    aliases = spark.createDataFrame([("Alphaville", "tm:2", "2", 1), ("The Deltas", "delta city", None, 2)], "alias string, target string, country string, row long")
+    keys = identity.team_keys(names_, co, aliases, clubs, ())
+    got = {(r["country"], r["name"]): (r["key"], r["method"]) for r in keys.collect()}
+    # another country's claim leaves a club to this one; its own claim takes the club out before the tiers
+    assert got["1", "Alpha X"] == ("tm:1", "cooccurrence") and got["2", "Alphaville"] == ("tm:2", "alias")
+    assert got["1", "Alpha"] == ("tm:2", "name_prefix") and got["1", "Alphavill"] == ("fd:1:alphavill", "conflict_lost")
+    assert got["2", "Nowhere"] == ("fd:2:nowhere", "unresolved")
+    seen = spark.createDataFrame([(1, "FC Alpha")], "club_id long, name string")
+    listed = {r["key"]: r["names"] for r in identity.known_names(keys, seen, clubs, aliases).collect()}
+    assert listed["tm:1"] == ["Alpha", "Alpha X", "FC Alpha"] and "The Deltas" in listed["tm:4"] and listed["fd:2:nowhere"] == ["Nowhere"]
+    full = {r["key"]: (r["display"], r["country"]) for r in identity.filled(keys, clubs).collect()}
+    assert full["tm:2"][0] == "Alphaville" and full["tm:2"][1] in ("1", "2") and full["fd:2:nowhere"] == ("Nowhere", "2") and full["tm:4"] == ("Delta City", None)
+
+    wanted = spark.createDataFrame([("CL", "Gamma", "2"), ("CL", "Gamma", "1"), ("CL", "Delta City", "9"), ("CL", "By hand", "1")], "competition string, name string, country string")
+    alias_rows = clubs.select("key", F.col("display").alias("alias"))
+    manual = spark.createDataFrame([("CL", "By hand", "tm:1", None)], "competition string, name string, key string, method string")
+    m = {(r["name"], r["country"]): r for r in identity.country_mapping(wanted, alias_rows, clubs, manual).collect()}
+    assert (m["Gamma", "2"]["key"], m["Gamma", "2"]["method"]) == ("tm:3", "auto_exact") and m["Delta City", "9"]["key"] == "tm:4"
+    assert m["Gamma", "1"]["key"] is None and all("tm:3" not in x for x in m["Gamma", "1"]["suggestions"])
+    assert (m["By hand", "1"]["key"], m["By hand", "1"]["method"]) == ("tm:1", "manual")
+    mapping = identity.country_mapping(wanted, alias_rows, clubs, manual)
+    assert identity.checked_mapping(mapping, clubs) is mapping
+    with pytest.raises(ValueError, match="no such key: CL: By hand"):
+        identity.checked_mapping(mapping, clubs.where("key <> 'tm:1'"))
+    with pytest.raises(ValueError, match="several names"):
+        identity.checked_mapping(mapping.unionByName(mapping.where("key = 'tm:3'")), clubs)
+
+
 def test_resolution_steps_and_suggestions(spark):
     shown = pool(spark, "Real Alpha", "Beta SK").drop("country")
     aliases = shown.select("key", F.col("display").alias("alias")).unionByName(spark.createDataFrame([("tm:1", "The Betas")], "key string, alias string"))
@@ -238,9 +312,13 @@ def test_folds_selection_and_search():
 
 def test_weekly_rules():
     live = {"gap": 0.05, "n_market": 400}
-    assert weekly.retrain_reasons(date(2026, 9, 1), date(2026, 9, 10), date(2026, 9, 1), live, 0.02)
-    assert not weekly.retrain_reasons(date(2026, 9, 1), date(2026, 9, 10), date(2026, 9, 1), {"gap": 0.05, "n_market": 299}, 0.02)
-    assert weekly.retrain_reasons(date(2026, 8, 1), date(2026, 9, 10), date(2026, 9, 1), None, None)
+    season = date(2025, 7, 1)
+    assert weekly.retrain_reasons(date(2026, 9, 1), date(2026, 9, 10), season, live, 0.02)
+    assert not weekly.retrain_reasons(date(2026, 9, 1), date(2026, 9, 10), season, {"gap": 0.05, "n_market": 299}, 0.02)
+    assert weekly.retrain_reasons(date(2026, 8, 1), date(2026, 9, 10), season, None, None)
+    assert weekly.retrain_reasons(date(2027, 7, 1), date(2027, 7, 10), season, None, None) and not weekly.retrain_reasons(date(2027, 6, 20), date(2027, 6, 30), season, None, None)
+    assert not weekly.gate({"log_loss": 1.0, "baseline_log_loss": 1.0301, "cv_objective": 0.9099}, {"cv_objective": 0.9}) and weekly.gate({"log_loss": 1.0, "baseline_log_loss": 1.0299, "cv_objective": 0.9}, None)
+    assert weekly.gate({"log_loss": 0.9, "baseline_log_loss": 1.0, "cv_objective": 0.9101}, {"cv_objective": 0.9})
     assert weekly.gate({"log_loss": 1.07, "baseline_log_loss": 1.0713, "cv_objective": 0.9}, None)
     assert not weekly.gate({"log_loss": 0.99, "baseline_log_loss": 1.0713, "cv_objective": 0.9}, {"cv_objective": 0.9})
     assert weekly.default_test_from(date(2026, 9, 1)) == date(2025, 7, 1)

@@ -137,19 +137,20 @@ GOALS = A.with_views(
     "matches",
 )
 
-_ROUND = "CASE match_id % 6 WHEN 0 THEN 'Qualifying Round' WHEN 1 THEN 'Group A' WHEN 2 THEN 'Final' WHEN 3 THEN 'Quarter-Finals' WHEN 4 THEN 'Semi-Finals 1st leg' ELSE NULL END"
+_CUP = "CASE match_id % 7 WHEN 0 THEN 'CL' WHEN 1 THEN 'CLQ' WHEN 2 THEN 'EL' WHEN 3 THEN 'ELQ' WHEN 4 THEN 'UCOL' WHEN 5 THEN 'ECLQ' ELSE NULL END"
+_ROUND = "CASE match_id % 6 WHEN 0 THEN ' Third Round' WHEN 1 THEN 'Group A' WHEN 2 THEN 'Final' WHEN 3 THEN 'Quarter-Finals' WHEN 4 THEN 'Semi-Finals 1st leg' ELSE NULL END"
 
 
 def round_classifier(spark, d):
-    m = A.matches(spark, d).withColumn("round", F.expr(_ROUND)).withColumn("season", scalar.season_start("d") + F.expr("CASE WHEN match_id % 7 = 0 THEN 2019 - year(d) ELSE 0 END"))
-    c = scalar.round_class("round", "season", F.add_months("d", 300))
+    m = A.matches(spark, d).withColumns({"cup": F.expr(_CUP), "round": F.expr(_ROUND)}).withColumn("season", scalar.season_start("d") + F.expr("CASE WHEN match_id % 7 = 0 THEN 2019 - year(d) ELSE 0 END"))
+    c = scalar.round_class("cup", "round", "season", F.add_months("d", 300))
     return m.select("match_id", c["is_knockout"].alias("is_knockout"), c["neutral"].alias("neutral"))
 
 
 ROUND = A.with_views(
-    f"""SELECT match_id, CASE WHEN low LIKE '%qualifying%' OR low LIKE 'group%' THEN 0 ELSE 1 END AS is_knockout,
- CASE WHEN low LIKE '%qualifying%' OR low LIKE 'group%' THEN 0 WHEN low = 'final' OR (season = 2019 AND later >= DATE '2020-08-01' AND low NOT LIKE '%leg%') THEN 1 ELSE 0 END AS neutral
- FROM (SELECT match_id, lower(coalesce({_ROUND}, '')) AS low, cast(d + INTERVAL 300 MONTH AS date) AS later,
+    f"""SELECT match_id, CASE WHEN early OR low LIKE 'group%' THEN 0 ELSE 1 END AS is_knockout,
+ CASE WHEN early OR low LIKE 'group%' THEN 0 WHEN low = 'final' OR (season = 2019 AND later >= DATE '2020-08-01' AND low NOT LIKE '%leg%') THEN 1 ELSE 0 END AS neutral
+ FROM (SELECT match_id, coalesce({_CUP}, '') IN ('CLQ', 'ELQ', 'ECLQ') AS early, lower(trim(coalesce({_ROUND}, ''))) AS low, cast(d + INTERVAL 300 MONTH AS date) AS later,
  year(d) - CASE WHEN month(d) < 7 THEN 1 ELSE 0 END + CASE WHEN match_id % 7 = 0 THEN 2019 - year(d) ELSE 0 END AS season FROM matches) r""",
     "matches",
 )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import partial
 from math import factorial
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -31,49 +30,44 @@ PROBABILITIES = "SELECT match_id, d, y, is_uefa, tier, lh, la, " + ", ".join(f"{
 _PMF = {s: [f"exp(-{lam})*pow({lam}, {k}e0)/{float(factorial(k))!r}" for k in range(11)] for s, lam in (("h", "lh"), ("a", "la"))}
 CELLS = """SELECT match_id, i, j, p/sum(p) OVER (PARTITION BY match_id) AS p FROM (SELECT match_id, i, j, greatest(0e0, list_extract(ph, cast(i + 1 AS bigint))*list_extract(pa, cast(j + 1 AS bigint))*
  CASE WHEN i = 0 AND j = 0 THEN 1e0 - lh*la*({rho}) WHEN i = 0 AND j = 1 THEN 1e0 + lh*({rho}) WHEN i = 1 AND j = 0 THEN 1e0 + la*({rho}) WHEN i = 1 AND j = 1 THEN 1e0 - ({rho}) ELSE 1e0 END) AS p
- FROM (SELECT match_id, lh, la, [{h}] AS ph, [{a}] AS pa FROM forecasts WHERE match_id % 10 = 1) x, range(0, 11) r(i), range(0, 11) c(j)) y""".replace("{rho}", str(RHO)).replace("{h}", ", ".join(_PMF["h"])).replace("{a}", ", ".join(_PMF["a"]))
+ FROM (SELECT match_id, lh, la, [{h}] AS ph, [{a}] AS pa FROM forecasts) x, range(0, 11) r(i), range(0, 11) c(j)) y""".replace("{rho}", str(RHO)).replace("{h}", ", ".join(_PMF["h"])).replace("{a}", ", ".join(_PMF["a"]))
 
 
 def _f(sql: str, *, cells: bool = False, **more: str) -> str:
     return A.with_views(sql, "forecasts", q=PROBABILITIES, **({"cells": CELLS} if cells else {}), **more)
 
 
-def _tenth(spark, d) -> DataFrame:
-    """Every tenth match: the rows that the SQL of the queries on matrices takes. Their ``_whole`` forms take all."""
-    return _forecasts(spark, d).where("match_id % 10 = 1")
-
-
-def poisson_score_matrix(spark, d, rows=_tenth):
-    m = rows(spark, d).select("match_id", scores.matrix("lh", "la", RHO).alias("m"))
+def poisson_score_matrix(spark, d):
+    m = _forecasts(spark, d).select("match_id", scores.matrix("lh", "la", RHO).alias("m"))
     return scores.cells(m, "m", "match_id").select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _r("p", 9).alias("p"))
 
 
-def dixon_coles_wdl(spark, d, rows=_tenth):
-    m = rows(spark, d).withColumn("r", scores.regions(scores.matrix("lh", "la", RHO)))
+def dixon_coles_wdl(spark, d):
+    m = _forecasts(spark, d).withColumn("r", scores.regions(scores.matrix("lh", "la", RHO)))
     return m.select("match_id", *[_r(f"r.{n}", 9).alias(n) for n in ("home", "draw", "away")])
 
 
 REGIONS = "SELECT match_id, sum(CASE WHEN i > j THEN p ELSE 0e0 END) AS home, sum(CASE WHEN i = j THEN p ELSE 0e0 END) AS draw, sum(CASE WHEN i < j THEN p ELSE 0e0 END) AS away FROM cells GROUP BY match_id"
 
 
-def consistent_matrix(spark, d, rows=_tenth, shown="i < 3 and j < 3"):
-    m = rows(spark, d).withColumn("m", scores.consistent(scores.matrix("lh", "la", RHO), ["a0", "a1", "a2"]))
-    return scores.cells(m.select("match_id", "m"), "m", "match_id").where(shown).select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _r("p", 9).alias("p"))
+def consistent_matrix(spark, d):
+    m = _forecasts(spark, d).withColumn("m", scores.consistent(scores.matrix("lh", "la", RHO), ["a0", "a1", "a2"]))
+    return scores.cells(m.select("match_id", "m"), "m", "match_id").select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _r("p", 9).alias("p"))
 
 
-CONSISTENT = _f("SELECT c.match_id, i, j, round(p*CASE WHEN i > j THEN a0/greatest(home, 1e-6) WHEN i = j THEN a1/greatest(draw, 1e-6) ELSE a2/greatest(away, 1e-6) END, 9) AS p FROM cells c JOIN r ON r.match_id = c.match_id JOIN q ON q.match_id = c.match_id WHERE i < 3 AND j < 3", cells=True, r=REGIONS)
+CONSISTENT = _f("SELECT c.match_id, i, j, round(p*CASE WHEN i > j THEN a0/greatest(home, 1e-6) WHEN i = j THEN a1/greatest(draw, 1e-6) ELSE a2/greatest(away, 1e-6) END, 9) AS p FROM cells c JOIN r ON r.match_id = c.match_id JOIN q ON q.match_id = c.match_id", cells=True, r=REGIONS)
 
 
-def top_scores(spark, d, rows=_tenth):
-    m = rows(spark, d).select("match_id", scores.top_scores(scores.matrix("lh", "la", RHO), 5).alias("t"))
+def top_scores(spark, d):
+    m = _forecasts(spark, d).select("match_id", scores.top_scores(scores.matrix("lh", "la", RHO), 5).alias("t"))
     return m.select("match_id", F.posexplode("t").alias("n", "t")).select("match_id", F.col("n").cast("long").alias("n"), F.col("t.score").alias("score"), _r("t.p", 9).alias("p"))
 
 
 TOP = _f("SELECT match_id, n - 1 AS n, i || '-' || j AS score, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, i, j) AS n FROM cells) r WHERE n <= 5", cells=True)
 
 
-def score_sampling(spark, d, rows=_tenth):
-    m = rows(spark, d).withColumn("u", (F.col("match_id") * 7919 % 1000) / 1000.0 + 0.0005)
+def score_sampling(spark, d):
+    m = _forecasts(spark, d).withColumn("u", (F.col("match_id") * 7919 % 1000) / 1000.0 + 0.0005)
     return m.withColumn("s", scores.sample(scores.matrix("lh", "la", RHO), "u")).select("match_id", F.col("s.home").cast("long").alias("home"), F.col("s.away").cast("long").alias("away"))
 
 
@@ -83,13 +77,13 @@ SAMPLED = _f(
 )
 
 
-def extra_time(spark, d, rows=_tenth):
-    m = rows(spark, d).withColumn("u", (F.col("match_id") * 104729 % 1000) / 1000.0 + 0.0005)
+def extra_time(spark, d):
+    m = _forecasts(spark, d).withColumn("u", (F.col("match_id") * 104729 % 1000) / 1000.0 + 0.0005)
     return m.select("match_id", _r(scores.extra_time("lh"), 9).alias("lambda"), scores.poisson_draw(scores.extra_time("lh"), "u").cast("long").alias("goals"))
 
 
 EXTRA = _f(
-    "SELECT match_id, round(max(lam), 9) AS lambda, coalesce(min(CASE WHEN c > (match_id*104729 % 1000)/1000e0 + 0.0005e0 THEN k END), 10) AS goals FROM (SELECT match_id, lam, k, sum(exp(-lam)*pow(lam, k)/gamma(k + 1)) OVER (PARTITION BY match_id ORDER BY k) AS c FROM (SELECT match_id, lh*30e0/90e0 AS lam, k FROM q, range(0, 11) t(k) WHERE match_id % 10 = 1) x) s GROUP BY match_id"
+    "SELECT match_id, round(max(lam), 9) AS lambda, coalesce(min(CASE WHEN c > (match_id*104729 % 1000)/1000e0 + 0.0005e0 THEN k END), 10) AS goals FROM (SELECT match_id, lam, k, sum(exp(-lam)*pow(lam, k)/gamma(k + 1)) OVER (PARTITION BY match_id ORDER BY k) AS c FROM (SELECT match_id, lh*30e0/90e0 AS lam, k FROM q, range(0, 11) t(k)) x) s GROUP BY match_id"
 )
 
 
@@ -115,8 +109,8 @@ def _combined(df: DataFrame) -> DataFrame:
     return m.withColumns({f"p{k}": p for k, p in enumerate(final)})
 
 
-def ensemble_combine(spark, d, rows=_tenth):
-    return _combined(rows(spark, d)).select("match_id", *[_r(f"p{k}", 8).alias(f"p{k}") for k in range(3)])
+def ensemble_combine(spark, d):
+    return _combined(_forecasts(spark, d)).select("match_id", *[_r(f"p{k}", 8).alias(f"p{k}") for k in range(3)])
 
 
 COMBINED = _f(
@@ -334,9 +328,6 @@ QUERIES = {
     "top_scores": (top_scores, TOP),
     "score_sampling": (score_sampling, SAMPLED),
     "extra_time": (extra_time, EXTRA),
-    # every match and cell; too many rows for SQL, tests hold them against it on the smallest tables
-    "consistent_matrix_whole": (partial(consistent_matrix, rows=_forecasts, shown="true"), None),
-    **{f"{q.__name__}_whole": (partial(q, rows=_forecasts), None) for q in (poisson_score_matrix, dixon_coles_wdl, top_scores, score_sampling, extra_time, ensemble_combine)},
     "temperature_softmax": (temperature_softmax, TEMPERATURE),
     "ensemble_combine": (ensemble_combine, COMBINED),
     "logloss_brier_accuracy": (logloss_brier_accuracy, _f(f"SELECT {_EVAL} FROM q")),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from touchline.params import DEFAULT
+from touchline.sources.leagues import UEFA_QUALIFYING
 
 
 def col(x: str | Column) -> Column:
@@ -56,10 +57,10 @@ def number(text) -> Column:
     return col(text).try_cast("double")
 
 
-def round_class(competition_round, season, day) -> Column:
-    """Struct is_knockout, neutral of a cup round: qualifying and group rounds are (0, 0); finals, and the single-leg rounds of August 2020, are neutral."""
-    low = F.lower(F.coalesce(col(competition_round), F.lit("")))
-    league = low.contains("qualifying") | low.startswith("group")
+def round_class(competition, competition_round, season, day) -> Column:
+    """Struct is_knockout, neutral of a cup round: qualifying competitions and group rounds are (0, 0); finals, and the single-leg rounds of August 2020, are neutral."""
+    low = F.lower(F.trim(F.coalesce(col(competition_round), F.lit(""))))
+    league = F.coalesce(col(competition).isin(*UEFA_QUALIFYING), F.lit(False)) | low.startswith("group")
     bubble = (col(season) == 2019) & (col(day) >= F.lit("2020-08-01").cast("date")) & ~low.contains("leg")
     neutral = F.when((low == "final") | bubble, 1).otherwise(0)
     return F.struct(F.when(league, 0).otherwise(1).alias("is_knockout"), F.when(league, 0).otherwise(neutral).alias("neutral"))

@@ -1,7 +1,9 @@
 """Team identity across two match sources: co-occurrence, aliases, tiered names, conflicts, resolution.
 
 Team dimensions are small next to matches (one row for each club and name), but
-every step is a join or a window, so none of them is collected.
+every step is a join or a window, so none of them is collected. Names meet only
+the clubs they share a piece of spelling with; the pieces are chosen so that no
+pair that a tier accepts is missed.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions.names import CUTOFF, normalise, prefix_match, similarity, substring_match
+from touchline.functions.scalar import compatible
 
 #: Tiers in the order in which they are tried.
 TIERS = ("normalized", "prefix", "substring", "fuzzy")
@@ -51,31 +54,62 @@ def alias_keys(names: DataFrame, aliases: DataFrame, display: DataFrame) -> Data
     """
     unique = display.groupBy(F.lower("display").alias("low")).agg(F.min("key").alias("found"), F.count_distinct("key").alias("n")).where("n = 1")
     is_key = F.col("target").startswith("tm:") | F.col("target").startswith("fd:")
-    targeted = aliases.join(F.broadcast(unique), F.lower("target") == F.col("low"), "left").withColumn("key", F.when(is_key, F.col("target")).otherwise(F.col("found"))).where("key is not null")
+    targeted = aliases.join(unique, F.lower("target") == F.col("low"), "left").withColumn("key", F.when(is_key, F.col("target")).otherwise(F.col("found"))).where("key is not null")
     hit = names.alias("n").join(targeted.alias("a"), (F.col("n.name") == F.col("a.alias")) & (F.col("a.country").isNull() | (F.col("a.country") == F.col("n.country"))))
     return hit.groupBy("n.country", "n.name").agg(F.max_by("a.key", "a.row").alias("key"))
 
 
-def _pairs(names: DataFrame, pool: DataFrame, reference_countries: tuple | None) -> DataFrame:
-    """Candidates by country: a club of the same country, or of an unknown one where the name's country is no reference country.
+def _grams(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substr(text, k, F.lit(n)))
 
-    Both are equality joins on a country key, no nested loop: clubs of unknown
-    country are joined under one key that only the names that may use them carry.
+
+def _pieces(norm: Column, longer: bool) -> Column:
+    """Pieces of a normal form by which both sides of a pair meet; ``longer`` is where the other's beginning may be inside.
+
+    Equal forms share ``=``, forms of which one begins the other share three
+    letters, forms of which one (of five letters at least) is inside the other
+    share the inner one's first five. Forms that are similar (0.88) differ in so few letters that the
+    longest stretch they share has three, or two where both are short.
+    """
+    tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+    none = F.array().cast("array<string>")
+    n = F.length(norm)
+    inside = F.when(n >= 5, tagged("i" if longer else "h", _grams(norm, 5))).otherwise(none)
+    head = F.when(n >= 5, F.array(F.concat(F.lit("h" if longer else "i"), F.substring(norm, 1, 5)))).otherwise(none)
+    begin = F.when(n >= 3, F.array(F.concat(F.lit("b"), F.substring(norm, 1, 3)))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), norm)), begin, inside, head))
+
+
+def _close_pieces(norm: Column) -> Column:
+    none = F.array().cast("array<string>")
+    three = F.when(F.length(norm) >= 3, _grams(norm, 3)).otherwise(none)
+    two = F.when(F.length(norm).between(2, 5), _grams(norm, 2)).otherwise(none)
+    return F.array_distinct(F.concat(F.array(norm), three, two))
+
+
+def _pairs(names: DataFrame, pool: DataFrame, reference_countries: tuple | None, taken: DataFrame | None = None, close: bool = False) -> DataFrame:
+    """Candidates: a club of the same country, or of an unknown one where the name's country is no reference country.
+
+    Clubs of unknown country stand under one key that only the names that may use
+    them carry. Clubs in ``taken`` (country, key) are no candidates there.
     """
     unknown = "?"
     may = F.lit(True) if reference_countries is None else ~F.col("country").isin(*reference_countries)
-    keyed = names.withColumn("norm", normalise("name")).withColumn("_c", F.explode(F.when(may, F.array("country", F.lit(unknown))).otherwise(F.array("country"))))
+    keyed = names.select("country", "name", normalise("name").alias("norm")).where("norm <> ''").withColumn("_c", F.explode(F.when(may, F.array("country", F.lit(unknown))).otherwise(F.array("country"))))
     clubs = pool.select("key", normalise("display").alias("pool_norm"), F.coalesce("country", F.lit(unknown)).alias("_c")).where("pool_norm <> ''")
-    return keyed.where("norm <> ''").join(clubs, "_c").select("country", "name", "norm", "key", "pool_norm")
+    mine, theirs = (_close_pieces(F.col("norm")), _close_pieces(F.col("pool_norm"))) if close else (_pieces(F.col("norm"), True), _pieces(F.col("pool_norm"), False))
+    met = keyed.withColumn("_p", F.explode(mine)).join(clubs.withColumn("_p", F.explode(theirs)), ["_c", "_p"]).select("country", "name", "norm", "key", "pool_norm").distinct()
+    return met if taken is None else met.join(taken.select("country", "key").distinct(), ["country", "key"], "left_anti")
 
 
-def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple | None = None, fuzzy: bool = True) -> DataFrame:
+def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple | None = None, fuzzy: bool = True, taken: DataFrame | None = None) -> DataFrame:
     """``country, name, key, method`` for each name: the first tier with a hit decides, if it has exactly one.
 
     ``pool``: key, display, country. Tiers: equal, prefix, substring and, where
     all of them are empty, similarity (of the best two normal forms, one may pass).
+    ``taken``: country, key of clubs that are no candidates in that country.
     """
-    pairs = _pairs(names, pool, reference_countries)
+    pairs = _pairs(names, pool, reference_countries, taken)
     tests = {"normalized": F.col("norm") == F.col("pool_norm"), "prefix": prefix_match(F.col("norm"), F.col("pool_norm")), "substring": substring_match(F.col("norm"), F.col("pool_norm"))}
     tier = F.array_min(F.array(*[F.when(t, k) for k, t in enumerate(tests.values())]))
     # each test counts on its own: a prefix hit may also be among the substring hits of a later tier
@@ -90,14 +124,14 @@ def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple |
         "country", "name", F.when(F.get(at("n"), F.col("tier")) == 1, F.get(at("key"), F.col("tier"))).alias("key"), F.when(F.get(at("n"), F.col("tier")) == 1, label).otherwise(F.concat(F.lit("ambiguous_"), label)).alias("method")
     )
     if fuzzy:
-        open_pairs = pairs.join(counts.where("tier is null").select("country", "name"), ["country", "name"], "left_semi")
-        decided = decided.unionByName(fuzzy_match(open_pairs))
+        still_open = names.select("country", "name").join(counts.where("tier is not null").select("country", "name"), ["country", "name"], "left_anti")
+        decided = decided.unionByName(fuzzy_match(_pairs(still_open, pool, reference_countries, taken, close=True)))
     return names.select("country", "name").join(decided, ["country", "name"], "left").select("country", "name", "key", F.coalesce("method", F.lit("unresolved")).alias("method"))
 
 
 def fuzzy_match(pairs: DataFrame) -> DataFrame:
     """Names of which exactly one normal form is close, and that one is of one club."""
-    close = pairs.withColumn("ratio", similarity("norm", "pool_norm")).where(F.col("ratio") >= CUTOFF)
+    close = pairs.withColumn("ratio", similarity("pool_norm", "norm")).where(F.col("ratio") >= CUTOFF)
     found = close.groupBy("country", "name").agg(F.count_distinct("pool_norm").alias("forms"), F.count_distinct("key").alias("n"), F.min("key").alias("key"))
     return found.where("forms = 1 and n = 1").select("country", "name", "key", F.lit("fuzzy").alias("method"))
 
@@ -119,19 +153,34 @@ def settle_conflicts(matched: DataFrame) -> DataFrame:
 
 
 def team_keys(names: DataFrame, co: DataFrame, aliases: DataFrame, pool: DataFrame, reference_countries: tuple) -> DataFrame:
-    """``country, name, key, method`` of every name: alias, else co-occurrence, else a tiered match among clubs not yet taken."""
+    """``country, name, key, method`` of every name: alias, else co-occurrence, else a tiered match among the clubs that no name of the country has taken by either."""
     found = co.select("country", "name", F.concat(F.lit("tm:"), F.col("club_id").cast("string")).alias("key"), F.lit("cooccurrence").alias("method"))
     aliased = alias_keys(names, aliases, pool).withColumn("method", F.lit("alias"))
     first = aliased.unionByName(found.join(aliased, ["country", "name"], "left_anti"))
-    rest = names.join(first, ["country", "name"], "left_anti")
-    taken = first.groupBy("country").agg(F.collect_set("key").alias("taken"))
-    # a club that a country's names have taken is no candidate there
-    pairs_pool = pool.select("key", "display", "country")
-    matched = tiered_match(rest, pairs_pool.join(first.select("key", F.col("country").alias("by")), "key", "left").where("by is null or not (country <=> by)").select("key", "display", "country").distinct(), reference_countries)
-    free = matched.join(taken, "country", "left")
-    gone = F.coalesce(F.array_contains("taken", F.col("key")), F.lit(False))
-    free = free.select("country", "name", F.when(~gone, F.col("key")).alias("key"), F.when(gone, "unresolved").otherwise(F.col("method")).alias("method"))
-    return first.unionByName(settle_conflicts(free))
+    rest = names.select("country", "name").join(first, ["country", "name"], "left_anti")
+    return first.unionByName(settle_conflicts(tiered_match(rest, pool, reference_countries, taken=first)))
+
+
+def known_names(keys: DataFrame, sightings: DataFrame, clubs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``key, names``: every name that stands for a key, sorted.
+
+    ``keys``: country, name, key as ``team_keys`` gives them. ``sightings``: club_id, name. ``clubs``: key, display.
+    ``aliases``: alias, target; a target that is a display name counts if one club has it.
+    """
+    every = keys.select("key", "name").unionByName(sightings.where("club_id is not null").select(F.concat(F.lit("tm:"), F.col("club_id").cast("string")).alias("key"), "name")).unionByName(clubs.select("key", F.col("display").alias("name")))
+    if aliases is not None:
+        unique = clubs.groupBy(F.lower("display").alias("low")).agg(F.min("key").alias("found"), F.count_distinct("key").alias("n")).where("n = 1")
+        is_key = F.col("target").startswith("tm:") | F.col("target").startswith("fd:")
+        told = aliases.join(unique, F.lower("target") == F.col("low"), "left").select(F.when(is_key, F.col("target")).otherwise(F.col("found")).alias("key"), F.col("alias").alias("name"))
+        every = every.unionByName(told)
+    return every.where("key is not null and name is not null").groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def filled(keys: DataFrame, clubs: DataFrame) -> DataFrame:
+    """``key, display, country`` of every key: the club's, else the least name that has the key, and that name's country."""
+    own = keys.groupBy("key").agg(F.min(F.struct("name", "country")).alias("first"))
+    known = clubs.groupBy("key").agg(F.min("display").alias("shown"), F.min("country").alias("of"))
+    return own.join(known, "key", "full").select("key", F.coalesce("shown", F.col("first.name")).alias("display"), F.coalesce("of", F.col("first.country")).alias("country"))
 
 
 def resolve(queries: DataFrame, aliases: DataFrame, display: DataFrame, suggest: int = 5) -> DataFrame:
@@ -154,12 +203,74 @@ def resolve(queries: DataFrame, aliases: DataFrame, display: DataFrame, suggest:
     best = every.groupBy("query").agg(F.min_by(F.struct("key", "method", "n"), "step").alias("hit"))
     out = asked.select("query").join(best, "query", "left")
     out = out.select("query", F.when(F.col("hit.n") == 1, F.col("hit.key")).alias("key"), F.when(F.col("hit.n") == 1, F.col("hit.method")).when(F.col("hit.n") > 1, "ambiguous").otherwise("unresolved").alias("method"))
-    missing = out.where("key is null").select("query")
-    scored = missing.crossJoin(F.broadcast(display)).withColumn("ratio", similarity(F.lower("query"), F.lower("display")))
-    w = Window.partitionBy("query").orderBy(F.desc("ratio"), "display", "key")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= suggest)
-    listed = top.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat("display", F.lit(" ("), "key", F.lit(")")).alias("text")))), lambda x: x.text).alias("suggestions"))
-    return out.join(listed, "query", "left")
+    return out.join(suggestions(out.where("key is null").select("query"), display, suggest), "query", "left")
+
+
+def suggestions(missing: DataFrame, display: DataFrame, most: int = 5) -> DataFrame:
+    """``query, suggestions``: the most similar names, as 'display (key)'; those that share two letters in a row go first.
+
+    With a ``country`` in ``missing`` and ``display``, names of that country or of none. A query that has fewer than
+    ``most`` such names gets the rest from names that share a letter, then from the first ones by spelling.
+    """
+    by = [c for c in ("country",) if c in missing.columns]
+    asked = missing.select("query", *by).distinct()
+    shown = display.select("key", "display", *[F.col(c).alias("_of") for c in by]).distinct()
+
+    def met(ask: DataFrame, n: int) -> DataFrame:
+        pieces = lambda c: F.explode(F.array_distinct(_grams(F.concat(F.lit(" "), F.lower(c)), n))).alias("_p")
+        left, right = ask.select("*", pieces(F.col("query"))), shown.select("*", pieces(F.col("display")))
+        found = left.where("_p <> ' '").join(right, "_p").drop("_p")
+        return (found.where(compatible("_of", "country")) if by else found).select("query", *by, "key", "display").distinct()
+
+    close = met(asked, 2)
+    enough = close.groupBy("query", *by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    short = asked.join(enough.select("query", *by), ["query", *by], "left_anti")
+    first = Window.partitionBy(*[F.col("_of") for _ in by]).orderBy("display", "key") if by else None
+    some = shown.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n") if by else shown.orderBy("display", "key").limit(most)
+    any_name = short.join(some, compatible("_of", "country")) if by else short.join(some)
+    far = met(short, 1).unionByName(any_name.select("query", *by, "key", "display")).distinct().join(close, ["query", *by, "key", "display"], "left_anti")
+    scored = close.withColumn("group", F.lit(0)).unionByName(far.withColumn("group", F.lit(1))).withColumn("ratio", similarity(F.lower("query"), F.lower("display")))
+    w = Window.partitionBy("query", *by).orderBy("group", F.desc("ratio"), "display", "key")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return top.groupBy("query", *by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat("display", F.lit(" ("), "key", F.lit(")")).alias("text")))), lambda x: x.text).alias("suggestions"))
+
+
+def country_mapping(wanted: DataFrame, aliases: DataFrame, clubs: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """``competition, name, country, key, method, suggestions`` of the teams of a competition; a match of another country is never taken.
+
+    ``wanted``: competition, name, country. ``aliases``: key, alias. ``clubs``: key, display, country (unknown fits all).
+    ``manual``: competition, name, key and, where there, method; such rows go first. Else the name is resolved among
+    all clubs, then by its form among the clubs of the country or of none.
+    """
+    of = clubs.select("key", F.col("country").alias("_of"))
+    found = resolve(wanted.select(F.col("name").alias("query")), aliases, clubs.select("key", "display")).select(F.col("query").alias("_q"), "key", F.concat(F.lit("auto_"), "method").alias("method")).where("key is not null").join(of, "key", "left")
+    asked = wanted.select("competition", "name", "country").distinct().withColumn("_q", F.trim("name"))
+    whole = asked.join(found, "_q").where(compatible("_of", "country")).select("competition", "name", "country", "key", "method")
+    rest = asked.join(whole, ["competition", "name", "country"], "left_anti")
+    near = tiered_match(rest.select("country", "name").distinct(), clubs.where(F.col("key").startswith("tm:")))
+    near = near.where("key is not null").select("country", "name", "key", F.concat(F.lit("auto_country_"), "method").alias("method"))
+    auto = whole.unionByName(rest.select("competition", "name", "country").join(near, ["country", "name"]).select("competition", "name", "country", "key", "method"))
+    if manual is not None:
+        method = F.coalesce("method", F.lit("manual")) if "method" in manual.columns else F.lit("manual")
+        told = manual.where("key is not null").select("competition", "name", "key", method.alias("method"))
+        own = asked.select("competition", "name", "country").join(told, ["competition", "name"]).select("competition", "name", "country", "key", "method")
+        auto = own.unionByName(auto.join(told.select("competition", "name"), ["competition", "name"], "left_anti"))
+    out = asked.select("competition", "name", "country").join(auto, ["competition", "name", "country"], "left")
+    hints = suggestions(out.where("key is null").select(F.col("name").alias("query"), "country"), clubs.where(F.col("key").startswith("tm:")))
+    hints = hints.withColumnRenamed("query", "name")
+    told = out.select("competition", "name", "country", "key", F.coalesce("method", F.lit("unresolved")).alias("method"))
+    return told.join(hints, ["name", "country"], "left").select("competition", "name", "country", "key", "method", "suggestions")
+
+
+def checked_mapping(mapping: DataFrame, clubs: DataFrame) -> DataFrame:
+    """The mapping, if every key is a club's and serves one name of a competition; else an error that lists what is wrong."""
+    strange = mapping.where("key is not null").join(clubs.select("key"), "key", "left_anti").select("competition", "name", "key").limit(20).collect()
+    if strange:
+        raise ValueError("no such key: " + ", ".join(f"{r['competition']}: {r['name']} -> {r['key']}" for r in strange))
+    twice = repeated(mapping).limit(20).collect()
+    if twice:
+        raise ValueError("one club for several names: " + ", ".join(f"{r['competition']}: {r['key']} ({r['n']})" for r in twice))
+    return mapping
 
 
 def apply_manual(names: DataFrame, manual: DataFrame, automatic: DataFrame) -> DataFrame:
@@ -172,7 +283,3 @@ def apply_manual(names: DataFrame, manual: DataFrame, automatic: DataFrame) -> D
 
 def repeated(mapping: DataFrame) -> DataFrame:
     return mapping.where("key is not null").groupBy("competition", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-def country_filter(model_country: Column, country: Column) -> Column:
-    return model_country.isNull() | (model_country == country)

@@ -51,7 +51,7 @@ class Params:
     uefa_experience_days: int = 1095
     continuity_minutes: int = 45
     rest_cap: int = 30
-    reference_countries: tuple = ("ENG", "ESP", "GER", "ITA", "FRA", "NED", "POR", "BEL", "TUR", "SCO", "GRE", "AUT", "DEN", "UKR")
+    reference_countries: tuple = ("ENG", "ESP", "GER", "ITA", "FRA", "NED", "POR", "BEL", "TUR", "GRE", "SCO", "RUS", "UKR", "DEN")
     uefa_main: tuple = ("CL", "EL", "UCOL")
     # ensemble
     class_labels: tuple = ("home_win", "draw", "away_win")
@@ -66,6 +66,8 @@ class Params:
     retrain_age_days: int = 28
     retrain_gap_worse: float = 0.02
     retrain_min_matches: int = 300
+    gate_slack: float = 0.01
+    gate_baseline_margin: float = 0.03
     stale_data_days: int = 45
     lock_hours: float = 6.0
     seed: int = 42
@@ -80,22 +82,28 @@ def _pair(*names: str) -> list[str]:
     return [f"{side}_{n}" for n in names for side in ("home", "away")]
 
 
-#: Feature groups in their fixed order.
+#: All features in their fixed order, which is that of a model's input.
+FEATURES = [
+    "elo_diff", *_pair("form", "squad_value"), "is_knockout", "is_uefa", *_pair("xi_value"), "xi_value_diff",
+    *_pair("xi_star", "bench_value", "att_value", "mid_value", "def_value", "gk_value", "xi_ga90", "xi_age", "xi_uefa_apps", "xi_last_match_share", "goals_for", "goals_against"),
+    "mkt_elo_diff", *_pair("sot_share", "shot_share", "rest_days"),
+]
+
+#: Feature groups in the order in which a selection tries them; equal gains go to the earlier one.
 FEATURE_GROUPS = {
     "base": ["elo_diff", "is_knockout", "is_uefa"],
     "market": ["mkt_elo_diff"],
     "shots": _pair("sot_share", "shot_share"),
     "form": _pair("form"),
-    "lines": _pair("att_value", "mid_value", "def_value", "gk_value"),
     "squad_value": _pair("squad_value"),
     "xi_value": [*_pair("xi_value"), "xi_value_diff", *_pair("xi_star", "bench_value")],
+    "lines": _pair("att_value", "mid_value", "def_value", "gk_value"),
     "production": _pair("xi_ga90"),
     "goals_form": _pair("goals_for", "goals_against"),
     "rest": _pair("rest_days"),
     "experience": _pair("xi_age", "xi_uefa_apps"),
     "continuity": _pair("xi_last_match_share"),
 }
-FEATURES = [f for group in FEATURE_GROUPS.values() for f in group]
 
 
 def contract(columns: list[str], rating: dict, ensemble: dict, params: Params = DEFAULT) -> dict:

@@ -35,25 +35,24 @@ def market_reference(df: DataFrame, least: int = 100) -> DataFrame:
     return rows.join(F.broadcast(enough), how="cross").drop("_n")
 
 
-def retrain_reasons(trained: date, today: date, data_end: date, live: dict | None, reference_gap: float | None, params: Params = DEFAULT) -> list[str]:
-    """Why to retrain: the model's age, a new season, or a gap to the market that has grown on enough matches."""
+def retrain_reasons(trained: date, today: date, test_from: date | None, live: dict | None, reference_gap: float | None, params: Params = DEFAULT) -> list[str]:
+    """Why to retrain: the model's age, a season to test on that is no longer the model's, or a gap to the market that has grown on enough matches."""
     found = []
     if (today - trained).days >= params.retrain_age_days:
         found.append(f"trained {(today - trained).days} days ago")
-    season = lambda d: d.year if d.month >= 7 else d.year - 1
-    if season(today) != season(data_end):
-        found.append("a new season has begun")
+    if test_from is not None and test_from != default_test_from(today):
+        found.append(f"tested from {test_from}, now {default_test_from(today)}")
     if live and reference_gap is not None and live.get("gap") is not None and live.get("n_market", 0) >= params.retrain_min_matches and live["gap"] > reference_gap + params.retrain_gap_worse:
         found.append(f"gap to the market {live['gap']:.4f}, was {reference_gap:.4f}")
     return found
 
 
-def gate(candidate: dict, production: dict | None, slack: float = 0.005) -> list[str]:
+def gate(candidate: dict, production: dict | None, params: Params = DEFAULT) -> list[str]:
     """Why a candidate may not be promoted: no better than class frequencies, or clearly worse than production."""
     wrong = []
-    if not candidate["log_loss"] < candidate["baseline_log_loss"] - 0.01:
+    if not candidate["log_loss"] < candidate["baseline_log_loss"] - params.gate_baseline_margin:
         wrong.append("no better than class frequencies")
-    if production and candidate["cv_objective"] > production["cv_objective"] + slack:
+    if production and production.get("cv_objective") is not None and candidate["cv_objective"] > production["cv_objective"] + params.gate_slack:
         wrong.append("worse than the model in production")
     if not candidate.get("predicts", True):
         wrong.append("a trial prediction failed")

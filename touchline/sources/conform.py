@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.scalar import first_valid_odds, mixed_date, not_in, number, result, round_class, season_start
 from touchline.schemas import APPEARANCE, MATCH, PLAYER, VALUATION
+from touchline.sources.leagues import COUNTRY_CODES, COVERED, MAIN_LEAGUES, ODDS_PREFIXES, UEFA_MAIN, UEFA_QUALIFYING, tier as tier_of
 from touchline.sources.readers import with_columns
 
-#: Bookmakers' column prefixes, best first (fixed values).
-ODDS_PREFIXES = ("AvgC", "Avg", "PSC", "PS", "B365C", "B365", "BbAv")
-UEFA = ("CL", "EL", "UCOL", "CLQ", "ELQ", "ECLQ")
+UEFA = UEFA_MAIN + UEFA_QUALIFYING
 _STATS = {"fouls": "F", "yellow": "Y", "red": "R", "shots": "S", "sot": "ST"}
 
 
@@ -30,8 +29,9 @@ def _finished(df: DataFrame, first_season: int) -> DataFrame:
     return with_columns(df.where(F.col("season_start") >= first_season), MATCH)
 
 
-def league(df: DataFrame, competition: str, country: str, tier: int, first_season: int = 2008) -> DataFrame:
-    """A season file of a main league."""
+def league(df: DataFrame, competition: str, country: str | None = None, tier: int | None = None, first_season: int = 2008) -> DataFrame:
+    """A season file of a main league; country and tier are the league's unless given."""
+    country, tier = country or MAIN_LEAGUES[competition], tier or tier_of(competition)
     o = _odds(df)
     stats = {f"{side}_{n}": number(_text(df, f"{letter}{c}")) for n, c in _STATS.items() for side, letter in (("home", "H"), ("away", "A"))}
     rows = df.select(
@@ -62,16 +62,16 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def platform_games(games: DataFrame, competitions: DataFrame, country_codes: dict[str, str], first_season: int = 2008, uefa=UEFA) -> DataFrame:
+def platform_games(games: DataFrame, competitions: DataFrame, country_codes: dict[str, str] = COUNTRY_CODES, first_season: int = 2008, uefa=UEFA) -> DataFrame:
     """Games of the player platform: first divisions of known countries, and international competitions."""
     from touchline.functions.scalar import lookup
 
     domestic = competitions.where("type = 'domestic_league'").select("competition_id", lookup("country_name", country_codes).alias("country")).where("country is not null")
-    kept = games.join(F.broadcast(domestic), "competition_id", "left").where(F.col("country").isNotNull() | F.col("competition_id").isin(*uefa))
+    kept = games.join(domestic, "competition_id", "left").where(F.col("country").isNotNull() | F.col("competition_id").isin(*uefa))
     is_uefa = F.col("competition_id").isin(*uefa)
     day = F.col("date").cast("string").try_cast("date")
     season = F.col("season").try_cast("int")
-    cup = round_class("round", season, day)
+    cup = round_class("competition_id", "round", season, day)
     rows = kept.select(
         day.alias("date"), F.lit("platform").alias("source"), F.concat(F.when(is_uefa, "uefa:").otherwise("league:"), "competition_id").alias("competition"), F.lit(1).alias("tier"), is_uefa.alias("is_uefa"),
         F.when(~is_uefa, F.col("country")).alias("country"), F.trim("home_club_name").alias("home_team"), F.trim("away_club_name").alias("away_team"), F.col("home_club_id").try_cast("long").alias("home_tm_id"), F.col("away_club_id").try_cast("long").alias("away_tm_id"),
@@ -96,7 +96,7 @@ def players(df: DataFrame) -> DataFrame:
     return with_columns(df, PLAYER)
 
 
-def canonical(first: DataFrame, second: DataFrame, keys: DataFrame, covered_countries: tuple) -> DataFrame:
+def canonical(first: DataFrame, second: DataFrame, keys: DataFrame, covered_countries: tuple = COVERED) -> DataFrame:
     """Both sources with team keys; of the second one, leagues that the first one covers go.
 
     ``keys``: country, name, key for the first source; the second one's keys are its club ids.
@@ -104,7 +104,7 @@ def canonical(first: DataFrame, second: DataFrame, keys: DataFrame, covered_coun
     named = first
     for side in ("home", "away"):
         k = keys.select("country", F.col("name").alias(f"{side}_team"), F.col("key").alias(f"{side}_key"))
-        named = named.join(F.broadcast(k), ["country", f"{side}_team"], "left")
+        named = named.join(k, ["country", f"{side}_team"], "left")
     missing = named.where("home_key is null or away_key is null").limit(1).count()
     if missing:
         raise KeyError("a team of the first source has no key")
