@@ -286,6 +286,19 @@ def test_shards_with_unique_ids_need_no_shuffle_of_texts(spark, small):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("ids", ["id", "id * id * 7919 - 40000", "xxhash64(id)", "if(id < 300, null, id)", "id div 400"])
+def test_dense_numbers_of_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(shards, "BUCKET_ROWS", 100)
+    rows, n = shards.numbered(spark.range(900).selectExpr(f"{ids} AS doc_id", "concat('text ', id % 450) AS text"), 3)
+    assert n == 900 and sorted(r["number"] for r in rows.select("number").collect()) == list(range(900))
+
+
+def test_shards_of_a_large_vocabulary(tmp_path):
+    (tmp_path / "v").write_bytes(b"YQ== 65536\n")
+    with pytest.raises(ValueError, match="16 bits"):
+        shards.encoding(str(tmp_path / "v"))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(n):
     p = shards.Permutation(n, b"k")
@@ -296,28 +309,70 @@ def test_permutation(n):
 # -- 5 -----------------------------------------------------------------------------
 
 
-def test_fingerprints(docs, empty, corpus):
-    got = fingerprint.digests(fingerprint.fingerprint_with_next(docs)).collect()
-    # null ids first, then by id; rows of one id by the hash of their text, here equal rows
-    order = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0))
-    plain = [(i, t or "") for i, t in order]
-    known = {}
-    for k, (i, t) in enumerate(plain):
-        if i is not None and i != 150:
-            half = len(t) // 2
-            known[i] = (len(t), sha(t[: len(t) - half] + plain[(k + 1) % len(plain)][1][:half]))
-    for r in got:
-        if r["doc_id"] in known and r["doc_id"] != max(known):
-            assert (r["n_chars"], r["edited_sha256"]) == known[r["doc_id"]]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+def fingerprint_by_hand(text):
+    """Exact lanes from SHA-512 of the lines, sketch lanes from the signs of the sentences' hashes (computed apart)."""
+    exact = [0] * 16
+    for line in text.split("\n"):
+        h = hashlib.sha512(line.encode()).hexdigest()
+        exact = [(a + int(h[8 * k : 8 * k + 8], 16)) % (1 << 32) for k, a in enumerate(exact)]
+    return "".join(f"{x:08x}" for x in exact)
+
+
+def sketches(spark, texts):
+    """Sums of signs by a bit of each sentence's hash; the hash is the engine's, the rest is not."""
+    cut = {t: re.split(r"(?<=[.!?])\s+|\n", t, flags=re.A) for t in texts}
+    parts = sorted({p for ps in cut.values() for p in ps})
+    hashed = {r["p"]: r["h"] for r in spark.createDataFrame([(p,) for p in parts], "p string").select("p", F.xxhash64(F.lit(11), "p").alias("h")).collect()}
+    return {t: np.sum([[1 if hashed[p] >> k & 1 else -1 for k in range(64)] for p in ps], axis=0) for t, ps in cut.items()}
+
+
+def likeness_by_hand(a, b, sketch):
+    if fingerprint_by_hand(a) == fingerprint_by_hand(b):
+        return 1.0
+    x, y = sketch[a].astype(float), sketch[b].astype(float)
+    size = (x @ x) * (y @ y)
+    return min(1.0, max(0.0, x @ y / size**0.5 if size else 0.0))
+
+
+@pytest.mark.parametrize("block_rows", [fingerprint.BLOCK_ROWS, 5])
+def test_fingerprints(spark, docs, empty, corpus, block_rows):
+    got = fingerprint.digests(fingerprint.fingerprint_with_next(docs, block_rows)).collect()
+    texts = sorted({t or "" for _, t in corpus})
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    # null ids first, then by id; rows of one id by the hash of their text
+    order = sorted(((i, t or "") for i, t in corpus), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    edits = []
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        after = order[(k + 1) % len(order)][1]
+        edits.append((i, t, after, t[: len(t) - half] + after[:half]))
+    sketch = sketches(spark, {x for e in edits for x in e[1:]})
+    expected = [(i, len(t), sha(e), fingerprint_by_hand(t), fingerprint_by_hand(e), likeness_by_hand(t, e, sketch), likeness_by_hand(t, after, sketch)) for i, t, after, e in edits]
+    told = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"][:128], r["edited_fingerprint"][:128], r["near_edited"], r["near_next"]) for r in got]
+    for a, b in zip(sorted(told, key=lambda r: (str(r[0]), r[1:5])), sorted(expected, key=lambda r: (str(r[0]), r[1:5]))):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
+    assert len(told) == len(expected)
     by_text = {}
     for r in got:
         if r["doc_id"] in (120, 121):
             by_text.setdefault("copy", set()).add(r["fingerprint"])
-    assert len(by_text["copy"]) == 1 and len(got) == len(corpus)
+    assert len(by_text["copy"]) == 1
     assert fingerprint.fingerprint_with_next(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["id", "id * 1000003", "xxhash64(id)", "if(id % 3 = 0, null, id)", "if(id % 3 = 0, 5, id)", "-id"])
+def test_successors_of_any_ids(spark, ids):
+    """Sparse, hashed, missing and repeated ids: everyone's successor, and no block that holds much of the rows."""
+    rows = spark.range(1000).selectExpr(f"coalesce({ids}, -(1 << 62)) AS key", "concat('t', id) AS text").withColumn("tie", F.xxhash64("text")).persist()
+    blocks = [r["count"] for r in rows.withColumn("block", fingerprint._block(rows, 20)).groupBy("block").count().collect()]
+    assert max(blocks) < 80
+    df = rows.selectExpr("key AS doc_id", "text")
+    got = fingerprint.fingerprint_with_next(df, 20)
+    order = [(r["key"], r["text"]) for r in rows.orderBy("key", "tie").collect()]
+    want = Counter((t[: len(t) - len(t) // 2] + order[(k + 1) % 1000][1][: len(t) // 2]) for k, (_, t) in enumerate(order))
+    assert Counter(r["edited"] for r in got.select("edited").collect()) == want
+
+
 def test_fingerprint_insertion_and_deletion(spark):
     df = spark.createDataFrame([("a b.\nc d.\ne f.", "e f.\na b.", "c d.")], "whole string, part string, line string")
     whole, part, line = (fingerprint.lanes(F.col(c)) for c in ("whole", "part", "line"))

@@ -16,19 +16,26 @@ paragraph; equal texts have equal fingerprints; texts that differ by the order
 of paragraphs have equal ones by design; likeness is 1 for equal fingerprints,
 between 0 and 1 otherwise; the next document of the last is the first, that of
 a lone document is itself; null ids come first in order, rows that repeat an id
-follow in the order of their texts; further columns are left out.
+(or have none) follow in the order of ``xxhash64`` of their texts; very long
+texts are one row each; further columns are left out; an empty table gives an
+empty one.
+
+Documents are laid out in blocks of about ``BLOCK_ROWS`` by quantiles of their
+ids, whatever these are: dense, sparse or hashed. Where one id (or none) holds
+several quantiles, its rows are split further by the hash of their texts.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EXACT, EXACT_BITS = 16, 32
 SKETCH, SKETCH_BITS = 64, 16
 #: A sentence ends after a full stop, question or exclamation mark before white space, or with its line.
 SENTENCE_END = r"(?<=[.!?])\s+|\n"
-#: Documents are laid out in blocks of 2**BLOCK ids to find each one's successor.
-BLOCK = 9
+#: Rows of a block, about, in which each document finds its successor; and most blocks, as their heads are one task's.
+BLOCK_ROWS, MOST_BLOCKS = 2048, 1 << 14
 
 _EXACT_MASK, _SKETCH_MASK = (1 << EXACT_BITS) - 1, (1 << SKETCH_BITS) - 1
 
@@ -92,39 +99,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["exact"] == b["exact"], F.lit(1.0)).otherwise(cosine)
 
 
-def with_next(rows: DataFrame, levels: int = 2) -> DataFrame:
-    """Adds ``next``, the text of the following row by (key, tie); the last row gets the first one's.
-
-    Rows are laid out in blocks of keys. A block learns the head of the following
-    block from the level above, whose rows are the heads; only the top level,
-    with one row for 2**18 keys, is in one partition.
-    """
-    if not levels:
-        w = Window.orderBy("key", "tie")
-        first = F.first("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return rows.withColumn("next", F.coalesce(F.lead("text").over(w), first))
-    placed = _placed(rows, levels)
-    w = Window.partitionBy("block").orderBy("kind", "key", "tie")
-    return placed.withColumn("next", F.lead("text").over(w)).where("kind = 0").select("key", "tie", "text", "next")
+def _block(rows: DataFrame, block_rows: int) -> Column:
+    """A number that ascends with (key, tie) and tells blocks of about ``block_rows`` rows."""
+    n = rows.count()
+    blocks = max(1, min(MOST_BLOCKS, n // block_rows))
+    shares = [k / blocks for k in range(1, blocks)]
+    if not shares:
+        return F.lit(0).cast("long")
+    # at most MOST_BLOCKS numbers
+    quantiles = rows.agg(F.percentile_approx("key", shares, 10 * blocks).alias("q")).first()["q"]
+    bounds, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    side = max(1, int(len(bounds) ** 0.5))
+    array = lambda x: F.lit(np.asarray(x, np.int64))
+    key = F.col("key")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    # two steps: which stretch of bounds, then which bound
+    fine = lambda coarse: F.when(coarse == 0, 0).otherwise((coarse - 1) * side + below(F.slice(array(bounds), (coarse - 1) * side + 1, F.lit(side))))
+    place = _let(below(array(bounds[::side])), fine)
+    # rows of a bound's own id, by the hash of their texts; then those behind it
+    split = lambda at: F.when(at == 0, 0).otherwise(
+        F.when(F.element_at(array(bounds), at) == key, F.shiftright((F.shiftright("tie", 32) + (1 << 31)) * F.element_at(array(times), at), 32)).otherwise(F.element_at(array(times), at))
+    )
+    return _let(place.cast("int"), lambda at: at.cast("long") * (1 << 32) + split(at).cast("long"))
 
 
-def _placed(rows: DataFrame, levels: int) -> DataFrame:
-    """Rows by block, and in each block a last row (kind 1) with the head of the following block."""
-    block = F.shiftright("key", BLOCK)
-    heads = rows.groupBy(block.alias("key")).agg(F.min(F.struct("key", "tie", "text")).alias("head")).select("key", F.lit(0).cast("long").alias("tie"), F.col("head.text").alias("text"))
-    following = with_next(heads, levels - 1)
-    ends = following.select(F.col("key").alias("block"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("tie"), F.col("next").alias("text"))
-    return rows.select(block.alias("block"), F.lit(0).alias("kind"), "key", "tie", "text").unionByName(ends).repartition("block")
+def _placed(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows by block, and in each block a last row (kind 1) with the head of the following block; the last block's is the first head."""
+    told = rows.withColumn("block", _block(rows, block_rows))
+    heads = told.groupBy("block").agg(F.min(F.struct("key", "tie", "text")).alias("head"))
+    # a row for each block
+    w = Window.orderBy("block")
+    first = F.first("head.text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = heads.select("block", F.coalesce(F.lead("head.text").over(w), first).alias("text"))
+    ends = ends.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("tie"), "text")
+    return told.select("block", F.lit(0).alias("kind"), "key", "tie", "text").unionByName(ends).repartition("block")
 
 
-def fingerprint_with_next(docs: DataFrame) -> DataFrame:
+def fingerprint_with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, text, edited, own, edited_own, next_own``: fingerprints of each text, its edited text and the next text."""
     lowest = -(1 << 62)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
     # fingerprints are taken after the shuffle, so that only texts travel
-    placed = _placed(rows, 2).withColumn("own", lanes(F.col("text")))
+    placed = _placed(rows, block_rows).withColumn("own", lanes(F.col("text")))
     w = Window.partitionBy("block").orderBy("kind", "key", "tie")
     led = placed.withColumn("next", F.lead("text").over(w)).withColumn("next_own", F.lead("own").over(w)).where("kind = 0")
     n = F.length("text")
