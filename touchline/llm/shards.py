@@ -3,21 +3,23 @@
 Every document is one sequence of token ids, closed by an end id. A keyed
 Feistel permutation with cycle walking gives each of the N sequences a slot in
 0 .. N - 1; a shard is a range of slots. One shuffle brings the sequences to
-their shards, sorted by slot; each shard's ids are laid end to end and cut into
+their shards, a partition each, sorted by slot; each shard's ids are laid end to end and cut into
 rows of a fixed stride (the last row is filled with end ids), so a reader can
 seek to any row and go on from there.
 
-Dense sequence numbers need no pass over the texts: ids are counted in blocks
-of 2**9, a block table (base and the ids that are there) is a few bytes for each
-document block and is broadcast up to ``most_blocks`` blocks. Beyond that, and
-where ids are null or repeated, numbers are joined by a shuffle instead.
+Dense sequence numbers need no pass over the texts where ids are dense and tell
+rows apart: a bitmap of the ids, 4 kB for 32 768 of them, is broadcast up to
+``most_buckets`` buckets (16 MB). Else numbers are counted by a shuffle: equal
+rows are counted first, then dealt over buckets by hash, so neither a repeated
+row nor a missing id gathers anywhere.
 
 Files are written under another name and moved into place, so a task that runs
 twice leaves the same shard.
 
 Results by case: null and empty texts are a sequence of the end id alone; rows
 that repeat an id, or have none, are sequences of their own; an empty table
-gives no shard; further columns are left out.
+gives no shard; a very long text is one row of one task; further columns are
+left out. A vocabulary whose ids need more than 16 bits is an error.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ from touchline.llm._arrow import partitions, shared_folder, written
 #: Ids in a row of a shard.
 STRIDE = 2048
 ROUNDS = 6
-BLOCK = 9
-MOST_BLOCKS = 1 << 20
+#: Buckets of 2**15 ids whose bitmaps are broadcast.
+MOST_BUCKETS = 1 << 12
+#: Rows of a bucket, about, and most buckets, where numbers are counted by a shuffle.
+BUCKET_ROWS, MOST_COUNTS = 1 << 14, 1 << 16
 #: The pattern that splits texts before merging, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
@@ -85,6 +89,8 @@ def encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values(), default=0) > 0xFFFF:
+        raise ValueError(f"{path}: ids above 65535 do not fit the shards' 16 bits")
     return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -92,49 +98,47 @@ def _files(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def numbered(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, int]:
+def numbered(docs: DataFrame, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, int]:
     """``number, doc_id, text`` with dense numbers, and how many rows there are."""
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    block = F.shiftright("doc_id", BLOCK).alias("block")
-    blocks = ids.groupBy(block).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("kinds"))
-    total = blocks.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.count(F.lit(1)).alias("blocks")).first()
-    n = total["n"] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if n != (total["kinds"] or 0) or total["blocks"] > most_blocks:
-        return _numbered_by_join(rows), n
-    there = ids.groupBy(block).agg(F.sort_array(F.collect_list((F.col("doc_id") % (1 << BLOCK)).cast("int"))).alias("there"))
-    found = there.orderBy("block").collect()  # at most most_blocks rows of at most 2**BLOCK small numbers
-    base = np.cumsum([0] + [len(r["there"]) for r in found])
-    index = {r["block"]: (int(b), np.array(r["there"], np.int32)) for r, b in zip(found, base)}
+    bucket, bit = F.bitmap_bucket_number("doc_id"), F.bitmap_bit_position("doc_id")
+    ids = rows.select("doc_id")
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.approx_count_distinct(bucket).alias("buckets")).first()
+    n = size["n"]
+    if size["ids"] < n or size["buckets"] > 2 * most_buckets:
+        return _numbered_by_count(rows, n), n
+    found = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap")).orderBy("bucket").limit(most_buckets + 1).collect()  # 4 kB each
+    ones = [int(np.unpackbits(np.frombuffer(r["bitmap"], np.uint8)).sum()) for r in found]
+    if len(found) > most_buckets or sum(ones) != n:
+        return _numbered_by_count(rows, n), n
+    index = {r["bucket"]: (first, bytes(r["bitmap"])) for r, first in zip(found, np.cumsum([0, *ones]).tolist())}
     shared = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            out = np.empty(len(doc), np.int64)
-            at = doc >> BLOCK
+            at, bits = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            out = np.empty(len(at), np.int64)
             for b in np.unique(at).tolist():
                 own = at == b
-                first, members = shared.value[b]
-                out[own] = first + np.searchsorted(members, np.fmod(doc[own], 1 << BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["number", "doc_id", "text"])
+                first, bitmap = shared.value[b]
+                place = np.cumsum(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) - 1
+                out[own] = first + place[bits[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(0), batch.column(1)], names=["number", "doc_id", "text"])
 
-    return rows.mapInArrow(run, "number long, doc_id long, text string"), n
+    return rows.select("doc_id", "text", bucket.alias("bucket"), bit.alias("bit")).mapInArrow(run, "number long, doc_id long, text string"), n
 
 
-def _numbered_by_join(rows: DataFrame) -> DataFrame:
-    """Numbers by a count of each block's rows before it; texts are shuffled by block."""
-    key = F.coalesce(F.shiftright("doc_id", BLOCK), F.lit(-(1 << 62))).alias("block")
-    placed = rows.withColumn("block", key)
-    upper = F.shiftright("block", BLOCK)
-    counts = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    uppers = counts.groupBy(upper.alias("upper")).agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    uppers = uppers.select("upper", before(Window.orderBy("upper")).alias("first"))
-    bases = counts.withColumn("upper", upper).withColumn("own", before(Window.partitionBy("upper").orderBy("block"))).join(uppers, "upper").select("block", (F.col("first") + F.col("own")).alias("base"))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "text")) - 1
-    return placed.withColumn("place", place).join(bases, "block").select((F.col("base") + F.col("place")).alias("number"), "doc_id", "text")
+def _numbered_by_count(rows: DataFrame, n: int) -> DataFrame:
+    """Numbers by bucket: equal rows are one with a count, a bucket begins where those before it end."""
+    buckets = max(1, min(MOST_COUNTS, n // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket")
+    counts = sorted((r["bucket"], r["count"]) for r in rows.groupBy(bucket).count().collect())  # at most MOST_COUNTS
+    bases = rows.sparkSession.createDataFrame([(b, int(first)) for (b, _), first in zip(counts, np.cumsum([0] + [c for _, c in counts]))], "bucket long, base long")
+    kinds = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", bucket)
+    before = Window.partitionBy("bucket").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(bases, "bucket")
+    return placed.select(F.explode(F.sequence(F.col("base") + F.col("first"), F.col("base") + F.col("first") + F.col("copies") - 1)).alias("number"), "doc_id", "text")
 
 
 INDEX = "shard int, slot long, doc_id long, start long, n_tokens long, path string"
@@ -190,7 +194,7 @@ def materialise(docs: DataFrame, vocabulary: str, key: bytes, shards: int | None
         if now is not None:
             close()
 
-    placed = sequences.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    placed = sequences.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
     return written(placed.mapInArrow(write, INDEX), "shard-index")
 
 
@@ -223,5 +227,6 @@ def read_back(index: DataFrame, shards: int | None = None) -> DataFrame:
         if f:
             f.close()
 
-    placed = index.repartition(shards or partitions(index.sparkSession), "shard").sortWithinPartitions("shard", "slot")
+    shards = shards or (index.agg(F.max("shard").alias("s")).first()["s"] or 0) + 1
+    placed = index.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
     return placed.mapInArrow(run, "doc_id long, slot long, shard int, start long, n_tokens long, ids_sha256 string")
