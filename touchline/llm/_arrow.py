@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -32,7 +33,7 @@ def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], Iterable[Part]],
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a folder of this session is set.
+    Where that is unset, a session on this machine alone, as in tests, gets a folder of its own; a cluster is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -40,6 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+
         found = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("touchline.shared.dir", found)
     return found
@@ -51,7 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -447,7 +447,7 @@ def word_counts(parts: DataFrame, blocks: int, n_train: int) -> DataFrame:
             yield _packed_batch(names, kinds, out)
 
     asked = parts.select("chunk", "held", "lengths", "classes", "blob", "word_lengths", "tokens").mapInArrow(ask, ASKED)
-    return asked.repartition(blocks, "block").sortWithinPartitions("block", "chunk").mapInArrow(answer, ANSWERS)
+    return asked.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "chunk").mapInArrow(answer, ANSWERS)
 
 
 def _by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -533,7 +533,7 @@ def ask_pairs(parts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
             yield _packed_batch(_PAIR_NAMES, [pa.int32(), pa.int64()] + [pa.binary()] * 6, out)
 
     asked = parts.select("chunk", "held", "lengths", "classes", "blob", "word_lengths", "tokens").mapInArrow(run, PAIRS)
-    placed = asked.repartition(blocks, "block").sortWithinPartitions("block", "chunk")
+    placed = asked.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "chunk")
     lists = ", ".join(f"{x.split()[0]} array<{x.split()[1]}>" for x in PAIRS.split(", ")[1:])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,13 @@ from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, mixi
 
 
 def tokenizer_file(name: str) -> str:
-    """A vocabulary file's place; TOKENIZER_DIR may name another folder."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    """A vocabulary file's place in the package of public tokenizers; TOKENIZER_DIR may name another folder."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
