@@ -6,16 +6,19 @@ necessary prefix is one shingle: the rarest over the whole corpus, by a first
 pass that counts the items' shingles in all documents. The join looks up the
 documents' shingles among these prefix shingles; a partner's place in its
 window bounds where the window would begin, which must lie inside the text
-(position and length bounds), and the words there are compared one by one.
+(position and length bounds), and the words there are compared, first by hash,
+then letter by letter.
 
 The window index is broadcast in blocks of at most ``block_windows`` windows
-(about 200 bytes each); a larger benchmark takes several blocks, one map over
-the documents each, without a shuffle. No document is ever shuffled.
+(about 300 bytes each); a larger benchmark takes several blocks, one map over
+the documents each, written before the next begins, so that one index at a time
+is in memory. No document is ever shuffled.
 
 Results by case: null texts, and texts without words, have no words and no
 hits; items without words or without an id are passed over; equal items each
 count under their id, repeated item rows once; an empty benchmark hits nothing;
-repeated documents keep their rows; further columns are passed on, one called
+repeated documents keep their rows; very long texts are searched whole; an empty
+table gives an empty one; further columns are passed on, one called
 like an output column is replaced.
 """
 
@@ -27,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from touchline.llm._arrow import map_columns
+from touchline.llm._arrow import discard, map_columns, written
 from touchline.llm._words import ALNUM, Words, sequence_hash, text_slices, window_hashes, words
 
 SIZE = 13
@@ -39,23 +42,26 @@ HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """``item_id`` and ``words``: the word hashes of each distinct window, as bytes."""
+    """``item_id`` and each distinct window: ``words`` (its words' hashes, as bytes), ``spelled`` and ``spans`` (its letters, and how many each word has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_slices(batch.column(1)):
                 w = words(piece, ALNUM)
                 ids, out = [], []
+                spans = (w.ends - w.starts).astype(np.uint32)
+                at = np.concatenate([[0], np.cumsum(spans, dtype=np.int64)])
                 for k, n in enumerate(w.counts()):
-                    own = w.hashes[w.bounds[k] : w.bounds[k + 1]]
-                    spans = [own] if 0 < n < size else [own[i : i + size] for i in range(n - size + 1)]
-                    seen = dict.fromkeys(s.tobytes() for s in spans)
+                    lo = int(w.bounds[k])
+                    windows = [(lo, lo + n)] if 0 < n < size else [(lo + i, lo + i + size) for i in range(n - size + 1)]
+                    seen = dict.fromkeys((w.hashes[a:b].tobytes(), w.packed[at[a] : at[b]].tobytes(), spans[a:b].tobytes()) for a, b in windows)
                     ids += [batch.column(0)[piece.first + k].as_py()] * len(seen)
                     out += list(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["item_id", "words"])
+                columns = [pa.array([x[j] for x in out], pa.binary()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["item_id", "words", "spelled", "spans"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    return rows.mapInArrow(run, "item_id long, words binary").distinct()
+    return rows.mapInArrow(run, "item_id long, words binary, spelled binary, spans binary").distinct()
 
 
 def _shingles(window: np.ndarray, shingle: int) -> list[int]:
@@ -66,11 +72,12 @@ def _shingles(window: np.ndarray, shingle: int) -> list[int]:
 class Index:
     """Windows of a block, to be found by their prefix shingle."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], counts: dict[int, int], shingle: int):
-        by_words: dict[bytes, list[int]] = {}
-        for item, raw in rows:
-            by_words.setdefault(raw, []).append(item)
-        self.windows = [np.frombuffer(raw, _U) for raw in by_words]
+    def __init__(self, rows: list[tuple[int, bytes, bytes, bytes]], counts: dict[int, int], shingle: int):
+        by_words: dict[tuple[bytes, bytes, bytes], list[int]] = {}
+        for item, *window in rows:
+            by_words.setdefault(tuple(window), []).append(item)
+        self.windows = [np.frombuffer(raw, _U) for raw, _, _ in by_words]
+        self.spelled = [(letters, spans) for _, letters, spans in by_words]
         self.items = [np.array(sorted(set(x)), np.int64) for x in by_words.values()]
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
         self.matrix = np.zeros((len(self.windows), int(self.lengths.max(initial=1))), _U)
@@ -110,7 +117,15 @@ class Index:
                     same &= ~inside | (w.hashes[np.minimum(b + j, len(w.hashes) - 1)] == self.matrix[v, j])
                 starts.append(b[same])
                 found.append(v[same])
-        return np.concatenate(starts), np.concatenate(found)
+        start, win = np.concatenate(starts), np.concatenate(found)
+        if not len(start):
+            return start, win
+        spans = (w.ends - w.starts).astype(np.uint32)
+        at = np.concatenate([[0], np.cumsum(spans, dtype=np.int64)])
+        end = start + self.lengths[win]
+        letters, lengths = w.packed.tobytes(), spans.tobytes()
+        equal = np.array([(letters[i:j], lengths[4 * a : 4 * b]) == self.spelled[k] for i, j, a, b, k in zip(at[start].tolist(), at[end].tolist(), start.tolist(), end.tolist(), win.tolist())])
+        return start[equal], win[equal]
 
 
 def _bitmap(keys: np.ndarray) -> np.ndarray:
@@ -147,18 +162,24 @@ def shingle_counts(docs: DataFrame, by_size: dict[int, np.ndarray], text: str =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, text: str = "text") -> DataFrame:
     """Adds ``n_words``, ``hits`` (ranges of words inside an occurrence) and ``items`` (ids that occur, sorted)."""
-    windows = item_windows(benchmark, size)
+    windows = written(item_windows(benchmark, size), "benchmark-windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    out = docs
+    out, before = docs, None
     for b in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        rows = [(r["item_id"], bytes(r["words"])) for r in part.collect()]  # about block_windows rows
+        rows = [(r["item_id"], bytes(r["words"]), bytes(r["spelled"]), bytes(r["spans"])) for r in part.collect()]  # about block_windows rows
         wanted: dict[int, set[int]] = {}
-        for _, raw in rows:
+        for _, raw, _, _ in rows:
             w = np.frombuffer(raw, _U)
             wanted.setdefault(min(shingle, len(w)), set()).update(_shingles(w, shingle))
         counts = shingle_counts(docs, {s: np.array(sorted(x), _U) for s, x in wanted.items()}, text) if rows else {}
         out = _with_hits(out, Index(rows, counts, shingle), text, first=not b)
+        if b < blocks - 1:
+            out = written(out, "decontaminated")
+            if before is not None:
+                discard(before)
+            before = out
+    discard(windows)
     return out
 
 
