@@ -82,6 +82,45 @@ def test_jaccard_components(spark, docs, corpus, monkeypatch, chunk, tile):
     assert rows_of(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_by_hand(corpus)
 
 
+def test_large_groups_of_near_copies(spark):
+    """Groups beyond a tile: most rows tie to pivots, the rest meets them and itself; chains hold no pivot for all."""
+    import random
+
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows, k = [], 0
+    for n, cuts in ((60, 3), (40, 9)):
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rnd.randint(0, cuts)):
+                words[rnd.randrange(len(words))] = f"x{rnd.random()}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    # a chain: each text drifts a little further from the first
+    drift = list(base)
+    for step in range(40):
+        drift[3 * step : 3 * step + 3] = [f"d{step}", f"e{step}", f"f{step}"]
+        rows.append((k, " ".join(drift)))
+        k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile in (8, 32):
+        jaccard.link_edges.__defaults__, before = (tile,), jaccard.link_edges.__defaults__
+        try:
+            assert rows_of(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == jaccard_by_hand(rows)
+        finally:
+            jaccard.link_edges.__defaults__ = before
+
+
+def test_empty_tables(spark, empty):
+    assert jaccard.jaccard_components(empty).count() == 0
+    assert piece_bpe.digests(piece_bpe.round_trip(empty, PIECES)).count() == 0
+
+
+def test_components_of_a_star(spark):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 3000)] + [(3000 + k, 2999) for k in range(5)], "a long, b long")
+    assert {r["root"] for r in components.components(edges).collect()} == {0}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

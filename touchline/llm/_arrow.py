@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: What a function over a batch yields: first and last row (exclusive), and the new columns' arrays.
 Part = tuple[int, int, list[pa.Array]]
@@ -83,3 +83,25 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key of more than one in this many rows is hot; there are fewer such keys, so they are broadcast.
+HOT_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """Joins ``right``, one row for each key with the number ``n`` of its rows in ``left``; a hot key's rows stay spread.
+
+    Rows of hot keys get their values by broadcast and go on by ``spread``; the others are joined by a shuffle.
+    ``right`` is read twice: a written table, or a cheap one. ``n`` is not passed on.
+    """
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("n") * HOT_SHARE > F.lit(total)
+    values = [c for c in right.columns if c not in keys and c != "n"]
+    packed = F.struct(*values)
+    told = left.join(F.broadcast(right.where(hot).select(*keys, packed.alias("_hot"))), keys, "left")
+    told = told.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 16)) + 1))
+    out = told.join(right.where(~hot).select(*keys, packed.alias("_cold"), F.lit(0).cast("long").alias("_salt")), [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    out = out.where(found.isNotNull()) if how == "inner" else out
+    return out.select(*left.columns, *[found[c].alias(c) for c in values])

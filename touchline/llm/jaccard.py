@@ -11,19 +11,23 @@ Nothing is ever exchanged row by row; columns travel as packed blocks:
 3.  What is left is ordered by rarity. A row needs a common shingle among its
     first ``n - ceil(3n/4) + 1``; rows of its candidates meet in the group of the
     least row that holds such a shingle.
-4.  A group is cut into tiles of bounded size; each pair of tiles is one block
+4.  A group of more rows than a tile meets ``PIVOTS`` of its rows first, which
+    ties most of a group of near copies in one pass over it. Rows that are tied
+    already need not be compared: the largest tied part meets only the rest.
+5.  A group is cut into tiles of bounded size; each pair of tiles is one block
     of the product: overlaps add up over column blocks, pairs outside the size
     bounds are discarded, and pairs that reach the threshold leave as the edges
     of a spanning forest.
-5.  Connected components over the edges, spread back over the classes.
+6.  Connected components over the edges, spread back over the classes.
 
 The bounds are exact: no pair that links is lost, and every overlap is counted
 in full. Shingles are told apart by 40 bits and their block, sets by 128 bits,
-rows in the product by 64 bits.
+rows in the product by 64 bits. Blocks are sized by the number of shingles.
 
 Results by case: texts that are null or without words have an empty set and are
 their own component; short texts have one shingle; repeated rows each keep a
-row; rows with null ``doc_id`` keep a row with null component; further columns
+row; rows with null ``doc_id`` keep a row with null component; a very long text
+is one row of one task, its shingles are dealt over all blocks; further columns
 are left out; an empty table gives an empty one.
 """
 
@@ -35,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.llm._arrow import partitions, written
+from touchline.llm._arrow import discard, join_counted, partitions, written
 from touchline.llm._words import mix, shingle_sets, text_slices, words
 from touchline.llm.components import components
 
@@ -46,8 +50,10 @@ PERCENT = 75
 CHUNK = 1_000_000
 #: Rows of a tile and columns of a block in the product.
 TILE, COLUMNS = 512, 4096
-#: Tasks over which the classes of one component are dealt.
-SALTS = 16
+#: Rows of a large group that all others of it are compared with first.
+PIVOTS = 8
+#: Shingles that one block is meant for.
+BLOCK_SHINGLES = 3_000_000
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
 
@@ -127,7 +133,7 @@ def _unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _together(df: DataFrame, blocks: int) -> DataFrame:
-    return df.repartition(blocks, "block").sortWithinPartitions("block")
+    return df.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
 
 
 _COLUMN, _ROW, _COMMON = 0, 1, 2
@@ -342,7 +348,7 @@ def _with_answers(sets: DataFrame, answers: DataFrame, column: str, use: Callabl
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], pa.schema(list(zip(names, [_ARROW[x.split()[1]] for x in schema.split(", ")]))))
 
-    both = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    both = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, schema)
 
 
@@ -360,13 +366,15 @@ def _prefix(chunk: int, i: int, n: int, shingles: np.ndarray, holders: np.ndarra
 # -- the product --------------------------------------------------------------
 
 
-def _edges_of(rows: list[tuple[int, int, np.ndarray, int]], cross: bool) -> Iterator[tuple[int, int]]:
-    """Spanning edges of the pairs that link among rows (id, n, shingles, side); with ``cross`` only pairs of both sides."""
+def _edges_of(rows: list[tuple[int, int, np.ndarray, int, int]], cross: bool) -> Iterator[tuple[int, int]]:
+    """Spanning edges of the pairs that link among rows (id, n, shingles, side, tied); with ``cross`` only pairs of both sides. Pairs of one ``tied`` are passed over."""
     n = np.array([r[1] for r in rows], np.int64)
     side = np.array([r[3] for r in rows])
     possible = np.triu(100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n), 1)
     if cross:
         possible &= side[:, None] != side[None, :]
+    tied = np.array([r[4] for r in rows], np.int64)
+    possible &= tied[:, None] != tied[None, :]
     if not possible.any():
         return
     h = np.concatenate([r[2] for r in rows])
@@ -401,26 +409,76 @@ def _edges_of(rows: list[tuple[int, int, np.ndarray, int]], cross: bool) -> Iter
             yield rows[a][0], rows[b][0]
 
 
+def pivot_edges(sets: DataFrame, members: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """Edges ``a, b`` from members of large groups to the pivots of their group that they link with. ``sizes``: rep, size, n."""
+    chosen = members.join(sizes.select("rep"), "rep").groupBy("rep").agg(*[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    placed = join_counted(members, sizes.select("rep", tiles.alias("tiles"), "n"), ["rep"], F.col("id"), "inner")
+    placed = placed.select(F.xxhash64("rep", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles").cast("long"))).alias("part"), F.lit(1).alias("kind"), "id")
+    every = chosen.join(sizes, "rep").select("rep", "size", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)]))).alias("id"))
+    pivots = every.select("rep", "id", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("own")).select(F.xxhash64("rep", F.col("own").cast("long")).alias("part"), F.lit(0).alias("kind"), "id")
+    rows = placed.unionByName(pivots).join(sets.select("id", "n", "shingles"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _by_block(batches):
+            leads = [(i, n, np.frombuffer(s, _U)) for _, kind, i, n, s in group if not kind]
+            others = [r for r in group if r[1]]
+            if not others:
+                continue
+            ids, n = np.array([r[2] for r in others], np.int64), np.array([r[3] for r in others], np.int64)
+            h = np.frombuffer(b"".join(r[4] for r in others), _U)
+            row = np.repeat(np.arange(len(others)), [len(r[4]) // 8 for r in others])
+            out = []
+            for lead, size, own in leads:
+                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                common = np.bincount(row[own[at] == h], minlength=len(others))
+                links = (100 * common >= PERCENT * (n + size - common)) & (ids != lead)
+                out += [(int(i), lead) for i in ids[links]]
+            if out:
+                yield _edge_batch(out)
+
+    return rows.select("part", "kind", "id", "n", "shingles").repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "a long, b long")
+
+
 def link_edges(sets: DataFrame, members: DataFrame, blocks: int, tile: int = TILE) -> DataFrame:
     """Edges ``a, b`` that connect all linked sets. ``members``: ``rep, id``; candidates meet in a group."""
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("rep", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int").alias("own")
-    tiled = members.join(sizes, "rep").select("rep", "id", "tiles", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    pairs = tiled.select("rep", "id", "own", other).select(F.xxhash64("rep", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "id", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).cast("int").alias("crossed"))
+    sizes = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), "jaccard-groups")
+    large = sizes.where(F.col("size") > tile)
+    small = join_counted(members, sizes, ["rep"], F.col("id"), "inner").where(F.col("size") <= tile)
+    pairs = small.select(F.xxhash64("rep").alias("pair"), "id", F.lit(0).alias("side"), F.lit(0).alias("crossed"), F.col("id").alias("tied"))
+    tied_edges = None
+    if large.limit(1).count():
+        tied_edges = written(pivot_edges(sets, members, large, tile), "jaccard-pivots")
+        tied = components(tied_edges)
+        grouped = join_counted(members, large, ["rep"], F.col("id"), "inner").join(tied.withColumnRenamed("node", "id"), "id", "left").select("rep", "id", F.coalesce("root", "id").alias("tied"))
+        grouped = written(grouped, "jaccard-large")
+        # of each group, the largest part that is tied, and the rest
+        most = grouped.groupBy("rep", "tied").agg(F.count(F.lit(1)).alias("held")).groupBy("rep").agg(F.max_by("tied", "held").alias("main"), F.max("held").alias("held"), F.sum("held").alias("n"))
+        most = written(most.select("rep", "main", F.ceil(F.col("held") / tile).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("held")) / tile).cast("int").alias("rests"), "n").where("rests > 0"), "jaccard-parts")
+        told = join_counted(grouped, most, ["rep"], F.col("id"), "inner").withColumn("is_main", F.col("tied") == F.col("main"))
+        own = F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+        told = told.withColumn("own", own).select("rep", "id", "tied", "is_main", "own", "mains", "rests")
+        # tiles of the rest meet each other, and the main part's tiles
+        among = told.where("not is_main").select("*", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("other"))
+        among = among.select(F.xxhash64("rep", F.lit(0), F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "id", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).cast("int").alias("crossed"), "tied")
+        across = told.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rests")).otherwise(F.col("mains")) - 1)).alias("other"))
+        rest_tile, main_tile = F.when(F.col("is_main"), F.col("other")).otherwise(F.col("own")), F.when(F.col("is_main"), F.col("own")).otherwise(F.col("other"))
+        across = across.select(F.xxhash64("rep", F.lit(1), rest_tile, main_tile).alias("pair"), "id", F.col("is_main").cast("int").alias("side"), F.lit(1).alias("crossed"), "tied")
+        pairs = pairs.unionByName(among).unionByName(across)
     placed = pairs.join(sets.select("id", "n", "shingles"), "id").repartition(blocks, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for _, rows in _by_block(batches):
-            out += _edges_of([(i, n, np.frombuffer(s, _U), side) for _, i, n, s, side, _ in rows], bool(rows[0][5]))
+            out += _edges_of([(i, n, np.frombuffer(s, _U), side, tied) for _, i, n, s, side, _, tied in rows], bool(rows[0][5]))
             if len(out) > 10_000:
                 yield _edge_batch(out)
                 out = []
         if out:
             yield _edge_batch(out)
 
-    return placed.select("pair", "id", "n", "shingles", "side", "crossed").mapInArrow(run, "a long, b long")
+    edges = placed.select("pair", "id", "n", "shingles", "side", "crossed", "tied").mapInArrow(run, "a long, b long")
+    return edges if tied_edges is None else edges.unionByName(tied_edges)
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -430,26 +488,25 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; see the module."""
-    spark = docs.sparkSession
-    blocks = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, shingle), "jaccard-signatures")
+    blocks = max(partitions(docs.sparkSession), (signed.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) // BLOCK_SHINGLES)
     sets = written(linkable_sets(docs, blocks, shingle), "jaccard-sets")
     holders = _ask_of_sets(sets, "shingles", np.add, blocks)
     prefixes = written(_with_answers(sets, holders, "shingles", _prefix, "chunk int, id long, n long, prefix binary", blocks), "jaccard-prefixes")
     least = _ask_of_sets(prefixes, "prefix", np.minimum, blocks)
     reps = _with_answers(prefixes, least, "prefix", lambda c, i, n, _, rep: (i, np.unique(rep).tolist()), "id long, reps array<long>", blocks)
     members = written(reps.select(F.explode("reps").alias("rep"), "id"), "jaccard-members")
-    edges = link_edges(sets, members, blocks)
-    roots = components(edges)
+    discard(prefixes)
+    roots = components(link_edges(sets, members, blocks))
+    discard(sets, members)
 
     # classes of equal sets, then their components; map-side minima first, so a hot class is a row for each task
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.join(roots.withColumnRenamed("node", "hi"), "hi", "left"), "jaccard-classes")
-    joined = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("component"))
-    # a component of very many classes is dealt over several tasks
-    salted = joined.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    labels = classes.withColumn("salt", F.pmod("lo", F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left").select("hi", "lo", F.coalesce("component", "first").alias("component"))
-    return signed.join(labels, ["hi", "lo"], "left").select(
+    joined = written(classes.where("root is not null").groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")), "jaccard-components")
+    labels = written(join_counted(classes, joined, ["root"], F.col("lo")).select("hi", "lo", F.coalesce("component", "first").alias("component"), "n"), "jaccard-labels")
+    discard(classes, joined)
+    return join_counted(signed, labels, ["hi", "lo"], F.col("doc_id")).select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
     )
