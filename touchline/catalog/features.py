@@ -407,7 +407,7 @@ def xi_conditional_sums(spark, d):
 def trailing_range_sum(spark, d):
     a = _apps(spark, d)
     rows = player.lineups(a, A.valuations(spark, d), A.players(spark, d), PARAMS).where("rank < 11")
-    t = player.totals_between(rows, player.trailing_totals(a), PARAMS)
+    t = player.totals_between(rows, player.daily_totals(a), PARAMS)
     return t.select("club_id", F.col("tidx").cast("long").alias("tidx"), "player_id", *[F.col(c).cast("long").alias(c) for c in ("d_minutes", "d_ga", "d_uefa")])
 
 
@@ -542,16 +542,17 @@ def check_rating_consistency(spark, d):
 
 
 def check_player_state(spark, d):
-    """Squad strength of 300 sampled club days recomputed row by row, against the fast path: the number that differ."""
+    """All eleven metrics of 300 sampled club days recomputed row by row, against the fast path: how many differ."""
     a, v = _apps(spark, d), A.valuations(spark, d)
     index = snapshot.value_index(a, v, _reference(spark, d), PARAMS)
     state = player.player_state(a, v, A.players(spark, d), index, PARAMS)
     days = a.select("club_id", F.date_add("d", 9).alias("d")).distinct().withColumn("id", F.concat_ws(":", "club_id", "d"))
     sampled = metrics.seeded_sample(days, "id", 300).drop("id")
-    slow = checks.brute_force_value(a, v, index, sampled, PARAMS)
-    fast = as_of(sampled, "club_id", "d", [Lookup(state, "club_id", "d", {"fast": "xi_value"}, max_gap=PARAMS.player_gap_days, tie=("tidx",))])
+    slow = checks.brute_force_state(a, v, A.players(spark, d), index, sampled, PARAMS)
+    fast = as_of(sampled, "club_id", "d", [Lookup(state, "club_id", "d", {f"fast_{m}": m for m in store.PLAYER_METRICS}, max_gap=PARAMS.player_gap_days, tie=("tidx",))])
     both = fast.join(slow, ["club_id", "d"], "left")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(checks.differs(F.col("fast"), F.col("xi_value"))).alias("mismatches"))
+    counted = both.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(checks.differs(F.col(f"fast_{m}"), F.col(m))).alias(m) for m in store.PLAYER_METRICS], *[F.count(m).alias(f"known_{m}") for m in store.PLAYER_METRICS])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).alias("mismatches"), F.col(f"known_{m}").alias("known"), F.col("n").alias("n")) for m in store.PLAYER_METRICS])))
 
 
 def seeded_sample(spark, d):

@@ -16,17 +16,17 @@ from touchline.sources import adapters as A
 
 RHO = -0.03
 T = 0.92
-MASKS = {"all": "true", "domestic": "not is_uefa", "uefa": "is_uefa", "second_tier": "tier = 2", "uefa_main": "is_uefa and tier = 1"}
+MASKS = {"all": "true", "domestic": "not is_uefa", "uefa": "is_uefa", "uefa_main": "is_uefa and tier = 1", "knockout": "is_knockout = 1"}
 
 
 def _forecasts(spark, d) -> DataFrame:
     """Two components' probabilities, from positive weights."""
     f = A.forecasts(spark, d)
     total = {c: F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2") for c in "ab"}
-    return f.select("match_id", "d", "y", "is_uefa", "tier", "lh", "la", *[(F.col(f"{c}{k}") / total[c]).alias(f"{c}{k}") for c in "ab" for k in range(3)])
+    return f.select("match_id", "d", "y", "is_uefa", "tier", "is_knockout", "lh", "la", *[(F.col(f"{c}{k}") / total[c]).alias(f"{c}{k}") for c in "ab" for k in range(3)])
 
 
-PROBABILITIES = "SELECT match_id, d, y, is_uefa, tier, lh, la, " + ", ".join(f"{c}{k}/({c}0 + {c}1 + {c}2) AS {c}{k}" for c in "ab" for k in range(3)) + " FROM forecasts"
+PROBABILITIES = "SELECT match_id, d, y, is_uefa, tier, is_knockout, lh, la, " + ", ".join(f"{c}{k}/({c}0 + {c}1 + {c}2) AS {c}{k}" for c in "ab" for k in range(3)) + " FROM forecasts"
 _PMF = {s: [f"exp(-{lam})*pow({lam}, {k}e0)/{float(factorial(k))!r}" for k in range(11)] for s, lam in (("h", "lh"), ("a", "la"))}
 CELLS = """SELECT match_id, i, j, p/sum(p) OVER (PARTITION BY match_id) AS p FROM (SELECT match_id, i, j, greatest(0e0, list_extract(ph, cast(i + 1 AS bigint))*list_extract(pa, cast(j + 1 AS bigint))*
  CASE WHEN i = 0 AND j = 0 THEN 1e0 - lh*la*({rho}) WHEN i = 0 AND j = 1 THEN 1e0 + lh*({rho}) WHEN i = 1 AND j = 0 THEN 1e0 + la*({rho}) WHEN i = 1 AND j = 1 THEN 1e0 - ({rho}) ELSE 1e0 END) AS p
@@ -145,14 +145,14 @@ def subset_metrics(spark, d):
     f = _forecasts(spark, d)
     named = lambda n, ps: F.struct(F.lit(n).alias("model"), *[p.alias(f"a{k}") for k, p in enumerate(ps)])
     first, second = [F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)]
-    long = f.select("y", "is_uefa", "tier", F.inline(F.array(named("first", first), named("second", second), named("mean", [(x + z) / 2 for x, z in zip(first, second)]))))
+    long = f.select("y", "is_uefa", "tier", "is_knockout", F.inline(F.array(named("first", first), named("second", second), named("mean", [(x + z) / 2 for x, z in zip(first, second)]))))
     out = metrics.subsets(long, {n: F.expr(m) for n, m in MASKS.items()}).groupBy("model", "subset").agg(*metrics.evaluation("y", P))
     return _rounded(out, "model", "subset")
 
 
 SUBSETS = _f(
     f"SELECT model, subset, {_EVAL} FROM long JOIN (VALUES " + ", ".join(f"('{n}')" for n in MASKS) + ") s(subset) ON CASE subset " + " ".join(f"WHEN '{n}' THEN {m}" for n, m in MASKS.items()) + " END GROUP BY model, subset",
-    long="SELECT 'first' AS model, y, is_uefa, tier, a0, a1, a2 FROM q UNION ALL SELECT 'second', y, is_uefa, tier, b0, b1, b2 FROM q UNION ALL SELECT 'mean', y, is_uefa, tier, (a0 + b0)/2, (a1 + b1)/2, (a2 + b2)/2 FROM q",
+    long="SELECT 'first' AS model, y, is_uefa, tier, is_knockout, a0, a1, a2 FROM q UNION ALL SELECT 'second', y, is_uefa, tier, is_knockout, b0, b1, b2 FROM q UNION ALL SELECT 'mean', y, is_uefa, tier, is_knockout, (a0 + b0)/2, (a1 + b1)/2, (a2 + b2)/2 FROM q",
 )
 
 
@@ -251,21 +251,23 @@ def export_nested_json(spark, d):
     """One JSON document for each competition: home, away, stage, probabilities."""
     mapping = A.table(spark, d, "supplier").selectExpr("cast(s_nationkey AS string) AS competition", "s_name AS name", "s_suppkey AS key")
     f = export.fixtures(mapping, "2026-09-01")
-    rated = f.withColumn("lambda_home", 0.5 + F.pmod(F.xxhash64("home"), F.lit(200)) / 100.0).withColumn("lambda_away", 0.5 + F.pmod(F.xxhash64("away"), F.lit(200)) / 100.0)
+    rated = f.withColumn("lambda_home", 0.5 + F.col("home_key") % 200 / 100.0).withColumn("lambda_away", 0.5 + F.col("away_key") * 7 % 200 / 100.0)
     m = rated.withColumn("r", scores.regions(scores.matrix("lambda_home", "lambda_away", RHO))).withColumn("elo_missing", F.col("home_key") % 17 == 0)
     return export.nested(m.withColumns({c: F.col(f"r.{n}") for c, n in zip(DEFAULT.class_labels, ("home", "draw", "away"))}))
 
 
 def export_round_trip(spark, d):
-    """The documents read back: how many predictions, and the sums of their numbers."""
+    """The documents read back: how many predictions, and how far their numbers are from what was written."""
     docs = export_nested_json(spark, d)
     parsed = docs.select("competition", F.from_json("document", "map<string,map<string,map<string,struct<p:array<double>,lambda:array<double>>>>>").alias("m"))
     flat = parsed.select("competition", F.explode("m").alias("home", "m")).select("competition", "home", F.explode("m").alias("away", "m")).select("competition", "home", "away", F.explode("m").alias("stage", "v"))
-    return flat.groupBy("competition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("home").alias("n_home"))
+    whole = F.abs(F.aggregate("v.p", F.lit(0.0), lambda s, x: s + x) - 1) < 2e-6
+    return flat.groupBy("competition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("home").alias("n_home"), F.count_if(whole).alias("n_whole"), _r(F.sum(F.col("v.lambda")[0]), 2).alias("goals_home"), _r(F.sum(F.col("v.lambda")[1]), 2).alias("goals_away"))
 
 
 TRIP = """WITH s AS (SELECT cast(s_nationkey AS varchar) AS competition, s_name, s_suppkey FROM supplier)
- SELECT h.competition, count(*)*3 AS n, count(DISTINCT h.s_name) AS n_home FROM s h JOIN s a ON a.competition = h.competition AND a.s_name <> h.s_name WHERE h.s_suppkey % 17 <> 0 GROUP BY 1"""
+ SELECT h.competition, count(*)*3 AS n, count(DISTINCT h.s_name) AS n_home, count(*)*3 AS n_whole, round(sum(0.5e0 + (h.s_suppkey % 200)/100e0)*3, 2) AS goals_home, round(sum(0.5e0 + (a.s_suppkey*7 % 200)/100e0)*3, 2) AS goals_away
+ FROM s h JOIN s a ON a.competition = h.competition AND a.s_name <> h.s_name WHERE h.s_suppkey % 17 <> 0 GROUP BY 1"""
 
 
 # -- models -----------------------------------------------------------------------
@@ -292,7 +294,10 @@ def ml_logreg(spark, d):
 
 
 def ml_boosted(spark, d):
-    return _fit_and_score(spark, d, models.Boosted(COLUMNS, trees=3, depth=3))
+    """With the last season before the cut held back to stop on."""
+    rows = _training(spark, d)
+    scored = models.Boosted(COLUMNS).fit(rows.where(F.col("d") < F.lit(CUT)), CUT, date(1999, 7, 1))(rows.where(F.col("d") >= F.lit(CUT)))
+    return _rounded(scored.agg(*metrics.evaluation("target", [f"classifier_{k}" for k in range(3)])), n=3)
 
 
 def ml_poisson(spark, d):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.functions.scalar import argmax, col
 from touchline.params import DEFAULT
@@ -78,12 +80,25 @@ def simplex(steps: int = 20) -> list[tuple[int, float, float, float]]:
 
 
 def weight_grid(df: DataFrame, y: str, components: list[list[str]], uefa: Column, steps: int = 20) -> DataFrame:
-    """``w1, w2, w3, objective, ...`` of every triple: the grid is joined to the rows as a literal array, one aggregate."""
-    spark = df.sparkSession
-    grid = spark.createDataFrame(simplex(steps), "g int, w1 double, w2 double, w3 double")
-    rows = df.select(F.col(y).alias("_y"), uefa.alias("_u"), *[F.col(c) for comp in components for c in comp]).crossJoin(F.broadcast(grid))
-    mixed = [sum((F.col(comp[k]) * F.col(f"w{i + 1}") for i, comp in enumerate(components)), F.lit(0.0)) for k in range(3)]
-    return rows.select("g", "w1", "w2", "w3", "_y", "_u", *[m.alias(f"m{k}") for k, m in enumerate(mixed)]).groupBy("g", "w1", "w2", "w3").agg(*objective("_y", ["m0", "m1", "m2"], F.col("_u")))
+    """``w1, w2, w3, objective, log_loss_all, log_loss_uefa`` of every triple: a matrix product for each batch of rows, then sums by triple."""
+    points = simplex(steps)
+    weights = np.array([p[1:] for p in points]).T
+    # the probability that each component gives to what happened
+    hit = [F.coalesce(*[F.when(F.col(y) == k, F.col(c)) for k, c in enumerate(comp)]).cast("double") for comp in components]
+
+    def run(batches):
+        for batch in batches:
+            p = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(components))], 1)
+            flag = batch.column(len(components)).to_numpy(zero_copy_only=False).astype(bool)
+            loss = -np.log(np.clip(p @ weights, EPSILON, 1 - EPSILON))
+            n, m = np.full(len(points), len(p)), np.full(len(points), int(flag.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in points], pa.int32()), pa.array(loss.sum(0)), pa.array(n), pa.array(loss[flag].sum(0)), pa.array(m)], names=["g", "s", "n", "su", "nu"])
+
+    sums = df.select(*[h.alias(f"p{k}") for k, h in enumerate(hit)], F.coalesce(uefa.cast("boolean"), F.lit(False)).alias("u")).mapInArrow(run, "g int, s double, n long, su double, nu long")
+    total = sums.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("s", "n", "su", "nu")])
+    grid = df.sparkSession.createDataFrame(points, "g int, w1 double, w2 double, w3 double")
+    every, some = F.col("s") / F.col("n"), F.when(F.col("nu") > 0, F.col("su") / F.col("nu"))
+    return total.join(grid, "g").select("g", "w1", "w2", "w3", (0.5 * (every + some)).alias("objective"), every.alias("log_loss_all"), some.alias("log_loss_uefa"))
 
 
 def first_least(df: DataFrame, by: str, *ties: str) -> DataFrame:
@@ -97,7 +112,3 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = DEFAULT.seed) ->
 
 def range_summary(df: DataFrame, day: str, flag: Column) -> DataFrame:
     return df.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("n_flagged"))
-
-
-def running_rank(partition: list[str], *order) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

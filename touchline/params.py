@@ -106,12 +106,49 @@ FEATURE_GROUPS = {
 }
 
 
+#: What each feature means; ``{side}`` features hold for the home and the away team. D is the match's day, T the day of the club's last game before D.
+_SIDED = {
+    "form": "mean points of the last {form_window} matches before D (at least {form_min}); a gap of more than {gap_days} days starts anew",
+    "squad_value": "log10 of the sum of the {squad_top} greatest values of players seen in the {squad_window_days} days before D's month, less the reference countries' median",
+    "xi_value": "log10 of the sum of the first eleven's values on T, less the value index of T's month; {xi_min_valued} values at least",
+    "xi_star": "log10 of the greatest value of the first eleven, less the value index",
+    "bench_value": "log10 of the sum of the values of the next {bench_size} players, less the value index; {bench_min_valued} values at least",
+    "att_value": "as xi_value, attackers only",
+    "mid_value": "as xi_value, midfielders only",
+    "def_value": "as xi_value, defenders only",
+    "gk_value": "as xi_value, goalkeepers only",
+    "xi_ga90": "goals and assists of the first eleven for each 90 minutes in the {production_days} days up to T; {production_min_minutes} minutes at least",
+    "xi_age": "mean age of the first eleven on T in years of 365.25 days",
+    "xi_uefa_apps": "mean number of main international games of the first eleven in the {uefa_experience_days} days up to T",
+    "xi_last_match_share": "share of the first eleven's value that played at least {continuity_minutes} minutes on T",
+    "goals_for": "mean goals of the last {goals_window} matches before D (at least {goals_min})",
+    "goals_against": "mean goals conceded in the last {goals_window} matches before D (at least {goals_min})",
+    "sot_share": "share of shots on target over the last {shots_window} matches with shots before D (at least {shots_min})",
+    "shot_share": "share of shots over the last {shots_window} matches with shots before D (at least {shots_min})",
+    "rest_days": "days since the last match before D, {rest_cap} at most",
+}
+_WHOLE = {
+    "elo_diff": "home rating + {elo_home_advantage} unless neutral - away rating, both before D and not older than {elo_stale_days} days",
+    "mkt_elo_diff": "as elo_diff, of the ratings that learn from market odds",
+    "is_knockout": "1 in a knockout round of a main international competition",
+    "is_uefa": "1 in an international competition",
+    "xi_value_diff": "home_xi_value - away_xi_value",
+}
+
+
+def definition(feature: str, params: Params = DEFAULT) -> str:
+    text = _WHOLE[feature] if feature in _WHOLE else f"{feature.split('_')[0]} team: " + _SIDED[feature.split("_", 1)[1]]
+    return text.format(**asdict(params))
+
+
 def contract(columns: list[str], rating: dict, ensemble: dict, params: Params = DEFAULT) -> dict:
     """What a model and a feature store must agree on. An unknown column is an error."""
     unknown = [c for c in columns if c not in FEATURES]
     if unknown:
         raise ValueError(f"no such feature: {', '.join(unknown)}")
-    return {"columns": columns, "params": json.loads(json.dumps(asdict(params), default=str)), "rating": rating, "ensemble": ensemble, "classes": list(params.class_labels)}
+    group = {f: g for g, fs in FEATURE_GROUPS.items() for f in fs}
+    features = [{"name": c, "type": "double", "group": group[c], "definition": definition(c, params)} for c in columns]
+    return {"columns": columns, "features": features, "params": json.loads(json.dumps(asdict(params), default=str)), "rating": rating, "ensemble": ensemble, "classes": list(params.class_labels)}
 
 
 def contract_hash(value: dict) -> str:

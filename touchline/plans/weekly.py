@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
+from pathlib import Path
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.functions import scalar
 from touchline.operators import metrics
 from touchline.params import DEFAULT, Params
+from touchline.sources import sinks
 
 
 def live_performance(scored: DataFrame, since: date, least_uefa: int = 30) -> DataFrame:
@@ -65,6 +68,27 @@ def default_test_from(today: date) -> date:
     return date(start - 1, 7, 1)
 
 
+def production_metrics(spark: SparkSession, path: str) -> dict:
+    """The metrics document of the model in production; empty where there is none."""
+    if not Path(path).exists():
+        return {}
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def data_end(about: dict) -> date:
+    """The day of the last match that a model was fitted on; older documents tell it by the range of the part it was fitted on."""
+    if about.get("data_end"):
+        return date.fromisoformat(str(about["data_end"])[:10])
+    part = "test" if about.get("refit_all") else "development"
+    return date.fromisoformat(str(about["data_range"][part]["to"])[:10])
+
+
+def promote(staging: str, production: str, archive: str, stamp: str, names: list[str]) -> tuple[list[str], list[str]]:
+    """Archives the files in production under ``stamp``, then puts the staged ones in their place: names archived, names promoted."""
+    old = sinks.archive(production, names, f"{archive}/{stamp}")
+    return old, sinks.archive(staging, names, production)
+
+
 def report_text(rows: dict[str, object]) -> str:
     return "# Weekly report\n\n" + "\n".join(f"- {k}: {v}" for k, v in rows.items()) + "\n"
 

@@ -52,6 +52,7 @@ FORECAST_COLUMNS = {
     "y": "cast(o_orderkey % 3 AS int)",
     "is_uefa": "o_orderpriority = '1-URGENT'",
     "tier": "CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END",
+    "is_knockout": "CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END",
     "a0": "1e0 + cast((o_orderkey*13) % 17 AS double)",
     "a1": "1e0 + cast((o_orderkey*19) % 11 AS double)",
     "a2": "1e0 + cast((o_orderkey*29) % 23 AS double)",

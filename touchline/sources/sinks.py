@@ -38,9 +38,10 @@ def manifest(path: str, value: dict) -> None:
 
 def contract_page(path: str, value: dict, title: str = "Feature contract") -> None:
     """The contract for readers, with the machine's copy between markers."""
-    rows = "\n".join(f"| {k + 1} | {c} |" for k, c in enumerate(value["columns"]))
+    told = {f["name"]: f["definition"] for f in value.get("features", [])}
+    rows = "\n".join(f"| {k + 1} | {c} | {told.get(c, '')} |" for k, c in enumerate(value["columns"]))
     body = json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
-    replace(path, f"# {title}\n\n| place | column |\n| --- | --- |\n{rows}\n\n<!-- contract:begin -->\n{body}\n<!-- contract:end -->\n")
+    replace(path, f"# {title}\n\n| place | column | definition |\n| --- | --- | --- |\n{rows}\n\n<!-- contract:begin -->\n{body}\n<!-- contract:end -->\n")
 
 
 def read_contract(spark: SparkSession, path: str) -> dict:
