@@ -101,7 +101,9 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], spread: Col
     packed = F.struct(*values)
     told = left.join(F.broadcast(right.where(hot).select(*keys, packed.alias("_hot"))), keys, "left")
     told = told.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 16)) + 1))
-    out = told.join(right.where(~hot).select(*keys, packed.alias("_cold"), F.lit(0).cast("long").alias("_salt")), [*keys, "_salt"], "left")
+    # 0 for every n; a literal would be taken out of the join's keys, and hot rows would meet again
+    no_salt = F.least(F.col("n").cast("long"), F.lit(0).cast("long"))
+    out = told.join(right.where(~hot).select(*keys, packed.alias("_cold"), no_salt.alias("_salt")), [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
     out = out.where(found.isNotNull()) if how == "inner" else out
     return out.select(*left.columns, *[found[c].alias(c) for c in values])
