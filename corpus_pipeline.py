@@ -7,14 +7,19 @@ further copies and contaminated documents go, secrets are replaced in the text.
 Documents are told by ``doc_id``: where an id repeats, a verdict on one of its
 rows holds for all, and one row of an id stays after the stage on copies. Rows
 without an id pass every stage that decides by id.
+
+Null and empty texts are scored, have no shingles, windows or secrets, and end as
+the end token alone; very long texts are one row of one task in every stage;
+an empty table gives an empty one; further columns are passed on until the last
+stage. The tables between stages are deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm import decontaminate, jaccard, piece_bpe, quality, secrets
-from touchline.llm._arrow import written
+from touchline.llm._arrow import discard, written
 from touchline.llm.queries import QUALITY_THRESHOLD, remainder, table, tokenizer_file
 
 
@@ -35,8 +40,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = _without(docs, written(linked.where("doc_id <> component_id").select("doc_id"), "copies"))
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
     if again.limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        left = left.withColumn("_row", F.row_number().over(first)).where("_row = 1 or doc_id is null").select(*docs.columns)
+        # one row of an id: the least, text first; taken on the map side, so an id of very many rows is a row for each task
+        order = ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]
+        one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row")).select("doc_id", "row.*")
+        left = one.select(*docs.columns).unionByName(left.where("doc_id is null"))
     return left
 
 
@@ -75,8 +82,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
