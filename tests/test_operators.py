@@ -352,3 +352,18 @@ def test_input_order_does_not_matter(spark):
     m = matches(spark, [(k % 9, f"T{k % 5}", f"U{k % 7}", k % 4, k % 3) for k in range(60)])
     log = lambda df: sorted(map(str, rolling.team_log(df).collect()))
     assert log(m) == log(m.repartition(7).orderBy(F.desc("match_id")))
+
+
+def test_ties_of_a_day_by_number(spark):
+    builds = spark.createDataFrame([("a", on(1), -5, "low"), ("a", on(1), 3, "high"), ("a", on(1), -10**9, "least")], "k string, d date, t long, v string")
+    probes = spark.createDataFrame([("a", on(2))], "k string, d date")
+    assert as_of(probes, "k", "d", [Lookup(builds, "k", "d", {"v": "v"}, tie=("t",))]).first()["v"] == "high"
+    assert as_of(probes, "k", "d", [Lookup(builds, "k", "d", {"v": "v"}, tie=("t",))], bucket_days=1).first()["v"] == "high"
+
+
+def test_not_in_and_club_countries(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n int, x string")
+    assert [r["n"] for r in df.where(scalar.not_in("x", ["a"])).orderBy("n").collect()] == [2, 3]
+    clubs = spark.createDataFrame([(1, "ENG"), (2, None)], "club_id long, country string")
+    played = spark.createDataFrame([(2, "GER", on(5)), (2, "ITA", on(2)), (3, "FRA", on(1)), (1, "ESP", on(0))], "club_id long, country string, d date")
+    assert {r["club_id"]: r["country"] for r in identity.club_countries(clubs, played).collect()} == {1: "ENG", 2: "ITA", 3: "FRA"}

@@ -144,3 +144,50 @@ def test_streaming_form_equals_batch(spark, small, tmp_path):
     log = rolling.segments(rolling.both_sides(m), 200).withColumn("form_after", rolling.rolling_mean("points", 5, 3))
     expected = {(str(r["team"]), r["match_id"]): r["form_after"] for r in log.collect()}
     assert got == expected
+
+
+def test_season_files_and_refresh(tmp_path):
+    from datetime import date
+
+    files, always = readers.season_files("http://x", 2014, date(2016, 3, 1))
+    assert files["1415_E0.csv"] == "http://x/mmz4281/1415/E0.csv" and files["extra_AUT.csv"] == "http://x/new/AUT.csv"
+    assert len(files) == 2 * 17 + 10 and "1516_E0.csv" in always and "1415_E0.csv" not in always and "extra_AUT.csv" in always
+    (tmp_path / "a").write_text("12345")
+    (tmp_path / "b").write_text("1")
+
+    def size(url):
+        if url == "down":
+            raise OSError("no network")
+        return 5
+
+    asked = []
+    get = lambda url: asked.append(url) or b"54321"
+    assert readers.refresh({"a": "A", "b": "B", "c": "C"}, str(tmp_path), size, get) == {"a": "kept", "b": "fetched", "c": "fetched"} and asked == ["B", "C"]
+    assert readers.refresh({"a": "down"}, str(tmp_path), size, get) == {"a": "offline"}
+    with pytest.raises(ConnectionError):
+        readers.refresh({"d": "down"}, str(tmp_path), size, get)
+
+
+def test_league_files_by_name(spark, tmp_path):
+    rows = "Date,HomeTeam,AwayTeam,FTHG,FTAG,PSCH,PSCD,PSCA,AvgCH,AvgCD,AvgCA\n01/09/2014,A,B,2,1,2.0,3.0,4.0,2.1,3.1,4.1\n"
+    (tmp_path / "1415_E1.csv").write_text(rows)
+    (tmp_path / "x1415_E1.csv").write_bytes(rows.replace("A,B", "\u00c4,B").encode("latin-1"))
+    (tmp_path / "extra_AUT.csv").write_text("Date,Home,Away,HG,AG\n02/09/2014,C,D,0,0\n")
+    with pytest.warns(UserWarning, match="no league"):
+        found, unknown = conform.league_files(spark, [str(tmp_path / n) for n in ("1415_E1.csv", "x1415_E1.csv", "extra_AUT.csv")])
+    got = {r["home_team"]: r for r in found.collect()}
+    assert set(got) == {"A", "C"} and len(unknown) == 1
+    assert (got["A"]["tier"], got["A"]["country"], got["A"]["odds_type"], got["C"]["country"]) == (2, "ENG", "PSC", "AUT")
+    # a file is told by its whole path, not by the end of its name
+    both = readers.csv_any_encoding(spark, [str(tmp_path / "1415_E1.csv"), str(tmp_path / "x1415_E1.csv")])
+    assert {r["HomeTeam"] for r in both.collect()} == {"A", "\u00c4"}
+
+
+def test_live_rows(spark):
+    from datetime import date
+
+    from touchline.plans import weekly
+
+    m = spark.createDataFrame([(1, date(2026, 1, 2), 1, False, 1, 0), (2, date(2026, 1, 2), 2, False, 1, 0), (3, date(2026, 1, 2), 2, True, 0, 0), (4, date(2026, 1, 1), 1, False, 1, 0), (5, date(2026, 1, 3), 1, False, 0, 2)], "match_id long, d date, tier int, is_uefa boolean, home_goals int, away_goals int")
+    p = spark.createDataFrame([(k, 0.5, 0.3, 0.2, k == 5) for k in range(1, 6)], "match_id long, home_win double, draw double, away_win double, elo_missing boolean")
+    assert sorted((r["match_id"], r["y"], r["p0"]) for r in weekly.live_rows(m, p, date(2026, 1, 1)).collect()) == [(1, 0, 0.5), (3, 1, 0.5)]

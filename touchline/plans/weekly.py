@@ -31,6 +31,16 @@ def live_performance(scored: DataFrame, since: date, least_uefa: int = 30) -> Da
     return out.withColumn("gap", F.col("model_on_market") - F.col("market_log_loss")).withColumn("uefa_log_loss", F.when(F.col("n_uefa") >= least_uefa, F.col("_u"))).drop("_u")
 
 
+def live_rows(matches: DataFrame, predicted: DataFrame, since: date) -> DataFrame:
+    """Matches to measure a model on: played after ``since``, of a first division or international, with a rating.
+
+    ``predicted``: match_id, the three probabilities and ``elo_missing``. The result fits ``live_performance``.
+    """
+    played = matches.where((F.col("d") > F.lit(since)) & ((F.col("tier") == 1) | F.col("is_uefa").cast("boolean")))
+    known = predicted.where(~F.col("elo_missing")).select("match_id", *[F.col(c).alias(f"p{k}") for k, c in enumerate(DEFAULT.class_labels)])
+    return played.withColumn("y", scalar.class_index(scalar.result("home_goals", "away_goals"))).where("y is not null").join(known, "match_id")
+
+
 def market_reference(df: DataFrame, least: int = 100) -> DataFrame:
     """Margin-free market probabilities of the rows that have them; no row where there are fewer than ``least``."""
     rows = df.withColumn("m", scalar.market_probabilities("odds_home", "odds_draw", "odds_away")).where("m is not null")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.functions.scalar import first_valid_odds, mixed_date, not_in, number, result, round_class, season_start
 from touchline.schemas import APPEARANCE, MATCH, PLAYER, VALUATION
-from touchline.sources.leagues import COUNTRY_CODES, COVERED, MAIN_LEAGUES, ODDS_PREFIXES, UEFA_MAIN, UEFA_QUALIFYING, tier as tier_of
-from touchline.sources.readers import with_columns
+from touchline.sources.leagues import COUNTRY_CODES, COVERED, EXTRA_LEAGUES, MAIN_LEAGUES, ODDS_PREFIXES, UEFA_MAIN, UEFA_QUALIFYING, tier as tier_of
+from touchline.sources.readers import csv_any_encoding, with_columns
 
 UEFA = UEFA_MAIN + UEFA_QUALIFYING
 _STATS = {"fouls": "F", "yellow": "Y", "red": "R", "shots": "S", "sot": "ST"}
@@ -54,6 +57,22 @@ def extra_league(df: DataFrame, competition: str, country: str, first_season: in
     return _finished(rows, first_season)
 
 
+def league_files(spark: SparkSession, paths: list[str], first_season: int = 2008) -> tuple[DataFrame | None, list[str]]:
+    """All season files (``1415_E0.csv``) and all-seasons files (``extra_AUT.csv``) as matches, and the paths whose names are neither, with a warning."""
+    parts, unknown = [], []
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        season, extra = re.fullmatch(r"\d{4}_(\w+)\.csv", name), re.fullmatch(r"extra_(\w+)\.csv", name)
+        if season and season[1] in MAIN_LEAGUES:
+            parts.append(league(csv_any_encoding(spark, [path]), season[1], first_season=first_season))
+        elif extra and extra[1] in EXTRA_LEAGUES:
+            parts.append(extra_league(csv_any_encoding(spark, [path]), extra[1], EXTRA_LEAGUES[extra[1]], first_season))
+        else:
+            unknown.append(path)
+            warnings.warn(f"no league's file: {path}", stacklevel=2)
+    return (union(parts) if parts else None), unknown
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """All sources by name; exact repetitions go."""
     out = parts[0]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from datetime import date
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from touchline.schemas import struct
+from touchline.sources.leagues import EXTRA_LEAGUES, MAIN_LEAGUES
 
 BOM = "﻿"
 
@@ -51,6 +55,54 @@ def download(files: dict[str, str], folder: str, always: set[str] = frozenset(),
     return failed
 
 
+def season_files(base: str, first_season: int, today: date) -> tuple[dict[str, str], set[str]]:
+    """Names and URLs of all league files from a season on, and the names that are fetched each time: the running season's and those of all seasons."""
+    current = today.year - (today.month < 7)
+    files, always = {}, set()
+    for start in range(first_season, current + 1):
+        code = f"{start % 100:02d}{(start + 1) % 100:02d}"
+        for league in MAIN_LEAGUES:
+            files[f"{code}_{league}.csv"] = f"{base}/mmz4281/{code}/{league}.csv"
+            if start == current:
+                always.add(f"{code}_{league}.csv")
+    for league in EXTRA_LEAGUES:
+        files[f"extra_{league}.csv"] = f"{base}/new/{league}.csv"
+        always.add(f"extra_{league}.csv")
+    return files, always
+
+
+def http_size(url: str, opener: Callable = urllib.request.urlopen) -> int | None:
+    """The length that a server tells for a URL without sending the body; None where it tells none."""
+    with opener(urllib.request.Request(url, method="HEAD")) as answer:
+        told = answer.headers.get("Content-Length")
+        return int(told) if told is not None else None
+
+
+def refresh(files: dict[str, str], folder: str, size: Callable[[str], int | None] = http_size, get: Callable[[str], bytes] = http_get, force: bool = False) -> dict[str, str]:
+    """Fetches each file whose length differs from the server's. Where the server can't be reached a file that is there is used.
+
+    Returns what was done by name: 'kept', 'fetched' or 'offline'; no server and no file is an error.
+    """
+    done = {}
+    for name, url in files.items():
+        path = Path(folder, name)
+        try:
+            remote = size(url)
+        except OSError as e:
+            if not path.exists():
+                raise ConnectionError(f"{url} can't be reached and {path} is not there") from e
+            done[name] = "offline"
+            continue
+        if not force and remote is not None and not needs_download(str(path), remote):
+            done[name] = "kept"
+            continue
+        failed = download({name: url}, folder, {name}, get)
+        if failed:
+            raise ConnectionError(f"{url}: {failed[name]}")
+        done[name] = "fetched"
+    return done
+
+
 def needs_download(path: str, remote_size: int | None) -> bool:
     """False where the file is there and as long as the remote one, or the remote one can't be asked."""
     here = Path(path)
@@ -72,7 +124,9 @@ def csv_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files in UTF-8, and those that are not as Latin-1."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), (~F.is_valid_utf8("value")).alias("bad"))
     bad = {r["path"] for r in lines.where("bad").select("path").distinct().collect()}  # at most as many as files
-    clean = [p for p in paths if not any(b.endswith(Path(p).name) for b in bad)]
+    place = lambda p: "/" + re.sub(r"^[a-z][a-z0-9+.-]*:", "", unquote(str(p))).lstrip("/")
+    wrong = {place(b) for b in bad}
+    clean = [p for p in paths if place(p) not in wrong]
     rest = [p for p in paths if p not in clean]
     parts = [csv(spark, p, e) for p, e in ((clean, "utf-8"), (rest, "ISO-8859-1")) if p]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
@@ -86,8 +140,6 @@ def with_columns(df: DataFrame, ddl: str) -> DataFrame:
 
 def by_file_name(df: DataFrame, pattern: str) -> DataFrame:
     """Adds the groups of a pattern over the file's name as columns g1, g2, ..; rows of files that do not fit go."""
-    import re
-
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
     groups = re.compile(pattern).groups
     out = df.withColumns({f"g{k}": F.regexp_extract(name, pattern, k) for k in range(1, groups + 1)})
@@ -123,8 +175,6 @@ def pots(spark: SparkSession, path: str) -> DataFrame:
 
 def embedded_json(text, start: str, end: str, ddl: str):
     """A JSON value between two markers of a text."""
-    import re
-
     return F.from_json(F.regexp_extract(text, f"(?s){re.escape(start)}(.*?){re.escape(end)}", 1), ddl)
 
 
