@@ -234,7 +234,7 @@ def test_taken_clubs_names_and_mapping(spark):
     assert (m["Gamma", "2"]["key"], m["Gamma", "2"]["method"]) == ("tm:3", "auto_exact") and m["Delta City", "9"]["key"] == "tm:4"
     assert m["Gamma", "1"]["key"] is None and all("tm:3" not in x for x in m["Gamma", "1"]["suggestions"])
     assert (m["By hand", "1"]["key"], m["By hand", "1"]["method"]) == ("tm:1", "manual")
-    mapping = identity.country_mapping(wanted, alias_rows, clubs, manual)
+    mapping = spark.createDataFrame([(r["competition"], r["name"], r["country"], r["key"], r["method"]) for r in m.values()], "competition string, name string, country string, key string, method string")
     assert identity.checked_mapping(mapping, clubs) is mapping
     with pytest.raises(ValueError, match="no such key: CL: By hand"):
         identity.checked_mapping(mapping, clubs.where("key <> 'tm:1'"))
