@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import chat, decontaminate, fingerprint, jaccard, lines, mixing, piece_bpe, quality, secrets, shards
+from touchline.llm import chat, decontaminate, fingerprint, jaccard, kdtree, lines, mixing, packing, piece_bpe, quality, secrets, shards, trie
 
 
 def tokenizer_file(name: str) -> str:
@@ -88,6 +88,24 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs).drop("text"))
 
 
+#: Centroids, components, rounds and scale of the clustering query.
+CENTROIDS, COMPONENTS, CLUSTER_ROUNDS, SCALE = 16, 64, 3, 64.0
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, COMPONENTS, CLUSTER_ROUNDS, "1:", SCALE)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = trie.sequences(table(spark, sf_dir, "conversations"))
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return trie.prefix_trie(trie.joined_prefixes(seqs, F.col("conv_id") - F.col("conv_id") % 5, taken))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
@@ -100,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_centroids": op11_centroids,
+        "op12_packing": op12_packing,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
