@@ -123,8 +123,8 @@ def test_packing(spark, docs, corpus):
     whole = {r["sequence_id"]: r for r in packing.sequences(pieces).collect()}
     for r in rows:
         assert bytes(whole[r["sequence_id"]]["ids"])[4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
-    crc = {(r["doc_id"], r["start"], r["sequence_id"]): r["ids_crc32"] for r in packing.digests(pieces).collect()}
-    assert all(crc[r["doc_id"], r["start"], r["sequence_id"]] == zlib.crc32(bytes(r["ids"])) for r in rows)
+    crc = {(r["sequence_id"], r["offset"]): r["ids_crc32"] for r in packing.digests(pieces).collect()}
+    assert all(crc[r["sequence_id"], r["offset"]] == zlib.crc32(bytes(r["ids"])) for r in rows)
     pieces.unpersist()
 
 
@@ -141,9 +141,9 @@ def test_packing_of_equal_lengths(spark, monkeypatch):
 
 def test_words_apart_give_the_ids_of_the_text(corpus):
     words = packing.word_ids(WORDS)
-    texts = [t or "" for _, t in corpus] + ["It's\tDON'T  we'll\x1cx\x85y z İstanbul ΣΑΣ é ́x <|endoftext|>a <|ENDOFTEXT|> 12345 ,;--"]
-    for t in texts:
-        assert np.frombuffer(words.encode(t.encode()), words.kind).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+    texts = [t or "" for _, t in corpus] + ["don't. a.'s H\u0331.x Don'T! re's'd x1y ...a'LL É.a e\u0301.b A\u0300", "It's\tDON'T  we'll\x1cx\x85y z İstanbul ΣΑΣ é ́x <|endoftext|>a <|ENDOFTEXT|> 12345 ,;--"]
+    for t, ids in zip(texts, words.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, words.kind).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
 def test_patterns():

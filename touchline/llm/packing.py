@@ -11,7 +11,7 @@ linear program finds how often to use which pattern of lengths:
   where a sequence ends, at the price of its tokens;
 * the restricted program is solved by the revised simplex method; a knapsack over
   the duals, by dynamic programming over totals, prices new patterns, the best
-  ones for many lengths at once, until none improves it or after ``ROUNDS``.
+  ones for many lengths at once, until none improves it or after ``PIVOTS``.
 
 Counts of patterns are rounded down, then up where documents are left. Documents of
 a length are ranked by slice (the partition that read them) and place in it; a
@@ -27,12 +27,14 @@ further columns are left out; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from touchline.llm._arrow import written
@@ -41,19 +43,27 @@ from touchline.llm._arrow import written
 SIZE, END = 2048, 1
 #: Price of a sequence at a smaller power of two, in tokens.
 SHORT = 16.0
-#: Rounds of pricing, patterns tried in each, and the least gain that is still an improvement, in tokens.
-ROUNDS, TRIED, LEAST_GAIN = 30, 2048, 1.0
+#: Rounds of pricing and pivots, patterns tried in a round, and the least gain that is still an improvement, in tokens.
+ROUNDS, PIVOTS, TRIED, LEAST_GAIN = 100, 3000, 600, 1.0
 #: Rows (slice, length) whose first ranks are broadcast, about 24 bytes each; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: Words whose ids a task keeps, and the longest such word.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+#: Words whose ids a worker keeps, and bytes of text whose words are looked up at once.
+CACHE_WORDS, TEXT_BYTES = 1_000_000, 1 << 20
 
 
 # -- tokens --------------------------------------------------------------------
 
 
+#: Between an ASCII letter and ASCII punctuation or a digit the vocabulary never joins either; but an apostrophe may begin an ending.
+PARTS = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-@[-`{-~])|(?<=[!-&(-@[-`{-~])(?=[A-Za-z])")
+#: Special tokens are spelled with it, so such words are not taken apart.
+SPECIAL = b"<|"
+#: New words that go through the tokenizer as one text.
+AT_ONCE = 512
+
+
 class WordIds(dict):
-    """Ids of words as packed integers, by the tokenizer where a word is new. The vocabulary never joins over ASCII white space."""
+    """Ids of words as packed integers; new words go through the tokenizer, many at once. It never joins over ASCII white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,17 +71,67 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
+        closing = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a run of letters, where the vocabulary marks them.
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        if closing:
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(closing)]] = True
+
+    def learn(self, new: set[bytes]) -> None:
+        """Keeps the ids of new words."""
+        letters, others, composed = set(), set(), []
+        for w in new:
+            # letters of either case have the same ids; only ASCII is lowered here, as composing comes before lowering
+            own = [w.lower()] if w.isalpha() else [w] if SPECIAL in w else [p.lower() if p.isascii() else p for p in PARTS.split(w)]
+            for p in own:
+                if p not in self:
+                    (letters if p.isalpha() or p.decode().isalpha() else others).add(p)
+            if len(own) > 1 or own[0] != w:
+                composed.append((w, own))
+        for group, one_each in ((list(letters), True), (list(others), False)):
+            for at in range(0, len(group), AT_ONCE):
+                words = group[at : at + AT_ONCE]
+                if not (one_each and self._letters(words)):
+                    self._any(words)
+        for w, own in composed:
+            self[w] = self[own[0]] if len(own) == 1 else b"".join([self[p] for p in own])
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, cuts: list[int]) -> None:
+        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        cuts = [c * size for c in cuts]
+        self.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def _letters(self, words: list[bytes]) -> bool:
+        """Words of letters alone, told apart by the ids that end one; False if these are not one each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return False
+        self._keep(words, ids, [0, *ends.tolist()])
+        return True
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) + self.end
+    def _any(self, words: list[bytes]) -> None:
+        """Any words, told apart by their places in the text."""
+        spelled = [w.decode() for w in words]
+        starts = np.cumsum([0, *[len(w) + 1 for w in spelled]])
+        coded = self.tokenizer.encode(" ".join(spelled), add_special_tokens=False)
+        begins = np.array([a for a, _ in coded.offsets], np.int64)
+        self._keep(words, np.array(coded.ids, np.int64), np.searchsorted(begins, starts).tolist())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids and the end id of each of some texts, about a megabyte of them."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        words = [t.split() for t in texts]
+        found = [list(map(self.get, own)) for own in words]
+        lost = [[k for k, x in enumerate(got) if x is None] for got in found]
+        self.learn({own[k] for own, at in zip(words, lost) for k in at})
+        for own, got, at in zip(words, found, lost):
+            for k in at:
+                got[k] = self[own[k]]
+            got.append(self.end)
+        return [b"".join(got) for got in found]
 
 
 @lru_cache(maxsize=2)
@@ -92,20 +152,21 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
         width = words.kind.itemsize
         seen, blocks = np.zeros(SIZE, np.int64), 0
         for b in batches:
-            out, held = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                ids = words.encode(text.as_py())
-                n = len(ids) // width
-                rest = n % SIZE
-                out.append((number, doc, ids, width, n, rest, int(seen[rest]), blocks))
-                seen[rest] += 1
-                blocks += n // SIZE
-                held += len(ids)
-                if held > 4 << 20:
-                    yield _batch(out, TOKENS)
-                    out, held = [], 0
-            if out:
+            texts = b.column(1).cast(pa.large_binary())
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < b.num_rows:
+                until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES)))
+                some = texts.slice(at, until - at).to_pylist()
+                out = []
+                for doc, ids in zip(b.column(0).slice(at, until - at).to_pylist(), words.encode(some)):
+                    n = len(ids) // width
+                    rest = n % SIZE
+                    out.append((number, doc, ids, width, n, rest, int(seen[rest]), blocks))
+                    seen[rest] += 1
+                    blocks += n // SIZE
                 yield _batch(out, TOKENS)
+                at = until
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return written(rows.mapInArrow(run, TOKENS), "pack-tokens")
@@ -193,7 +254,8 @@ class Program:
         return True
 
     def solve(self, rounds: int = ROUNDS, size: int = SIZE) -> int:
-        """Generates patterns until none gains; the number of rounds that took."""
+        """Generates patterns until none gains or ``PIVOTS`` are made; the number of rounds that took."""
+        pivots = 0
         for r in range(rounds):
             entered = 0
             for j in np.flatnonzero(self.duals - self.lengths >= LEAST_GAIN).tolist():
@@ -213,7 +275,8 @@ class Program:
             for t in powers(size):
                 if best[t] - SHORT >= LEAST_GAIN:
                     entered += self.enter(_trace(t, self.lengths, take), SHORT)
-            if not entered:
+            pivots += entered
+            if not entered or pivots >= PIVOTS:
                 return r + 1
         return rounds
 
