@@ -28,19 +28,19 @@ def rows(spark):
         home, away = int(rnd.poisson(1.5 * np.exp(x / 400))), int(rnd.poisson(1.2 * np.exp(-x / 400)))
         v = float(rnd.normal())
         out.append((k, date(2020, 1, 1) + timedelta(days=2 * k), x, float(k % 10 == 0 and k % 3 == 0), float(k % 3 == 0), v if k % 7 else None, 0.5, v - 0.5 if k % 7 else None, home, away, 0 if home > away else 1 if home == away else 2))
-    return spark.createDataFrame(out, "match_id long, d date, " + ", ".join(f"{c} double" for c in COLUMNS) + ", home_goals int, away_goals int, target int").persist()
+    return spark.createDataFrame(out, "match_id long, d date, " + ", ".join(f"{c} double" for c in COLUMNS) + ", home_goals int, away_goals int, target int").withColumn("competition", F.when(F.col("is_uefa") == 1, F.when(F.col("match_id") % 2 == 0, "CL").otherwise("CLQ")).otherwise("L1")).persist()
 
 
 @pytest.fixture(scope="module")
 def fitted(rows):
-    parts = {"classifier": models.Boosted(COLUMNS, trees=4, depth=2), "logistic": models.Logistic(COLUMNS), "poisson": models.PoissonGoals(COLUMNS)}
+    parts = {"classifier": models.Boosted(COLUMNS, trees=2, depth=2, step=0.3, least=5.0), "logistic": models.Logistic(COLUMNS), "poisson": models.BoostedGoals(COLUMNS, trees=2, depth=2, step=0.3, least=5.0, rho=-0.03)}
     return bundle.fit(rows, parts, date(2021, 7, 1), ENSEMBLE, RATING, refit_all=True)
 
 
 def test_bundle_comes_back_as_it_was(spark, rows, fitted, tmp_path):
     made, measured = fitted
     assert {r["model"] for r in measured.collect()} == {"classifier", "logistic", "poisson", "ensemble", "class_frequencies"}
-    assert {r["subset"] for r in measured.collect()} == {"all", "domestic", "uefa", "knockout"}
+    assert {r["subset"] for r in measured.collect()} == {"all", "domestic", "uefa", "uefa_main", "knockout"}
     path = str(tmp_path / "model")
     made.save(path)
     back = bundle.load(spark, path)
@@ -125,15 +125,17 @@ def test_promotion_and_metrics_of_production(spark, tmp_path):
 
 
 def test_early_stopping_and_searches(rows):
-    stopped = models.Boosted(["elo_diff"], trees=12, depth=2).fit(rows.where("d < '2021-07-01'"), date(2021, 7, 1), date(2021, 1, 1))
-    assert all(1 <= n <= 12 for n in stopped.settings["rounds"])
+    stopped = models.Boosted(["elo_diff"], trees=6, depth=2, step=0.5, patience=2).fit(rows.where("d < '2021-07-01'"), date(2021, 7, 1), date(2021, 1, 1))
+    assert all(0 <= n <= 6 for n in stopped.settings["rounds"])
     assert len(models.grid_points(models.BOOSTED_GRID)) == 108 and models.BOOSTED_BASELINE in models.grid_points(models.BOOSTED_GRID)
     assert len(models.grid_points(models.LOGISTIC_GRID)) == 6
     spans = [{"fold": 1, "stop_from": date(2020, 10, 1), "val_start": date(2021, 1, 1), "val_end": date(2021, 7, 1)}]
     best, log = models.search_logistic(rows, spans, ["elo_diff"])
     assert len(log) == 6 and best in models.grid_points(models.LOGISTIC_GRID)
-    chosen, tried = models.search_boosted(rows, spans, ["elo_diff"], n=2, trees=3)
-    assert len(tried) == 2 and chosen["n_estimators"] >= 1
+    chosen, tried = models.search_boosted(rows, spans, ["elo_diff"], n=2, trees=2, step=0.5)
+    assert len(tried) == 2 and chosen["n_estimators"] >= 1 and {"penalty", "least", "depth"} <= chosen.keys()
+    chosen, tried = models.search_goals(rows, spans, ["elo_diff"], trees=2, step=0.5, least=5.0)
+    assert {t["depth"] for t in tried} == {3, 4} and chosen["depth"] in (3, 4)
 
 
 # -- ratings by plain code ------------------------------------------------------------

@@ -296,7 +296,7 @@ def ml_logreg(spark, d):
 def ml_boosted(spark, d):
     """With the last season before the cut held back to stop on."""
     rows = _training(spark, d)
-    scored = models.Boosted(COLUMNS).fit(rows.where(F.col("d") < F.lit(CUT)), CUT, date(1999, 7, 1))(rows.where(F.col("d") >= F.lit(CUT)))
+    scored = models.Boosted(COLUMNS, trees=60, step=0.1, patience=10).fit(rows.where(F.col("d") < F.lit(CUT)), CUT, date(1999, 7, 1))(rows.where(F.col("d") >= F.lit(CUT)))
     return _rounded(scored.agg(*metrics.evaluation("target", [f"classifier_{k}" for k in range(3)])), n=3)
 
 
@@ -304,6 +304,14 @@ def ml_poisson(spark, d):
     return _fit_and_score(spark, d, models.PoissonGoals(COLUMNS))
 
 
+def ml_boosted_goals(spark, d):
+    """Boosted rates of both sides' goals, stopped on the last season before the cut."""
+    rows = _training(spark, d)
+    goals = models.BoostedGoals(COLUMNS, trees=60, step=0.1, patience=10)
+    scored = goals.fit(rows.where(F.col("d") < F.lit(CUT)), CUT, date(1999, 7, 1))(rows.where(F.col("d") >= F.lit(CUT)))
+    return _rounded(scored.agg(*metrics.evaluation("target", [f"poisson_{k}" for k in range(3)])), n=3)
+
+
 def rho_and_temperature(spark, d):
     """The low-score correction and the temperature that fit best."""
     m = A.matches(spark, d).select("match_id", F.col("home_goals").cast("int").alias("hg"), F.col("away_goals").cast("int").alias("ag"))
@@ -353,6 +361,7 @@ QUERIES = {
     "ml_logreg": (ml_logreg, None),
     "ml_boosted": (ml_boosted, None),
     "ml_poisson": (ml_poisson, None),
+    "ml_boosted_goals": (ml_boosted_goals, None),
     "rho_and_temperature": (rho_and_temperature, None),
     "forward_selection_folds": (forward_selection_folds, None),
 }

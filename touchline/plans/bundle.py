@@ -79,7 +79,8 @@ def fit(rows: DataFrame, components: dict[str, object], test_from: date, ensembl
     """Fits on what lies before ``test_from`` and measures on the rest: the bundle, and metrics of each component and the ensemble by subset.
 
     With ``refit_all`` the bundle is then fitted again on all rows; the metrics are those of the first fit.
-    ``rows``: features, d, target, home_goals, away_goals. ``components``: name to what has ``fit``.
+    ``rows``: features, d, target, home_goals, away_goals; with ``competition``, main international games are a subset of
+    their own. ``components``: name to what has ``fit``.
     """
     columns = next(iter(components.values())).columns
     before, after = rows.where(F.col("d") < F.lit(test_from)), rows.where(F.col("d") >= F.lit(test_from))
@@ -98,8 +99,11 @@ def fit(rows: DataFrame, components: dict[str, object], test_from: date, ensembl
         scored = c(scored)
     mixed = scalar.combine({n: [f"{n}_{k}" for k in range(3)] for n in components}, ensemble["weights"], ensemble["temperature"])
     named = {**{n: [F.col(f"{n}_{k}") for k in range(3)] for n in components}, "ensemble": mixed, "class_frequencies": [F.lit(float(naive.get(k, 0.0))) for k in range(3)]}
-    long = scored.select("target", "is_uefa", "is_knockout", F.inline(F.array(*[F.struct(F.lit(n).alias("model"), *[p.alias(f"p{k}") for k, p in enumerate(ps)]) for n, ps in named.items()])))
+    told = [c for c in ("target", "is_uefa", "is_knockout", "competition") if c in rows.columns]
+    long = scored.select(*told, F.inline(F.array(*[F.struct(F.lit(n).alias("model"), *[p.alias(f"p{k}") for k, p in enumerate(ps)]) for n, ps in named.items()])))
     masks = {"all": F.lit(True), "domestic": F.col("is_uefa") == 0, "uefa": F.col("is_uefa") == 1, "knockout": F.col("is_knockout") == 1}
+    if "competition" in rows.columns:
+        masks["uefa_main"] = F.col("competition").isin(*params.uefa_main)
     measured = metrics.subsets(long, masks).groupBy("model", "subset").agg(*metrics.evaluation("target", ["p0", "p1", "p2"]))
     if refit_all:
         last = rows.agg(F.max("d").alias("d")).first()["d"]
