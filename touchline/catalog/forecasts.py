@@ -43,7 +43,7 @@ def poisson_score_matrix(spark, d):
 
 
 def dixon_coles_wdl(spark, d):
-    m = _forecasts(spark, d).withColumn("r", scores.regions(scores.matrix("lh", "la", RHO)))
+    m = _forecasts(spark, d).withColumn("r", scores.wdl("lh", "la", RHO))
     return m.select("match_id", *[_r(f"r.{n}", 9).alias(n) for n in ("home", "draw", "away")])
 
 
@@ -104,7 +104,7 @@ TEMPERATURE = _f("SELECT match_id, " + ", ".join(f"round({x}, 9) AS p{k}" for k,
 
 
 def _combined(df: DataFrame) -> DataFrame:
-    m = df.withColumn("_w", scores.regions(scores.matrix("lh", "la", RHO))).withColumns({f"c{k}": F.col(f"_w.{n}") for k, n in enumerate(("home", "draw", "away"))})
+    m = df.withColumn("_w", scores.wdl("lh", "la", RHO)).withColumns({f"c{k}": F.col(f"_w.{n}") for k, n in enumerate(("home", "draw", "away"))})
     final = scalar.combine({n: [f"{c}{k}" for k in range(3)] for n, c in (("classifier", "a"), ("logistic", "b"), ("poisson", "c"))}, DEFAULT.weights, T)
     return m.withColumns({f"p{k}": p for k, p in enumerate(final)})
 
@@ -252,7 +252,7 @@ def export_nested_json(spark, d):
     mapping = A.table(spark, d, "supplier").selectExpr("cast(s_nationkey AS string) AS competition", "s_name AS name", "s_suppkey AS key")
     f = export.fixtures(mapping, "2026-09-01")
     rated = f.withColumn("lambda_home", 0.5 + F.col("home_key") % 200 / 100.0).withColumn("lambda_away", 0.5 + F.col("away_key") * 7 % 200 / 100.0)
-    m = rated.withColumn("r", scores.regions(scores.matrix("lambda_home", "lambda_away", RHO))).withColumn("elo_missing", F.col("home_key") % 17 == 0)
+    m = rated.withColumn("r", scores.wdl("lambda_home", "lambda_away", RHO)).withColumn("elo_missing", F.col("home_key") % 17 == 0)
     return export.nested(m.withColumns({c: F.col(f"r.{n}") for c, n in zip(DEFAULT.class_labels, ("home", "draw", "away"))}))
 
 

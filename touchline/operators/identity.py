@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions.names import CUTOFF, normalise, prefix_match, similarity, substring_match
 from touchline.functions.scalar import compatible
+from touchline.session import checkpointed
 
 #: Tiers in the order in which they are tried.
 TIERS = ("normalized", "prefix", "substring", "fuzzy")
@@ -203,7 +204,12 @@ def resolve(queries: DataFrame, aliases: DataFrame, display: DataFrame, suggest:
     best = every.groupBy("query").agg(F.min_by(F.struct("key", "method", "n"), "step").alias("hit"))
     out = asked.select("query").join(best, "query", "left")
     out = out.select("query", F.when(F.col("hit.n") == 1, F.col("hit.key")).alias("key"), F.when(F.col("hit.n") == 1, F.col("hit.method")).when(F.col("hit.n") > 1, "ambiguous").otherwise("unresolved").alias("method"))
-    return out.join(suggestions(out.where("key is null").select("query"), display, suggest), "query", "left")
+    # read several times by what follows
+    out = checkpointed(out)
+    lost = out.where("key is null").select("query")
+    if not lost.limit(1).count():
+        return out.withColumn("suggestions", F.lit(None).cast("array<string>"))
+    return out.join(suggestions(lost, display, suggest), "query", "left")
 
 
 def suggestions(missing: DataFrame, display: DataFrame, most: int = 5) -> DataFrame:
@@ -222,7 +228,7 @@ def suggestions(missing: DataFrame, display: DataFrame, most: int = 5) -> DataFr
         found = left.where("_p <> ' '").join(right, "_p").drop("_p")
         return (found.where(compatible("_of", "country")) if by else found).select("query", *by, "key", "display").distinct()
 
-    close = met(asked, 2)
+    close = checkpointed(met(asked, 2))
     enough = close.groupBy("query", *by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
     short = asked.join(enough.select("query", *by), ["query", *by], "left_anti")
     first = Window.partitionBy(*[F.col("_of") for _ in by]).orderBy("display", "key") if by else None
