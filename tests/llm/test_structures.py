@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import kdtree, packing, queries, trie
+from touchline.llm import kdtree, mixing, packing, quality, queries, trie
 
 WORDS = queries.tokenizer_file("word_bpe_49k.json")
 
@@ -257,3 +257,42 @@ def test_registered_centroids_and_packing(spark, small):
     assert Counter(map(tuple, queries.queries()["op11_centroids"](spark, small).collect())) == clustered(rows, 16, 64, 3, "1:", 64.0)
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     checked_pieces(queries.queries()["op12_packing"](spark, small).collect(), texts)
+
+
+# -- the quality discriminant and wide counts -----------------------------------------
+
+
+def test_discriminant_against_plain_densities(spark):
+    """Scores of rows of statistics are those of two normal densities with shrunk covariances, put through the fitted curve."""
+    rng = np.random.default_rng(12)
+    d = len(quality.FEATURES)
+    mixers = [rng.normal(size=(d, d)) / 3, rng.normal(size=(d, d)) / 2]
+    x = [rng.normal(size=(n, d)) @ m + shift for n, m, shift in ((160, mixers[0], 0.0), (110, mixers[1], 0.4))]
+    rows = [(k, v.tolist(), z) for z in (0, 1) for k, v in enumerate(x[z], 1000 * z)]
+    df = spark.createDataFrame(rows, "doc_id long, stats array<double>, label int").repartition(5)
+    model = quality.fit(df)
+    n = [len(v) for v in x]
+    cov = [np.cov(v.T, bias=True) for v in x]
+    pooled = np.diag(np.maximum((n[0] * np.diag(cov[0]) + n[1] * np.diag(cov[1])) / sum(n), 1e-4))
+    every, densities = np.concatenate(x), []
+    for z in (0, 1):
+        w = min(1.0, quality.SHRINKAGE + d / (n[z] + d))
+        c = (1 - w) * cov[z] + w * pooled
+        away = every - x[z].mean(axis=0)
+        densities.append(np.log(n[z] / sum(n)) - 0.5 * (np.einsum("nd,nd->n", away, np.linalg.solve(c, away.T).T) + np.linalg.slogdet(c)[1]))
+    gap = np.clip(densities[1] - densities[0], -quality.SPAN, quality.SPAN)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    want = 1 / (1 + np.exp(-(model.slope * gap + model.offset)))
+    assert np.allclose([got[k] for k, _, _ in rows], want, atol=1e-9)
+    # the curve is where the likelihood of the binned gaps, pulled weakly to slope 1, is flat
+    edges = np.linspace(-quality.SPAN, quality.SPAN, quality.BINS + 1)
+    mid = (edges[1:] + edges[:-1]) / 2
+    ones, zeros = (np.histogram(gap[[r[2] == z for r in rows]], edges)[0] for z in (1, 0))
+    loss = lambda a, b: -(ones * -np.log1p(np.exp(-(a * mid + b))) + zeros * -np.log1p(np.exp(a * mid + b))).sum() + (a - 1) ** 2 / 2 + 0.005 * b * b
+    assert all(loss(model.slope, model.offset) <= loss(model.slope + i, model.offset + j) + 1e-12 for i in (-1e-3, 0, 1e-3) for j in (-1e-3, 0, 1e-3))
+
+
+def test_counts_beyond_32_bits():
+    block = {"runs": [mixing.pack(np.array([2]))], "context": [np.array([7], np.uint64).tobytes()], "classes": [mixing.pack(np.array([1]))], "codes": [mixing.pack(np.array([5, 9]))], "hot": [mixing.pack(np.array([0]))], "counts": [mixing.pack(np.array([3 << 30, 3 << 30]))], "chunk": [0]}
+    made = mixing.PairBlock(block)
+    assert made.count.tolist() == [3 << 30, 3 << 30] and made.nodes(0).tolist() == [6 << 30, 6 << 30]

@@ -564,7 +564,10 @@ class PairBlock:
         self.of = np.empty(len(order), np.int32)
         self.of[order] = np.cumsum(new) - 1
         self.hot = hot[order[new]]
-        self.count = np.bincount(self.of, np.concatenate([unpack(x) for x in row["counts"]]), int(new.sum())).astype(np.int32)  # of the pair in texts of the class
+        counts = np.concatenate([unpack(x) for x in row["counts"]])
+        # wide enough for the sum of all, which is the largest count that ``nodes`` makes
+        kind = np.int32 if counts.sum(dtype=np.int64) < 1 << 31 else np.int64
+        self.count = np.bincount(self.of, counts, int(new.sum())).astype(kind)  # of the pair in texts of the class
         key = key[new]
         self.cls = (key & 15).astype(np.int32)
         key >>= 4
@@ -572,7 +575,7 @@ class PairBlock:
         self.pair = np.cumsum(new, dtype=np.int32) - 1
         self.pair_key = key[new]
         self.pair_code = (self.pair_key & ((1 << LEVELS + TELLING) - 1)).astype(np.int32)
-        self.pair_count = np.bincount(self.pair, self.count, len(self.pair_key)).astype(np.int32)
+        self.pair_count = np.bincount(self.pair, self.count, len(self.pair_key)).astype(kind)
 
     def nodes(self, level: int) -> np.ndarray:
         """For each pair, the count of its context's pairs that share its first ``level`` bits."""
