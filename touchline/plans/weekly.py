@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 from datetime import date
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.functions import scalar
 from touchline.operators import metrics
 from touchline.params import DEFAULT, Params
-from touchline.sources import sinks
+from touchline.session import exists
+from touchline.sources import releases, sinks
 
 
 def live_performance(scored: DataFrame, since: date, least_uefa: int = 30) -> DataFrame:
@@ -80,11 +80,17 @@ def default_test_from(today: date) -> date:
 
 def production_metrics(spark: SparkSession, path: str) -> dict:
     """The metrics document of the model in production; empty where there is none."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         return {}
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def released_metrics(spark: SparkSession, root: str, name: str = "metrics.json") -> dict:
+    """The metrics document of the release in use (``sources.releases``); empty where there is none."""
+    place = releases.current(spark, root)
+    return production_metrics(spark, f"{place}/{name}") if place else {}
+
+
 def data_end(about: dict) -> date:
     """The day of the last match that a model was fitted on; older documents tell it by the range of the part it was fitted on."""
     if about.get("data_end"):
