@@ -8,12 +8,14 @@ cheaper tier left open.
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from touchline.functions.blocks import ratios
+
 # Tokens that say nothing about a club, and short forms.
 STOP_TOKENS = (
     "fc", "cf", "afc", "cfc", "sc", "ac", "as", "ss", "ssc", "sv", "vfb", "vfl", "tsg",
@@ -65,7 +67,19 @@ def substring_match(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 5) & (a.contains(b) | b.contains(a))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all characters (longest common blocks)."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def similarity_from(least: float):
+    """Similarity of two columns; NULL where a side is NULL or it is under ``least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[known] = ratios(a[known].tolist(), b[known].tolist(), least)
+        out[out < least] = np.nan
+        return pd.Series(pd.array(out, dtype="Float64")).mask(np.isnan(out))
+
+    return similar
+
+
+#: Twice the matched characters over all characters (longest common blocks).
+similarity = similarity_from(0.0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from touchline.functions.names import CUTOFF, normalise, prefix_match, similarity, substring_match
+from touchline.functions.names import CUTOFF, normalise, prefix_match, similarity, similarity_from, substring_match
 from touchline.functions.scalar import compatible
 from touchline.session import checkpointed
 
@@ -132,7 +132,10 @@ def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple |
 
 def fuzzy_match(pairs: DataFrame) -> DataFrame:
     """Names of which exactly one normal form is close, and that one is of one club."""
-    close = pairs.withColumn("ratio", similarity("pool_norm", "norm")).where(F.col("ratio") >= CUTOFF)
+    # lengths alone rule most pairs out, before any Python runs; the same division as the ratio's
+    a, b = F.length("pool_norm"), F.length("norm")
+    long_enough = F.lit(2.0) * F.least(a, b) / (a + b) >= CUTOFF
+    close = pairs.where(long_enough).withColumn("ratio", similarity_from(CUTOFF)("pool_norm", "norm")).where(F.col("ratio") >= CUTOFF)
     found = close.groupBy("country", "name").agg(F.count_distinct("pool_norm").alias("forms"), F.count_distinct("key").alias("n"), F.min("key").alias("key"))
     return found.where("forms = 1 and n = 1").select("country", "name", "key", F.lit("fuzzy").alias("method"))
 
