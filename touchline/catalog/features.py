@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,7 +11,8 @@ from touchline.functions import scalar
 from touchline.operators import checks, dedupe, metrics, player, rating, rolling, snapshot
 from touchline.operators.asof import Lookup, as_of
 from touchline.params import FEATURES, Params
-from touchline.plans import store
+from touchline.plans import ratings, store
+from touchline.session import checkpointed, shared_folder
 from touchline.sources import adapters as A
 
 GAP = A.GAP_DAYS
@@ -445,10 +447,22 @@ def _grid(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, rating.GRID)
 
 
+def _by_team(rated: DataFrame) -> DataFrame:
+    return rating.history(rated).select(F.col("team").cast("long").alias("team"), F.date_from_unix_date(F.col("day").cast("int")).alias("day"), _r("elo").alias("elo"))
+
+
 def elo_plain(spark, d):
     rows = rating.engine_rows(_clean(spark, d))
-    rated = rating.run(rows, _grid(spark, [(0, 10.0, 3.0, 0.0)]), PLAIN, burn_in=False)
-    return rating.history(rated).select(F.col("team").cast("long").alias("team"), F.date_from_unix_date(F.col("day").cast("int")).alias("day"), _r("elo").alias("elo"))
+    return _by_team(rating.run(rows, _grid(spark, [(0, 10.0, 3.0, 0.0)]), PLAIN, burn_in=False))
+
+
+def elo_incremental(spark, d):
+    """All ratings as a kept log has them after its third run: matches until 1998, until 2000, and the rest."""
+    rows, grid, root = checkpointed(rating.engine_rows(_clean(spark, d))), _grid(spark, [(0, 10.0, 3.0, 0.0)]), f"{shared_folder(spark)}/ratings-{uuid.uuid4().hex}"
+    for until in (date(1998, 1, 1), date(2000, 1, 1)):
+        ratings.update(rows.where(F.col("day") < (until - date(1970, 1, 1)).days), root, grid, PLAIN, burn_in=False)
+    ratings.update(rows, root, grid, PLAIN, burn_in=False)
+    return _by_team(ratings.rated(spark, root))
 
 
 ELO = A.with_views(
@@ -593,6 +607,7 @@ QUERIES = {
     "player_state": (player_state, _players_sql("SELECT club_id, tidx, d, " + ", ".join(f"round({m}, 5) AS {m}" for m in store.PLAYER_METRICS) + " FROM state")),
     "percentile_newcomer": (percentile_newcomer, NEWCOMER),
     "elo_plain": (elo_plain, ELO),
+    "elo_incremental": (elo_incremental, ELO),
     "elo_full": (elo_full, None),
     "elo_grid_objective": (elo_grid_objective, None),
     "elo_grid_argmin": (elo_grid_argmin, None),

@@ -32,11 +32,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a session on this machine alone gets a folder where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a session on this machine alone gets one where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
