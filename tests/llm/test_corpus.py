@@ -332,6 +332,20 @@ def test_dense_numbers_of_any_ids(spark, monkeypatch, ids):
     assert n == 900 and sorted(r["number"] for r in rows.select("number").collect()) == list(range(900))
 
 
+@pytest.mark.parametrize("most_buckets", [shards.MOST_BUCKETS, 1])
+def test_odd_rows_move_no_other_document(spark, most_buckets):
+    clean = spark.range(60_000).selectExpr("id * 3 AS doc_id", "concat('text ', id % 450) AS text")
+    numbers = lambda df: sorted((r["number"], r["doc_id"], r["text"]) for r in shards.numbered(df, most_buckets)[0].collect())
+    before = [(k, 3 * k, f"text {k % 450}") for k in range(60_000)]
+    assert numbers(clean) == before
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (None, None), (3000, "zzz"), (3000, "zzz"), (6000, "a"), (9000, before[3000][2])], "doc_id long, text string")
+    after = numbers(clean.unionByName(odd))
+    want = [row if row[0] != 2000 else (2000, 6000, "a") for row in before]
+    assert after[:60_000] == want
+    assert Counter(r[1:] for r in after[60_000:]) == Counter([(None, "a"), (None, "a"), (None, ""), (3000, "zzz"), (3000, "zzz"), (6000, before[2000][2]), (9000, before[3000][2])])
+    assert [r[0] for r in after] == list(range(60_007))
+
+
 def test_shards_of_a_large_vocabulary(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 65536\n")
     with pytest.raises(ValueError, match="16 bits"):

@@ -7,10 +7,13 @@ their shards, a partition each, sorted by slot; each shard's ids are laid end to
 rows of a fixed stride (the last row is filled with end ids), so a reader can
 seek to any row and go on from there.
 
-Dense sequence numbers need no pass over the texts where ids are dense and tell
-rows apart: a bitmap of the ids, 4 kB for 32 768 of them, is broadcast up to
-``most_buckets`` buckets (16 MB). Else numbers are counted by a shuffle: equal
-rows are counted first, then dealt over buckets by hash, so neither a repeated
+A sequence's number is the place of its id among all ids, in every case. Ids are
+ranked without a shuffle of texts where a bitmap of them, 4 kB for 32 768 ids, can
+be broadcast (up to ``most_buckets`` buckets, 16 MB); else by a range partitioning
+of the ids alone, which the rows are joined with, hot ids by broadcast. Of the rows
+that repeat an id the one of least text has the id's number; the others and rows
+without an id are numbered behind all ids, so they move no other document. Those
+are counted by kind first, then dealt over buckets by hash, so neither a repeated
 row nor a missing id gathers anywhere.
 
 Files are written under another name and moved into place, so a task that runs
@@ -35,14 +38,16 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from touchline.llm._arrow import partitions, shared_folder, written
+from touchline.llm._arrow import join_counted, partitions, shared_folder, written
 
 #: Ids in a row of a shard.
 STRIDE = 2048
+#: Text of a shard where their number is not given; ids take about half of it.
+SHARD_BYTES = 256 << 20
 ROUNDS = 6
 #: Buckets of 2**15 ids whose bitmaps are broadcast.
 MOST_BUCKETS = 1 << 12
-#: Rows of a bucket, about, and most buckets, where numbers are counted by a shuffle.
+#: Rows of a bucket, about, and most buckets, where rows behind all ids are numbered.
 BUCKET_ROWS, MOST_COUNTS = 1 << 14, 1 << 16
 #: The pattern that splits texts before merging, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,42 +105,82 @@ def _files(folder: str) -> tuple[pafs.FileSystem, str]:
 
 def numbered(docs: DataFrame, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, int]:
     """``number, doc_id, text`` with dense numbers, and how many rows there are."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bucket, bit = F.bitmap_bucket_number("doc_id"), F.bitmap_bit_position("doc_id")
     ids = rows.select("doc_id")
-    size = ids.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.approx_count_distinct(bucket).alias("buckets")).first()
-    n = size["n"]
-    if size["ids"] < n or size["buckets"] > 2 * most_buckets:
-        return _numbered_by_count(rows, n), n
-    found = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap")).orderBy("bucket").limit(most_buckets + 1).collect()  # 4 kB each
-    ones = [int(np.unpackbits(np.frombuffer(r["bitmap"], np.uint8)).sum()) for r in found]
-    if len(found) > most_buckets or sum(ones) != n:
-        return _numbered_by_count(rows, n), n
-    index = {r["bucket"]: (first, bytes(r["bitmap"])) for r, first in zip(found, np.cumsum([0, *ones]).tolist())}
-    shared = spark.sparkContext.broadcast(index)
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(bucket).alias("buckets")).first()
+
+    def bitmaps(of: DataFrame) -> dict[int, np.ndarray] | None:
+        """Bits of the ids by bucket; None where there are too many buckets."""
+        found = of.where("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap")).orderBy("bucket").limit(most_buckets + 1).collect()  # 4 kB each
+        return None if len(found) > most_buckets else {r["bucket"]: np.frombuffer(r["bitmap"], np.uint8) for r in found}
+
+    every = bitmaps(ids) if size["buckets"] <= 2 * most_buckets else None
+    if every is None:
+        placed, distinct = _ranked_by_range(rows)
+    else:
+        distinct = sum(int(np.bitwise_count(b).sum()) for b in every.values())
+        repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        placed = _ranked_by_bitmaps(rows, every, bitmaps(repeated) if distinct < size["n"] else {})
+    if distinct < size["n"]:
+        return _with_odd_rows(placed, distinct, size["n"] - distinct), size["n"]
+    return placed.select("number", "doc_id", "text"), size["n"]
+
+
+def _ranked_by_bitmaps(rows: DataFrame, every: dict[int, np.ndarray], repeated: dict[int, np.ndarray]) -> DataFrame:
+    """``number, doc_id, text, odd``: the id's rank, and whether other rows have the id or there is none."""
+    bases = np.cumsum([0, *(int(np.bitwise_count(b).sum()) for b in every.values())]).tolist()
+    shared = rows.sparkSession.sparkContext.broadcast({k: (first, bits.tobytes(), repeated[k].tobytes() if k in repeated else b"") for (k, bits), first in zip(every.items(), bases)})
+    ones = lambda bits: np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, bits = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            out = np.empty(len(at), np.int64)
-            for b in np.unique(at).tolist():
-                own = at == b
-                first, bitmap = shared.value[b]
-                place = np.cumsum(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) - 1
-                out[own] = first + place[bits[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(0), batch.column(1)], names=["number", "doc_id", "text"])
-
-    return rows.select("doc_id", "text", bucket.alias("bucket"), bit.alias("bit")).mapInArrow(run, "number long, doc_id long, text string"), n
-
+            known = np.asarray(batch.column(0).is_valid())
+            at, bits = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3))
+            out, odd = np.zeros(len(at), np.int64), ~known
+            for b in np.unique(at[known]).tolist():
+                own = known & (at == b)
+                first, bitmap, more = shared.value[b]
+                out[own] = first + (np.cumsum(ones(bitmap)) - 1)[bits[own]]
+                if more:
+                    odd[own] = ones(more)[bits[own]] == 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, mask=~known), batch.column(0), batch.column(1), pa.array(odd)], names=["number", "doc_id", "text", "odd"])
 
-def _numbered_by_count(rows: DataFrame, n: int) -> DataFrame:
-    """Numbers by bucket: equal rows are one with a count, a bucket begins where those before it end."""
+    bucket, bit = F.bitmap_bucket_number("doc_id"), F.bitmap_bit_position("doc_id")
+    return rows.select("doc_id", "text", bucket.alias("bucket"), bit.alias("bit")).mapInArrow(run, "number long, doc_id long, text string, odd boolean")
+
+
+def _ranked_by_range(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The same by ranges of the ids, and how many ids there are."""
+    spark = rows.sparkSession
+    copies = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # a partition's number and a row's place in it are the halves of the id that Spark gives; written, so they stay
+    ranges = written(copies.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id()), "id-ranks")
+    part = F.shiftright("at", 33)
+    counts = sorted((r["part"], r["count"]) for r in ranges.groupBy(part.alias("part")).count().collect())  # one for each partition
+    bases = spark.createDataFrame([(p, int(first)) for (p, _), first in zip(counts, np.cumsum([0] + [c for _, c in counts]))], "part long, base long")
+    ranks = ranges.join(F.broadcast(bases), part == F.col("part")).select("doc_id", "n", (F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"), (F.col("n") > 1).alias("odd"))
+    found = join_counted(rows.where("doc_id is not null"), ranks, ["doc_id"], F.col("text")).select("number", "doc_id", "text", "odd")
+    none = rows.where("doc_id is null").select(F.lit(None).cast("long").alias("number"), "doc_id", "text", F.lit(True).alias("odd"))
+    return found.unionByName(none), sum(c for _, c in counts)
+
+
+def _with_odd_rows(placed: DataFrame, distinct: int, more: int) -> DataFrame:
+    """Rows of ids of their own by rank, one row of each repeated id too; the others behind all ids."""
+    odd = written(placed.where("odd"), "odd-rows")
+    first = odd.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("number").alias("number"))
+    each = odd.select("doc_id", "text", F.lit(1).alias("copies")).unionByName(first.select("doc_id", "text", F.lit(-1).alias("copies")))
+    kinds = each.groupBy("doc_id", "text").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    columns = ["number", "doc_id", "text"]
+    return placed.where("not odd").select(*columns).unionByName(first.select(*columns)).unionByName(_numbered_by_count(kinds, distinct, more))
+
+
+def _numbered_by_count(kinds: DataFrame, base: int, n: int) -> DataFrame:
+    """Numbers from ``base`` on for n rows, given as kinds with their copies; a bucket begins where those before it end."""
     buckets = max(1, min(MOST_COUNTS, n // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket")
-    counts = sorted((r["bucket"], r["count"]) for r in rows.groupBy(bucket).count().collect())  # at most MOST_COUNTS
-    bases = rows.sparkSession.createDataFrame([(b, int(first)) for (b, _), first in zip(counts, np.cumsum([0] + [c for _, c in counts]))], "bucket long, base long")
-    kinds = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", bucket)
+    kinds = kinds.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    counts = sorted((r["bucket"], r["n"]) for r in kinds.groupBy("bucket").agg(F.sum("copies").alias("n")).collect())  # at most MOST_COUNTS
+    bases = kinds.sparkSession.createDataFrame([(b, base + int(first)) for (b, _), first in zip(counts, np.cumsum([0] + [c for _, c in counts]))], "bucket long, base long")
     before = Window.partitionBy("bucket").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = kinds.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(bases, "bucket")
     return placed.select(F.explode(F.sequence(F.col("base") + F.col("first"), F.col("base") + F.col("first") + F.col("copies") - 1)).alias("number"), "doc_id", "text")
@@ -145,10 +190,14 @@ INDEX = "shard int, slot long, doc_id long, start long, n_tokens long, path stri
 
 
 def materialise(docs: DataFrame, vocabulary: str, key: bytes, shards: int | None = None, stride: int = STRIDE, folder: str | None = None) -> DataFrame:
-    """Writes the shards and gives their index: each sequence's slot, shard, first id in the shard and length."""
+    """Writes the shards and gives their index: each sequence's slot, shard, first id in the shard and length.
+
+    Without ``shards`` there is one for each ``SHARD_BYTES`` of text, and no fewer than the session's shuffle partitions.
+    """
     spark = docs.sparkSession
     rows, n = numbered(docs)
-    shards = shards or partitions(spark)
+    if shards is None:
+        shards = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     folder = folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     size = max(1, -(-n // shards))
     permutation = Permutation(max(n, 1), key)
