@@ -7,10 +7,10 @@ from math import factorial
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from touchline.catalog.features import _clean, _r
+from touchline.catalog.features import _clean, _fixtures, _r, _store
 from touchline.functions import scalar
 from touchline.operators import metrics, models, scores
-from touchline.params import DEFAULT
+from touchline.params import DEFAULT, FEATURE_GROUPS
 from touchline.plans import export, weekly
 from touchline.sources import adapters as A
 
@@ -334,6 +334,15 @@ def forward_selection_folds(spark, d):
     return spark.createDataFrame([(r["round"], r["group"], round(r["objective"], 6), r["added"]) for r in log], "round int, group string, objective double, added boolean")
 
 
+def feature_group_selection(spark, d):
+    """The twelve groups of features, chosen by forward selection over four seasons, on the assembled features of all matches."""
+    m = _clean(spark, d)
+    classes = m.select("match_id", scalar.class_index(scalar.result("home_goals", "away_goals")).alias("target"))
+    features = _store(spark, d, m).compute(_fixtures(m)).join(classes, "match_id")
+    _, log = models.select_groups(features, models.folds(date(2001, 7, 1), 4), FEATURE_GROUPS)
+    return spark.createDataFrame([(r["round"], r["group"], round(r["objective"], 6), r["added"]) for r in log], "round int, group string, objective double, added boolean")
+
+
 QUERIES = {
     "poisson_score_matrix": (poisson_score_matrix, _f("SELECT match_id, i, j, round(p, 9) AS p FROM cells", cells=True)),
     "dixon_coles_wdl": (dixon_coles_wdl, _f("SELECT match_id, round(home, 9) AS home, round(draw, 9) AS draw, round(away, 9) AS away FROM r", cells=True, r=REGIONS)),
@@ -364,4 +373,5 @@ QUERIES = {
     "ml_boosted_goals": (ml_boosted_goals, None),
     "rho_and_temperature": (rho_and_temperature, None),
     "forward_selection_folds": (forward_selection_folds, None),
+    "feature_group_selection": (feature_group_selection, None),
 }
