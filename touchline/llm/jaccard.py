@@ -21,8 +21,8 @@ Nothing is ever exchanged row by row; columns travel as packed blocks:
 6.  Connected components over the edges, spread back over the classes.
 
 The bounds are exact: no pair that links is lost, and every overlap is counted
-in full. Shingles are told apart by 40 bits and their block, sets by 128 bits,
-rows in the product by 64 bits. Blocks are sized by the number of shingles.
+in full. Shingles are told apart by all 64 bits of their hash at every step, sets by
+128 bits, rows in the product by 64 bits. Blocks are sized by the number of shingles.
 
 Results by case: texts that are null or without words have an empty set and are
 their own component; short texts have one shingle; repeated rows each keep a
@@ -55,7 +55,6 @@ PIVOTS = 8
 #: Shingles that one block is meant for.
 BLOCK_SHINGLES = 3_000_000
 _U = np.uint64
-_LOW = _U((1 << 40) - 1)
 
 
 def _needed(n):
@@ -88,16 +87,16 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # -- packed blocks --------------------------------------------------------
 
-BLOCK = "block int, kind int, ids binary, sizes binary, counts binary, low binary, high binary"
-_NAMES = ["block", "kind", "ids", "sizes", "counts", "low", "high"]
+BLOCK = "block int, kind int, ids binary, sizes binary, counts binary, hashes binary"
+_NAMES = ["block", "kind", "ids", "sizes", "counts", "hashes"]
 
 
 def _packed(block: int, kind: int, ids, sizes, counts, hashes) -> tuple:
-    return block, kind, ids.astype(_U).tobytes(), sizes.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), (hashes & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((hashes >> _U(32)) & _U(0xFF)).astype(np.uint8).tobytes()
+    return block, kind, ids.astype(_U).tobytes(), sizes.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), hashes.astype(_U).tobytes()
 
 
 def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=_NAMES)
 
 
@@ -127,9 +126,9 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 
 
 def _unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes, counts and 40-bit hashes of several packed rows."""
+    """Ids, sizes, counts and hashes of several packed rows."""
     join = lambda at, kind: np.frombuffer(b"".join(r[at] for r in rows), kind)
-    return join(2, _U), join(3, np.uint32), join(4, np.uint32).astype(np.int64), join(5, np.uint32).astype(_U) | join(6, np.uint8).astype(_U) << _U(32)
+    return join(2, _U), join(3, np.uint32), join(4, np.uint32).astype(np.int64), join(5, _U)
 
 
 def _together(df: DataFrame, blocks: int) -> DataFrame:
@@ -153,25 +152,19 @@ def linkable_sets(docs: DataFrame, blocks: int, shingle: int = SHINGLE) -> DataF
             h = np.concatenate(sets)
             row = np.repeat(np.arange(len(sets)), sizes)
             column = ((h >> _U(40)) % _U(blocks)).astype(np.int64)
-            h &= _LOW
-            # 40 bits and the block name a shingle
-            key = h | column.astype(_U) << _U(40)
-            order = np.argsort(key)
-            same = np.zeros(len(key), bool)
-            equal = key[order][1:] == key[order][:-1]
+            order = np.argsort(h)
+            same = np.zeros(len(h), bool)
+            equal = h[order][1:] == h[order][:-1]
             same[1:] |= equal
             head = same.copy()
             same[:-1] |= equal
-            common = np.zeros(len(key), bool)
+            common = np.zeros(len(h), bool)
             common[order] = same
             first_common = order[same & ~head]
             rows = list(_split(column[~common], row[~common], h[~common], ids, sizes, _COLUMN))
             if common.any():
                 # held by several rows of this chunk: known to be shared, so they go to their rows' blocks at once ...
-                r, k = row[common], key[common]
-                to = (ids[r] % _U(blocks)).astype(np.int64)
-                by = np.lexsort((column[common], r, to))
-                rows += _row_blocks(to[by], r[by], column[common][by], k[by] & _LOW, ids, sizes)
+                rows += _row_blocks(row[common], h[common], ids, sizes)
                 # ... and once to the column's block, for the rows of other chunks
                 none = np.zeros(0, _U)
                 c = column[first_common]
@@ -196,17 +189,11 @@ def linkable_sets(docs: DataFrame, blocks: int, shingle: int = SHINGLE) -> DataF
         if sets:
             yield flush()
 
-    def _row_blocks(to, row, column, low, ids, sizes) -> list[tuple]:
-        """Entries on their way to their row's block; the column's block is sent along in front of each run of columns."""
-        out = []
-        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(to)]):
-            for kind, pack in ((_ROW, slice(a, b)),):
-                r = row[pack]
-                first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                _, _, i, s, n, lo, hi = _packed(0, kind, ids[r[first]], sizes[r[first]], np.diff(np.r_[first, b - a]), low[pack])
-                out.append((int(to[a]), _ROW, i, s, n, lo, hi + column[pack].astype(np.uint32).tobytes()))
-        return out
+    def _row_blocks(row, hashes, ids, sizes) -> list[tuple]:
+        """Entries on their way to their row's block."""
+        to = (ids[row] % _U(blocks)).astype(np.int64)
+        by = np.argsort(row, kind="stable")
+        return list(_split(to[by], row[by], hashes[by], ids, sizes, _ROW))
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _by_block(batches):
@@ -231,19 +218,12 @@ def linkable_sets(docs: DataFrame, blocks: int, shingle: int = SHINGLE) -> DataF
             shared[order] = np.repeat(several, np.diff(np.r_[first, len(h)]))
             entries = np.flatnonzero(shared)
             if len(entries):
-                r = owner[entries]
-                to = (ids[r] % _U(blocks)).astype(np.int64)
-                by = np.lexsort((r, to))
-                yield _frame(_row_blocks(to[by], r[by], np.full(len(by), block), h[entries][by], ids, sizes))
+                yield _frame(_row_blocks(owner[entries], h[entries], ids, sizes))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _by_block(batches):
-            bounds = [len(r[5]) // 4 for r in rows]
-            rows_high = [(*r[:6], r[6][:n]) for r, n in zip(rows, bounds)]
-            ids, sizes, counts, low = _unpacked(rows_high)
-            column = np.frombuffer(b"".join(r[6][n:] for r, n in zip(rows, bounds)), np.uint32).astype(_U)
+            ids, sizes, counts, key = _unpacked(rows)
             owner = np.repeat(np.arange(len(ids)), counts)
-            key = low | column << _U(40)
             by = np.lexsort((key, ids[owner]))
             who, key, size = ids[owner][by], key[by], sizes[owner][by]
             new = np.r_[True, (who[1:] != who[:-1]) | (key[1:] != key[:-1])]
@@ -369,31 +349,31 @@ def _prefix(chunk: int, i: int, n: int, shingles: np.ndarray, holders: np.ndarra
 def _edges_of(rows: list[tuple[int, int, np.ndarray, int, int]], cross: bool) -> Iterator[tuple[int, int]]:
     """Spanning edges of the pairs that link among rows (id, n, shingles, side, tied); with ``cross`` only pairs of both sides. Pairs of one ``tied`` are passed over."""
     n = np.array([r[1] for r in rows], np.int64)
-    side = np.array([r[3] for r in rows])
-    possible = np.triu(100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n), 1)
-    if cross:
-        possible &= side[:, None] != side[None, :]
-    tied = np.array([r[4] for r in rows], np.int64)
-    possible &= tied[:, None] != tied[None, :]
+    side, tied = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(rows)),) * 2
+    possible = 100 * np.minimum.outer(n[left], n[right]) >= PERCENT * np.maximum.outer(n[left], n[right])
+    possible &= tied[left][:, None] != tied[right][None, :]
+    if not cross:
+        possible = np.triu(possible, 1)
     if not possible.any():
         return
     h = np.concatenate([r[2] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
-    new = np.r_[True, h[1:] != h[:-1]]
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
     held = np.bincount(column)
     keep = held[column] > 1  # a column of one row adds to no overlap
-    column, row = (np.cumsum(np.r_[held > 1]) - 1)[column[keep]], row[keep]
-    overlap = np.zeros((len(rows), len(rows)), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    column, row = (np.cumsum(held > 1) - 1)[column[keep]], row[keep]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    overlap = np.zeros(possible.shape, np.float32)
+    for a in range(0, columns, COLUMNS):
         lo, hi = np.searchsorted(column, [a, a + COLUMNS])
-        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part = np.zeros((len(rows), min(COLUMNS, columns - a)), np.float32)
         part[row[lo:hi], column[lo:hi] - a] = 1
-        overlap += part @ part.T
+        overlap += part[left] @ part[right].T if cross else part @ part.T
     common = overlap.astype(np.int64)
-    union = n[:, None] + n[None, :] - common
+    union = n[left][:, None] + n[right][None, :] - common
     root = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -403,6 +383,7 @@ def _edges_of(rows: list[tuple[int, int, np.ndarray, int, int]], cross: bool) ->
         return x
 
     for a, b in np.argwhere(possible & (100 * common >= PERCENT * union)).tolist():
+        a, b = int(left[a]), int(right[b])
         ra, rb = find(a), find(b)
         if ra != rb:
             root[rb] = ra
