@@ -191,3 +191,19 @@ def test_live_rows(spark):
     m = spark.createDataFrame([(1, date(2026, 1, 2), 1, False, 1, 0), (2, date(2026, 1, 2), 2, False, 1, 0), (3, date(2026, 1, 2), 2, True, 0, 0), (4, date(2026, 1, 1), 1, False, 1, 0), (5, date(2026, 1, 3), 1, False, 0, 2)], "match_id long, d date, tier int, is_uefa boolean, home_goals int, away_goals int")
     p = spark.createDataFrame([(k, 0.5, 0.3, 0.2, k == 5) for k in range(1, 6)], "match_id long, home_win double, draw double, away_win double, elo_missing boolean")
     assert sorted((r["match_id"], r["y"], r["p0"]) for r in weekly.live_rows(m, p, date(2026, 1, 1)).collect()) == [(1, 0, 0.5), (3, 1, 0.5)]
+
+
+def test_report_sections_and_history():
+    from touchline.plans import weekly
+
+    bare = {"started": "2026-01-05", "status": "done"}
+    text = weekly.report_text(bare)
+    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Data", "## Model", "## Live performance", "## Retraining", "## Forecast table"]
+    assert "- no match played" in text and "- reasons: none" in text and weekly.history_rows(bare)[1] is None
+    live = {"since": "2025-12-01", "until": "2026-01-04", "n": 40, "log_loss": 1.01, "n_market": 30, "model_on_market": 1.0, "market_log_loss": 0.99, "gap": 0.01, "n_uefa": 31, "uefa_log_loss": 0.98}
+    full = bare | {"data": {"games": "fetched"}, "live": live, "reasons": ["old"], "result": "promoted", "checks": [("baseline", True), ("slack", False)], "warnings": ["a", "b"], "error": "boom"}
+    text = weekly.report_text(full)
+    assert "- games: fetched" in text and "gap +0.0100" in text and "still noisy" in text and "31 matches, log loss 0.9800" in text
+    assert "  - [x] baseline\n  - [ ] slack" in text and text.endswith("## Error\n\n```text\nboom\n```\n")
+    run, row = weekly.history_rows(full)
+    assert run["warnings"] == "a | b" and run["live_gap"] == 0.01 and row["run"] == "2026-01-05" and row["n"] == 40

@@ -105,8 +105,51 @@ def promote(staging: str, production: str, archive: str, stamp: str, names: list
     return old, sinks.archive(staging, names, production)
 
 
-def report_text(rows: dict[str, object]) -> str:
-    return "# Weekly report\n\n" + "\n".join(f"- {k}: {v}" for k, v in rows.items()) + "\n"
+def report_text(report: dict, params: Params = DEFAULT) -> str:
+    """The periodic run as Markdown, a section for each part of it; those without anything to tell say so.
+
+    ``report``: started, status and, where there, data (dict), last_match_by_source, trained_at, data_end, live (a row of
+    ``live_performance`` as a dict, with since and until), reasons, result, checks (name and whether passed), export,
+    warnings, error.
+    """
+    bullets = lambda rows: [f"- {r}" for r in rows]
+    sections = {
+        "Data": bullets([*(f"{k}: {v}" for k, v in (report.get("data") or {}).items()), f"last match by source: {report.get('last_match_by_source', '-')}"]),
+        "Model": bullets([f"trained at: {report.get('trained_at', '-')}", f"last match of its data: {report.get('data_end', '-')}"]),
+        "Live performance": bullets(_live_lines(report.get("live") or {}, params)),
+        "Retraining": bullets([f"reasons: {', '.join(report.get('reasons') or []) or 'none'}", f"result: {report.get('result', 'not done')}"])
+        + [f"  - [{'x' if ok else ' '}] {name}" for name, ok in report.get("checks") or []],
+        "Forecast table": bullets([report.get("export", "-")]),
+    }
+    if report.get("warnings"):
+        sections["Warnings"] = bullets(report["warnings"])
+    if report.get("error"):
+        sections["Error"] = ["```text", str(report["error"]), "```"]
+    head = f"# Weekly report, {report['started']}\n\n**Status:** {report['status']}\n"
+    return head + "".join(f"\n## {title}\n\n" + "\n".join(lines) + "\n" for title, lines in sections.items())
+
+
+def _live_lines(live: dict, params: Params) -> list[str]:
+    if not live.get("n"):
+        return ["no match played since the model was trained"]
+    found = [f"{live.get('since', '-')} to {live.get('until', '-')}: {live['n']} matches, log loss {live['log_loss']:.4f}"]
+    if live.get("uefa_log_loss") is not None:
+        found.append(f"international: {live['n_uefa']} matches, log loss {live['uefa_log_loss']:.4f}")
+    if live.get("gap") is not None:
+        found.append(f"against closing odds: {live['n_market']} matches, model {live['model_on_market']:.4f}, market {live['market_log_loss']:.4f}, gap {live['gap']:+.4f}")
+    if live["n"] < params.retrain_min_matches:
+        found.append(f"fewer than {params.retrain_min_matches} matches: still noisy")
+    return found
+
+
+def history_rows(report: dict) -> tuple[dict, dict | None]:
+    """What a run adds to the log of runs, and to that of live performance (None before the first match)."""
+    live = report.get("live") or {}
+    run = {
+        "started": report["started"], "status": report["status"], "live_n": int(live.get("n") or 0), "live_log_loss": live.get("log_loss"), "live_gap": live.get("gap"),
+        "result": report.get("result", "not done"), "warnings": " | ".join(report.get("warnings") or []),
+    }
+    return run, {"run": report["started"], **live} if live.get("n") else None
 
 
 def training_rows(features: DataFrame, start: date = DEFAULT.elo_burn_in_end) -> DataFrame:
