@@ -178,6 +178,15 @@ def test_league_files_by_name(spark, tmp_path):
     got = {r["home_team"]: r for r in found.collect()}
     assert set(got) == {"A", "C"} and len(unknown) == 1
     assert (got["A"]["tier"], got["A"]["country"], got["A"]["odds_type"], got["C"]["country"]) == (2, "ENG", "PSC", "AUT")
+    # files of one header are one scan; another header, or another encoding, is one more
+    for name, text in (("1516_E1.csv", rows.replace("2014", "2015").replace("A,B", "E,F")), ("1516_D1.csv", rows.replace("A,B", "G,H").replace("AvgCH", "B365H"))):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "1617_F1.csv").write_bytes(rows.replace("A,B", "\u00c4,B").encode("latin-1"))
+    named = [str(tmp_path / f"{n}.csv") for n in ("1415_E1", "1516_E1", "1516_D1", "1617_F1", "extra_AUT")]
+    found, unknown = conform.league_files(spark, named)
+    kept = {r["home_team"]: (r["competition"], r["country"], r["tier"]) for r in found.collect()}
+    assert not unknown and kept == {"A": ("league:E1", "ENG", 2), "E": ("league:E1", "ENG", 2), "G": ("league:D1", conform.MAIN_LEAGUES["D1"], 1), "\u00c4": ("league:F1", conform.MAIN_LEAGUES["F1"], 1), "C": ("league:AUT", "AUT", 1)}
+    assert len({tuple(sorted(h)) for h in readers.file_heads(spark, named).values()}) == 4
     # a file is told by its whole path, not by the end of its name
     both = readers.csv_any_encoding(spark, [str(tmp_path / "1415_E1.csv"), str(tmp_path / "x1415_E1.csv")])
     assert {r["HomeTeam"] for r in both.collect()} == {"A", "\u00c4"}

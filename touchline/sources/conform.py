@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from touchline.functions.scalar import first_valid_odds, mixed_date, not_in, number, result, round_class, season_start
+from touchline.functions.scalar import first_valid_odds, lookup, mixed_date, not_in, number, result, round_class, season_start
 from touchline.schemas import APPEARANCE, MATCH, PLAYER, VALUATION
 from touchline.sources.leagues import COUNTRY_CODES, COVERED, EXTRA_LEAGUES, MAIN_LEAGUES, ODDS_PREFIXES, UEFA_MAIN, UEFA_QUALIFYING, tier as tier_of
-from touchline.sources.readers import csv_any_encoding, with_columns
+from touchline.sources.readers import by_file_name, csv, file_heads, with_columns
 
 UEFA = UEFA_MAIN + UEFA_QUALIFYING
 _STATS = {"fouls": "F", "yellow": "Y", "red": "R", "shots": "S", "sot": "ST"}
@@ -32,13 +32,22 @@ def _finished(df: DataFrame, first_season: int) -> DataFrame:
     return with_columns(df.where(F.col("season_start") >= first_season), MATCH)
 
 
-def league(df: DataFrame, competition: str, country: str | None = None, tier: int | None = None, first_season: int = 2008) -> DataFrame:
-    """A season file of a main league; country and tier are the league's unless given."""
-    country, tier = country or MAIN_LEAGUES[competition], tier or tier_of(competition)
+def _named(competition: str | Column, values: dict) -> tuple[Column, Column]:
+    """A competition, given by name or as a column of names, and its value in a table."""
+    if isinstance(competition, Column):
+        return competition, lookup(competition, values)
+    return F.lit(competition), F.lit(values.get(competition))
+
+
+def league(df: DataFrame, competition: str | Column, country: str | None = None, tier: int | None = None, first_season: int = 2008) -> DataFrame:
+    """Season files of main leagues; country and tier are the league's unless given."""
+    name, of = _named(competition, MAIN_LEAGUES)
+    level = _named(competition, {c: tier_of(c) for c in MAIN_LEAGUES})[1]
+    of, level = F.lit(country) if country else of, F.lit(tier) if tier else level
     o = _odds(df)
     stats = {f"{side}_{n}": number(_text(df, f"{letter}{c}")) for n, c in _STATS.items() for side, letter in (("home", "H"), ("away", "A"))}
     rows = df.select(
-        mixed_date(_text(df, "Date")).alias("date"), F.lit("results").alias("source"), F.lit(f"league:{competition}").alias("competition"), F.lit(tier).alias("tier"), F.lit(False).alias("is_uefa"), F.lit(country).alias("country"),
+        mixed_date(_text(df, "Date")).alias("date"), F.lit("results").alias("source"), F.concat(F.lit("league:"), name).alias("competition"), level.alias("tier"), F.lit(False).alias("is_uefa"), of.alias("country"),
         F.trim(_text(df, "HomeTeam")).alias("home_team"), F.trim(_text(df, "AwayTeam")).alias("away_team"), number(_text(df, "FTHG")).cast("int").alias("home_goals"), number(_text(df, "FTAG")).cast("int").alias("away_goals"),
         F.lit(0).alias("is_knockout"), F.lit(0).alias("neutral"), _text(df, "Referee").alias("referee"), *[c.alias(n) for n, c in stats.items()],
         *[o[n].alias(f"odds_{n}") for n in ("home", "draw", "away")], o["type"].alias("odds_type"),
@@ -46,11 +55,13 @@ def league(df: DataFrame, competition: str, country: str | None = None, tier: in
     return _finished(rows, first_season)
 
 
-def extra_league(df: DataFrame, competition: str, country: str, first_season: int = 2008) -> DataFrame:
-    """An all-seasons file of another league: fewer columns, no match statistics."""
+def extra_league(df: DataFrame, competition: str | Column, country: str | None = None, first_season: int = 2008) -> DataFrame:
+    """All-seasons files of other leagues: fewer columns, no match statistics; the country is the league's unless given."""
+    name, of = _named(competition, EXTRA_LEAGUES)
+    of = F.lit(country) if country else of
     o = _odds(df)
     rows = df.select(
-        mixed_date(_text(df, "Date")).alias("date"), F.lit("results").alias("source"), F.lit(f"league:{competition}").alias("competition"), F.lit(1).alias("tier"), F.lit(False).alias("is_uefa"), F.lit(country).alias("country"),
+        mixed_date(_text(df, "Date")).alias("date"), F.lit("results").alias("source"), F.concat(F.lit("league:"), name).alias("competition"), F.lit(1).alias("tier"), F.lit(False).alias("is_uefa"), of.alias("country"),
         F.trim(_text(df, "Home")).alias("home_team"), F.trim(_text(df, "Away")).alias("away_team"), number(_text(df, "HG")).cast("int").alias("home_goals"), number(_text(df, "AG")).cast("int").alias("away_goals"),
         F.lit(0).alias("is_knockout"), F.lit(0).alias("neutral"), *[o[n].alias(f"odds_{n}") for n in ("home", "draw", "away")], o["type"].alias("odds_type"),
     )
@@ -58,19 +69,27 @@ def extra_league(df: DataFrame, competition: str, country: str, first_season: in
 
 
 def league_files(spark: SparkSession, paths: list[str], first_season: int = 2008) -> tuple[DataFrame | None, list[str]]:
-    """All season files (``1415_E0.csv``) and all-seasons files (``extra_AUT.csv``) as matches, and the paths whose names are neither, with a warning."""
-    parts, unknown = [], []
+    """All season files (``1415_E0.csv``) and all-seasons files (``extra_AUT.csv``) as matches, and the paths whose names are neither, with a warning.
+
+    One job reads the files' heads; files of one kind, header and encoding are one scan, told apart by their names. An empty file adds nothing.
+    """
+    shapes, unknown = {r"\d{4}_(\w+)\.csv": (league, MAIN_LEAGUES), r"extra_(\w+)\.csv": (extra_league, EXTRA_LEAGUES)}, []
+    kinds = {}
     for path in paths:
         name = path.rsplit("/", 1)[-1]
-        season, extra = re.fullmatch(r"\d{4}_(\w+)\.csv", name), re.fullmatch(r"extra_(\w+)\.csv", name)
-        if season and season[1] in MAIN_LEAGUES:
-            parts.append(league(csv_any_encoding(spark, [path]), season[1], first_season=first_season))
-        elif extra and extra[1] in EXTRA_LEAGUES:
-            parts.append(extra_league(csv_any_encoding(spark, [path]), extra[1], EXTRA_LEAGUES[extra[1]], first_season))
+        found = next((s for s, (_, known) in shapes.items() if (m := re.fullmatch(s, name)) and m[1] in known), None)
+        if found:
+            kinds[path] = found
         else:
             unknown.append(path)
             warnings.warn(f"no league's file: {path}", stacklevel=2)
-    return (union(parts) if parts else None), unknown
+    if not kinds:
+        return None, unknown
+    alike: dict[tuple, list[str]] = {}
+    for path, head in file_heads(spark, list(kinds)).items():
+        alike.setdefault((kinds[path], *head), []).append(path)
+    parts = [shapes[shape][0](by_file_name(csv(spark, same, encoding), shape), F.col("g1"), first_season=first_season) for (shape, _, encoding), same in alike.items()]
+    return union(parts), unknown
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -83,8 +102,6 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def platform_games(games: DataFrame, competitions: DataFrame, country_codes: dict[str, str] = COUNTRY_CODES, first_season: int = 2008, uefa=UEFA) -> DataFrame:
     """Games of the player platform: first divisions of known countries, and international competitions."""
-    from touchline.functions.scalar import lookup
-
     domestic = competitions.where("type = 'domestic_league'").select("competition_id", lookup("country_name", country_codes).alias("country")).where("country is not null")
     kept = games.join(domestic, "competition_id", "left").where(F.col("country").isNotNull() | F.col("competition_id").isin(*uefa))
     is_uefa = F.col("competition_id").isin(*uefa)

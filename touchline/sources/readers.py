@@ -120,13 +120,23 @@ def csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", com
     return df.toDF(*[c.removeprefix(BOM) for c in df.columns])
 
 
+def _place(path: str) -> str:
+    """A path without its scheme."""
+    return "/" + re.sub(r"^[a-z][a-z0-9+.-]*:", "", unquote(str(path))).lstrip("/")
+
+
+def file_heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str]]:
+    """First line and encoding (UTF-8, else Latin-1) of each file, by one job; the driver gets a row for each file."""
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("head"), F.is_valid_utf8("value").alias("good"))
+    found = {_place(r["path"]): (r["head"].strip(), "utf-8" if r["good"] else "ISO-8859-1") for r in rows.collect()}
+    return {p: found[_place(p)] for p in paths if _place(p) in found}
+
+
 def csv_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files in UTF-8, and those that are not as Latin-1."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), (~F.is_valid_utf8("value")).alias("bad"))
-    bad = {r["path"] for r in lines.where("bad").select("path").distinct().collect()}  # at most as many as files
-    place = lambda p: "/" + re.sub(r"^[a-z][a-z0-9+.-]*:", "", unquote(str(p))).lstrip("/")
-    wrong = {place(b) for b in bad}
-    clean = [p for p in paths if place(p) not in wrong]
+    wrong = {_place(r["path"]) for r in lines.where("bad").select("path").distinct().collect()}  # at most as many as files
+    clean = [p for p in paths if _place(p) not in wrong]
     rest = [p for p in paths if p not in clean]
     parts = [csv(spark, p, e) for p, e in ((clean, "utf-8"), (rest, "ISO-8859-1")) if p]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
