@@ -186,7 +186,12 @@ def test_league_files_by_name(spark, tmp_path):
     found, unknown = conform.league_files(spark, named)
     kept = {r["home_team"]: (r["competition"], r["country"], r["tier"]) for r in found.collect()}
     assert not unknown and kept == {"A": ("league:E1", "ENG", 2), "E": ("league:E1", "ENG", 2), "G": ("league:D1", conform.MAIN_LEAGUES["D1"], 1), "\u00c4": ("league:F1", conform.MAIN_LEAGUES["F1"], 1), "C": ("league:AUT", "AUT", 1)}
-    assert len({tuple(sorted(h)) for h in readers.file_heads(spark, named).values()}) == 4
+    heads = readers.file_heads(spark, named)
+    assert len(heads) == 5 and heads[named[0]] == heads[named[1]] != heads[named[2]] and heads[named[3]][1] == "ISO-8859-1"
+    # an empty file adds nothing, alone or beside others
+    (tmp_path / "1718_E0.csv").write_text("")
+    empty = str(tmp_path / "1718_E0.csv")
+    assert conform.league_files(spark, [empty]) == (None, []) and conform.league_files(spark, [empty, named[0]])[0].count() == 1
     # a file is told by its whole path, not by the end of its name
     both = readers.csv_any_encoding(spark, [str(tmp_path / "1415_E1.csv"), str(tmp_path / "x1415_E1.csv")])
     assert {r["HomeTeam"] for r in both.collect()} == {"A", "\u00c4"}

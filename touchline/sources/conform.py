@@ -83,13 +83,11 @@ def league_files(spark: SparkSession, paths: list[str], first_season: int = 2008
         else:
             unknown.append(path)
             warnings.warn(f"no league's file: {path}", stacklevel=2)
-    if not kinds:
-        return None, unknown
     alike: dict[tuple, list[str]] = {}
-    for path, head in file_heads(spark, list(kinds)).items():
+    for path, head in (file_heads(spark, list(kinds)) if kinds else {}).items():
         alike.setdefault((kinds[path], *head), []).append(path)
     parts = [shapes[shape][0](by_file_name(csv(spark, same, encoding), shape), F.col("g1"), first_season=first_season) for (shape, _, encoding), same in alike.items()]
-    return union(parts), unknown
+    return (union(parts) if parts else None), unknown
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
