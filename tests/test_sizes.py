@@ -22,3 +22,36 @@ def test_matches_are_those_of_the_sql(spark, tables, name):
     columns = sorted(df.columns)
     want = c.sql(catalog.oracle_sql()[name]).select(*[f'"{x}"' for x in columns]).fetchall()
     assert want and sorted(map(str, df.select(*columns).collect())) == sorted("Row(" + ", ".join(f"{k}={v!r}" for k, v in zip(columns, r)) + ")" for r in want)
+
+
+def _exchanges(df) -> list[str]:
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    with redirect_stdout(StringIO()) as out:
+        df.explain()
+    return [line for line in out.getvalue().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_last_games_are_ranked_with_one_shuffle(spark, small):
+    assert len(_exchanges(catalog.queries()["last5_minutes_rank"](spark, small))) == 1
+
+
+def test_sums_and_values_of_players_are_found_with_one_shuffle_of_each_table(spark, small):
+    # appearances by club and by player, what the line-ups ask
+    assert len(_exchanges(catalog.queries()["trailing_range_sum"](spark, small))) == 3
+
+
+def test_medians_by_counted_bins(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from touchline.operators import snapshot
+
+    rnd = random.Random(5)
+    rows = [(k % 7, rnd.choice([None, rnd.uniform(-2, 2), 1.5])) for k in range(400)] + [(8, 0.25), (9, None), (10, 1.0), (10, 5.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect() if r["m"] is not None}
+    got = {r["k"]: r["median"] for r in snapshot.medians(df, "k", "v", 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
