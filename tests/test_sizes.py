@@ -55,3 +55,36 @@ def test_medians_by_counted_bins(spark):
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect() if r["m"] is not None}
     got = {r["k"]: r["median"] for r in snapshot.medians(df, "k", "v", 3).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_newcomers_look_through_their_pool_once_a_day():
+    import numpy as np
+
+    from touchline.operators.rating import _Newcomers
+
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 5, 40):
+        for percentile in (0, 10, 25, 50, 97.5, 100):
+            pool = np.round(rnd.normal(1500, 90, (n, 3)), 0)
+            today = _Newcomers(pool.copy(), percentile)
+            for _ in range(60):
+                want = np.percentile(pool, percentile, axis=0)
+                assert np.allclose(today.enter(), want, rtol=0, atol=1e-9)
+                pool = np.vstack([pool, want])
+
+
+def test_a_day_of_many_newcomers(monkeypatch):
+    import numpy as np
+
+    from touchline.operators import rating
+    from touchline.params import Params
+
+    looked = []
+    whole = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *k, **more: looked.append(len(a)) or whole(a, *k, **more))
+    engine = rating.Engine(np.array([[10.0, 3.0, 0.0]] * 2), Params())
+    for day in range(2):
+        names = np.array([f"{day}-{k}" for k in range(400)], object)
+        none = np.array([None] * 200, object)
+        engine.day({"home_key": names[:200], "away_key": names[200:], "home_country": none, "away_country": none, "score": np.ones(200), "goal_mult": np.ones(200), "is_uefa": np.zeros(200, bool), "neutral": np.zeros(200), "market": np.full(200, np.nan)})
+    assert len(looked) == 2
