@@ -88,3 +88,16 @@ def test_a_day_of_many_newcomers(monkeypatch):
         none = np.array([None] * 200, object)
         engine.day({"home_key": names[:200], "away_key": names[200:], "home_country": none, "away_country": none, "score": np.ones(200), "goal_mult": np.ones(200), "is_uefa": np.zeros(200, bool), "neutral": np.zeros(200), "market": np.full(200, np.nan)})
     assert len(looked) == 2
+
+
+def test_clubs_of_one_form_are_one_candidate(spark):
+    from touchline.operators import identity
+
+    names = spark.createDataFrame([("1", "Ajax"), ("1", "Gent"), ("2", "Gent")], "country string, name string")
+    pool = spark.createDataFrame([(f"tm:{k}", "Ajax", "1") for k in range(40)] + [("tm:90", "KV Gent", None), ("tm:91", "Gent", "2")], "key string, display string, country string")
+    assert identity._candidates(names, identity._clubs(names, pool, None)).where("name = 'Ajax'").count() == 1
+    got = {(r["country"], r["name"]): (r["key"], r["method"]) for r in identity.tiered_match(names, pool).collect()}
+    assert got == {("1", "Ajax"): (None, "ambiguous_normalized"), ("1", "Gent"): ("tm:90", "normalized"), ("2", "Gent"): (None, "ambiguous_normalized")}
+    taken = spark.createDataFrame([("2", "tm:90")] + [("1", f"tm:{k}") for k in range(1, 40)], "country string, key string")
+    got = {(r["country"], r["name"]): r["key"] for r in identity.tiered_match(names, pool, taken=taken).collect()}
+    assert got == {("1", "Ajax"): "tm:0", ("1", "Gent"): "tm:90", ("2", "Gent"): "tm:91"}

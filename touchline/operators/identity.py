@@ -88,19 +88,33 @@ def _close_pieces(norm: Column) -> Column:
     return F.array_distinct(F.concat(F.array(norm), three, two))
 
 
-def _pairs(names: DataFrame, pool: DataFrame, reference_countries: tuple | None, taken: DataFrame | None = None, close: bool = False) -> DataFrame:
-    """Candidates: a club of the same country, or of an unknown one where the name's country is no reference country.
+def _clubs(names: DataFrame, pool: DataFrame, reference_countries: tuple | None, taken: DataFrame | None = None) -> DataFrame:
+    """``key, pool_norm, country``: clubs of a country, or of an unknown one where names of that country may use them.
 
-    Clubs of unknown country stand under one key that only the names that may use
-    them carry. Clubs in ``taken`` (country, key) are no candidates there.
+    Clubs in ``taken`` (country, key) are no candidates there.
     """
     unknown = "?"
     may = F.lit(True) if reference_countries is None else ~F.col("country").isin(*reference_countries)
-    keyed = names.select("country", "name", normalise("name").alias("norm")).where("norm <> ''").withColumn("_c", F.explode(F.when(may, F.array("country", F.lit(unknown))).otherwise(F.array("country"))))
-    clubs = pool.select("key", normalise("display").alias("pool_norm"), F.coalesce("country", F.lit(unknown)).alias("_c")).where("pool_norm <> ''")
+    countries = names.select("country").distinct().withColumn("_c", F.explode(F.when(may, F.array("country", F.lit(unknown))).otherwise(F.array("country"))))
+    clubs = pool.select("key", normalise("display").alias("pool_norm"), F.coalesce("country", F.lit(unknown)).alias("_c")).where("pool_norm <> ''").join(countries, "_c").drop("_c")
+    return clubs if taken is None else clubs.join(taken.select("country", "key").distinct(), ["country", "key"], "left_anti")
+
+
+def _candidates(names: DataFrame, clubs: DataFrame, close: bool = False) -> DataFrame:
+    """Names and the forms of clubs they share a piece with, with the least (``key``) and the greatest (``most``) key of each form.
+
+    The two keys differ where several clubs answer, which is all that the tiers ask; so pairs grow with the different forms alone.
+    """
+    forms = clubs.groupBy("country", "pool_norm").agg(F.min("key").alias("key"), F.max("key").alias("most"))
+    keyed = names.select("country", "name", normalise("name").alias("norm")).where("norm <> ''")
     mine, theirs = (_close_pieces(F.col("norm")), _close_pieces(F.col("pool_norm"))) if close else (_pieces(F.col("norm"), True), _pieces(F.col("pool_norm"), False))
-    met = keyed.withColumn("_p", F.explode(mine)).join(clubs.withColumn("_p", F.explode(theirs)), ["_c", "_p"]).select("country", "name", "norm", "key", "pool_norm").distinct()
-    return met if taken is None else met.join(taken.select("country", "key").distinct(), ["country", "key"], "left_anti")
+    return keyed.withColumn("_p", F.explode(mine)).join(forms.withColumn("_p", F.explode(theirs)), ["country", "_p"]).select("country", "name", "norm", "pool_norm", "key", "most").distinct()
+
+
+def _pairs(names: DataFrame, pool: DataFrame, reference_countries: tuple | None, taken: DataFrame | None = None, close: bool = False) -> DataFrame:
+    """The candidates with every club of their form."""
+    clubs = _clubs(names, pool, reference_countries, taken)
+    return _candidates(names, clubs, close).drop("key", "most").join(clubs, ["country", "pool_norm"])
 
 
 def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple | None = None, fuzzy: bool = True, taken: DataFrame | None = None) -> DataFrame:
@@ -110,23 +124,25 @@ def tiered_match(names: DataFrame, pool: DataFrame, reference_countries: tuple |
     all of them are empty, similarity (of the best two normal forms, one may pass).
     ``taken``: country, key of clubs that are no candidates in that country.
     """
-    pairs = _pairs(names, pool, reference_countries, taken)
+    clubs = _clubs(names, pool, reference_countries, taken)
+    pairs = _candidates(names, clubs)
     tests = {"normalized": F.col("norm") == F.col("pool_norm"), "prefix": prefix_match(F.col("norm"), F.col("pool_norm")), "substring": substring_match(F.col("norm"), F.col("pool_norm"))}
     tier = F.array_min(F.array(*[F.when(t, k) for k, t in enumerate(tests.values())]))
     # each test counts on its own: a prefix hit may also be among the substring hits of a later tier
     counts = pairs.groupBy("country", "name").agg(
         F.min(tier).alias("tier"),
-        *[F.count_distinct(F.when(t, F.col("key"))).alias(f"n{k}") for k, t in enumerate(tests.values())],
         *[F.min(F.when(t, F.col("key"))).alias(f"key{k}") for k, t in enumerate(tests.values())],
+        *[F.max(F.when(t, F.col("most"))).alias(f"other{k}") for k, t in enumerate(tests.values())],
     )
     at = lambda what: F.array(*[F.col(f"{what}{k}") for k in range(3)])
     label = F.get(F.array(*[F.lit(x) for x in TIERS[:3]]), F.col("tier"))
+    one = F.get(at("key"), F.col("tier")) == F.get(at("other"), F.col("tier"))
     decided = counts.where("tier is not null").select(
-        "country", "name", F.when(F.get(at("n"), F.col("tier")) == 1, F.get(at("key"), F.col("tier"))).alias("key"), F.when(F.get(at("n"), F.col("tier")) == 1, label).otherwise(F.concat(F.lit("ambiguous_"), label)).alias("method")
+        "country", "name", F.when(one, F.get(at("key"), F.col("tier"))).alias("key"), F.when(one, label).otherwise(F.concat(F.lit("ambiguous_"), label)).alias("method")
     )
     if fuzzy:
         still_open = names.select("country", "name").join(counts.where("tier is not null").select("country", "name"), ["country", "name"], "left_anti")
-        decided = decided.unionByName(fuzzy_match(_pairs(still_open, pool, reference_countries, taken, close=True)))
+        decided = decided.unionByName(fuzzy_match(_candidates(still_open, clubs, close=True)))
     return names.select("country", "name").join(decided, ["country", "name"], "left").select("country", "name", "key", F.coalesce("method", F.lit("unresolved")).alias("method"))
 
 
@@ -136,8 +152,8 @@ def fuzzy_match(pairs: DataFrame) -> DataFrame:
     a, b = F.length("pool_norm"), F.length("norm")
     long_enough = F.lit(2.0) * F.least(a, b) / (a + b) >= CUTOFF
     close = pairs.where(long_enough).withColumn("ratio", similarity_from(CUTOFF)("pool_norm", "norm")).where(F.col("ratio") >= CUTOFF)
-    found = close.groupBy("country", "name").agg(F.count_distinct("pool_norm").alias("forms"), F.count_distinct("key").alias("n"), F.min("key").alias("key"))
-    return found.where("forms = 1 and n = 1").select("country", "name", "key", F.lit("fuzzy").alias("method"))
+    found = close.groupBy("country", "name").agg(F.count_distinct("pool_norm").alias("forms"), F.max("most").alias("other"), F.min("key").alias("key"))
+    return found.where("forms = 1 and key = other").select("country", "name", "key", F.lit("fuzzy").alias("method"))
 
 
 def settle_conflicts(matched: DataFrame) -> DataFrame:
