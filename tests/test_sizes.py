@@ -101,3 +101,24 @@ def test_clubs_of_one_form_are_one_candidate(spark):
     taken = spark.createDataFrame([("2", "tm:90")] + [("1", f"tm:{k}") for k in range(1, 40)], "country string, key string")
     got = {(r["country"], r["name"]): r["key"] for r in identity.tiered_match(names, pool, taken=taken).collect()}
     assert got == {("1", "Ajax"): "tm:0", ("1", "Gent"): "tm:90", ("2", "Gent"): "tm:91"}
+
+
+def test_pairs_of_teams_are_not_shuffled(spark, small):
+    for name in ("fixture_cross_stages", "export_nested_json"):
+        assert len(_exchanges(catalog.queries()[name](spark, small))) == 1
+
+
+def test_documents_by_home_have_the_entries_of_the_whole(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from touchline.plans import export
+
+    mapping = spark.createDataFrame([(c, f"t{k}", k) for c in "xy" for k in range(4)], "competition string, name string, key int")
+    f = export.fixtures(mapping, "2026-09-01", parts=3)
+    assert sorted(f.drop("d").collect()) == sorted(export.fixtures(mapping, "2026-09-01").drop("d").collect()) and f.count() == 72
+    p = f.withColumns({"home_win": F.col("home_key") / 10, "draw": F.lit(0.3), "away_win": F.col("away_key") / 10, "lambda_home": F.lit(1.0), "lambda_away": F.lit(2.0), "elo_missing": F.col("home_key") == 2})
+    whole = {r["competition"]: json.loads(r["document"]) for r in export.nested(p).collect()}
+    parts = export.nested(p, whole=False).collect()
+    assert len(parts) == 6 and all(json.loads(r["document"]) == {r["home"]: whole[r["competition"]][r["home"]]} for r in parts)
