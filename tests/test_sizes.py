@@ -122,3 +122,58 @@ def test_documents_by_home_have_the_entries_of_the_whole(spark):
     whole = {r["competition"]: json.loads(r["document"]) for r in export.nested(p).collect()}
     parts = export.nested(p, whole=False).collect()
     assert len(parts) == 6 and all(json.loads(r["document"]) == {r["home"]: whole[r["competition"]][r["home"]]} for r in parts)
+
+
+def test_a_store_deals_appearances_once_by_player_and_once_by_club(spark, small):
+    from touchline.catalog import features
+
+    built = features._store(spark, small, features._clean_in_proportion(spark, small))
+    # what is grouped by player and something else stays where its player is
+    assert not [x for x in _exchanges(built.tables["players"]) if "player_id" in x and "ENSURE_REQUIREMENTS" in x]
+
+
+def test_days_of_the_burn_in_are_not_held():
+    import tracemalloc
+    from datetime import date
+
+    import numpy as np
+
+    from touchline.operators import rating
+    from touchline.params import Params
+
+    n, many = 300, 2000
+    none = np.array([None] * many, object)
+
+    def days():
+        for day in range(n):
+            keys = np.array([f"{k}" for k in range(many)], object)
+            yield {"match_id": np.arange(many), "day": np.full(many, day), "home_key": keys, "away_key": np.roll(keys, 1), "home_country": none, "away_country": none, "score": np.ones(many), "goal_mult": np.ones(many), "is_uefa": np.zeros(many, bool), "neutral": np.zeros(many), "market": np.full(many, np.nan)}
+
+    params = Params(elo_burn_in_end=date(1970, 9, 1), elo_burn_in_passes=1)
+    tracemalloc.start()
+    try:
+        seen = sum(len(day["day"]) for day, _ in rating._fold(rating.Engine(np.array([[10.0, 3.0, 0.0]]), params), days(), params, True))
+        assert seen == n * many and tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_days_of_teams_are_dealt_before_they_are_made_distinct(spark):
+    from touchline.operators import rating
+
+    rated = spark.createDataFrame([(0, 1, 1, "a", "b", 1.0, 1.0, 2.0, 0.0), (0, 2, 1, "a", "c", 1.0, 1.0, 2.0, 0.5)], rating.RATED)
+    plan = rating.history(rated)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("HashAggregate") < plan.find("Exchange") and rating.history(rated).count() == 3
+
+
+def test_shared_hessian_is_that_of_the_mean_probabilities():
+    import numpy as np
+
+    from touchline.operators import batched
+
+    rnd = np.random.default_rng(4)
+    x, y, b = rnd.normal(size=(50, 4)), rnd.integers(0, 3, 50), rnd.normal(size=(1, 3, 4))
+    v = batched._sums(x, y, b)
+    p = batched._probabilities(x, b)[:, 0]
+    want = np.array([[x.T @ (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]) for j in range(3)] for i in range(3)]).transpose(0, 2, 1, 3)
+    assert np.allclose(batched._hessian(v[2 + 12 :].reshape(3, 4, 4)), want) and np.allclose(v[2:14].reshape(3, 4), (p - np.eye(3)[y]).T @ x)
