@@ -177,3 +177,21 @@ def test_shared_hessian_is_that_of_the_mean_probabilities():
     p = batched._probabilities(x, b)[:, 0]
     want = np.array([[x.T @ (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]) for j in range(3)] for i in range(3)]).transpose(0, 2, 1, 3)
     assert np.allclose(batched._hessian(v[2 + 12 :].reshape(3, 4, 4)), want) and np.allclose(v[2:14].reshape(3, 4), (p - np.eye(3)[y]).T @ x)
+
+
+def test_rows_that_are_fitted_are_written_once(spark, small, monkeypatch):
+    from touchline.catalog import forecasts
+    from touchline.operators import models
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, *_, **__):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(models, "out_of_fold", seen)
+    monkeypatch.setattr(models.Logistic, "fit", lambda self, df, *_: seen(df))
+    for name in ("forward_selection_folds", "ml_logreg"):
+        with pytest.raises(Seen) as plan:
+            catalog.queries()[name](spark, small)
+        assert "Scan ExistingRDD" in str(plan.value) and "Join" not in str(plan.value)
