@@ -195,3 +195,19 @@ def test_rows_that_are_fitted_are_written_once(spark, small, monkeypatch):
         with pytest.raises(Seen) as plan:
             catalog.queries()[name](spark, small)
         assert "Scan ExistingRDD" in str(plan.value) and "Join" not in str(plan.value)
+
+
+def test_cells_of_scores_are_made_in_generated_code_from_dealt_matches(spark, small):
+    from touchline.operators import scores
+
+    for name in ("consistent_matrix", "poisson_score_matrix"):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "Filter (" not in plan and "REPARTITION_BY_NUM" in plan
+    rows = [(1, 1.3, 0.9, 0.5, 0.3, 0.2), (2, 40.0, 0.2, 0.0, 0.0, 1.0), (3, 0.0, 0.0, 0.1, 0.1, 0.8), (4, 6.0, 7.0, 0.2, 0.5, 0.3)]
+    df = spark.createDataFrame(rows, "match_id int, lh double, la double, a0 double, a1 double, a2 double")
+    for rho in (-0.03, 0.3):
+        m = scores.matrix("lh", "la", rho)
+        for final, whole in ((None, m), (["a0", "a1", "a2"], scores.consistent(m, ["a0", "a1", "a2"]))):
+            want = {(r["match_id"], r["i"], r["j"]): r["p"] for r in scores.cells(df.select("match_id", whole.alias("m")), "m", "match_id").collect()}
+            got = {(r["match_id"], r["i"], r["j"]): r["p"] for r in scores.score_cells(df, "lh", "la", rho, "match_id", final=final).collect()}
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 1e-9 * max(1.0, want[x]) for x in want)
