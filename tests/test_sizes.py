@@ -211,3 +211,30 @@ def test_cells_of_scores_are_made_in_generated_code_from_dealt_matches(spark, sm
             want = {(r["match_id"], r["i"], r["j"]): r["p"] for r in scores.cells(df.select("match_id", whole.alias("m")), "m", "match_id").collect()}
             got = {(r["match_id"], r["i"], r["j"]): r["p"] for r in scores.score_cells(df, "lh", "la", rho, "match_id", final=final).collect()}
             assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 1e-9 * max(1.0, want[x]) for x in want)
+
+
+def test_clubs_of_one_spelling_are_suggested_by_their_first_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from touchline.operators import identity
+
+    pool = spark.createDataFrame([(f"tm:{k:03}", "Ajax", None if k % 2 else "1") for k in range(300)] + [("tm:x", "Ajex", "1"), ("tm:y", "Gent", None)], "key string, display string, country string")
+    asked = spark.createDataFrame([("Ajxa", "1"), ("Gint", "2")], "query string, country string")
+    compared, plain = [], identity.similarity
+
+    def similar(a, b):
+        compared.append(1)
+        return plain(a, b)
+
+    monkeypatch.setattr(identity, "similarity", similar)
+    plans = []
+    whole = identity.checkpointed
+    monkeypatch.setattr(identity, "checkpointed", lambda df: plans.append(whole(df)) or plans[-1])
+    got = {r["query"]: r["suggestions"] for r in identity.suggestions(asked.select("query"), pool.drop("country")).collect()}
+    assert got["Ajxa"] == [f"Ajax (tm:{k:03})" for k in range(5)] and max(p.count() for p in plans) <= 24
+    plans.clear()
+    got = {r["query"]: r["suggestions"] for r in identity.suggestions(asked, pool).collect()}
+    assert got["Ajxa"] == [f"Ajax (tm:{k:03})" for k in range(5)] and got["Gint"][0] == "Gent (tm:y)" and max(p.count() for p in plans) <= 24
+    asked = spark.createDataFrame([("Ajax",), ("Gent",)], "query string")
+    found = {r["query"]: (r["key"], r["method"]) for r in identity.resolve(asked, pool.select("key", F.col("display").alias("alias")), pool.select("key", "display")).collect()}
+    assert found == {"Ajax": (None, "ambiguous"), "Gent": ("tm:y", "exact")}

@@ -213,8 +213,10 @@ def resolve(queries: DataFrame, aliases: DataFrame, display: DataFrame, suggest:
     names = aliases.select("key", F.lower(F.trim("alias")).alias("low"), normalise("alias").alias("norm"))
     steps = [by_key]
     for step, (column, method) in enumerate((("low", "exact"), ("norm", "normalized")), 1):
-        hits = asked.join(names.select("key", column).distinct(), column).groupBy("query").agg(F.min("key").alias("key"), F.count_distinct("key").alias("n"))
-        steps.append(hits.select("query", "key", F.lit(method).alias("method"), F.lit(step).alias("step"), F.col("n").cast("int").alias("n")))
+        # whether one key answers or several is all that is asked, so a spelling goes on with its least and greatest key
+        spelled = names.groupBy(column).agg(F.min("key").alias("key"), F.max("key").alias("most"))
+        hits = asked.join(spelled, column).groupBy("query").agg(F.min("key").alias("key"), F.max("most").alias("most"))
+        steps.append(hits.select("query", "key", F.lit(method).alias("method"), F.lit(step).alias("step"), F.when(F.col("key") == F.col("most"), 1).otherwise(2).alias("n")))
     matched = tiered_match(asked.select(F.lit("*").alias("country"), F.col("query").alias("name")), display.withColumn("country", F.lit("*")))
     steps.append(matched.where("key is not null").select(F.col("name").alias("query"), "key", "method", F.lit(3).alias("step"), F.lit(1).alias("n")))
     every = steps[0]
@@ -240,6 +242,9 @@ def suggestions(missing: DataFrame, display: DataFrame, most: int = 5) -> DataFr
     by = [c for c in ("country",) if c in missing.columns]
     asked = missing.select("query", *by).distinct()
     shown = display.select("key", "display", *[F.col(c).alias("_of") for c in by]).distinct()
+    # names of one spelling are equally similar and then go by key: no more than the first ``most`` keys can be told
+    same = Window.partitionBy("display", *[F.col("_of") for _ in by]).orderBy("key")
+    shown = checkpointed(shown.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most).drop("_n"))
 
     def met(ask: DataFrame, n: int) -> DataFrame:
         pieces = lambda c: F.explode(F.array_distinct(_grams(F.concat(F.lit(" "), F.lower(c)), n))).alias("_p")
