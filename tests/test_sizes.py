@@ -238,3 +238,18 @@ def test_clubs_of_one_spelling_are_suggested_by_their_first_keys(spark, monkeypa
     asked = spark.createDataFrame([("Ajax",), ("Gent",)], "query string")
     found = {r["query"]: (r["key"], r["method"]) for r in identity.resolve(asked, pool.select("key", F.col("display").alias("alias")), pool.select("key", "display")).collect()}
     assert found == {"Ajax": (None, "ambiguous"), "Gent": ("tm:y", "exact")}
+
+
+def test_cooccurrence_counts_before_names_meet_clubs(spark):
+    from touchline.operators import identity
+
+    # 40 equal matches of one name and club on one day meet 1600 times, the others once or twice
+    one = [("1", 1, 1, 0, "a", "b", 7, 8)] * 40 + [("1", 2, 0, 0, "a", "c", 7, 9), ("1", 3, 0, 0, "c", "a", 9, 7), ("2", 1, 1, 0, "a", None, None, 8)] * 2
+    left = spark.createDataFrame([x[:6] for x in one], "country string, d int, home_goals int, away_goals int, home_team string, away_team string")
+    right = spark.createDataFrame([x[:4] + x[6:] for x in one], "country string, d int, home_goals int, away_goals int, home_id long, away_id long")
+    want = [("1", "a", 7, 1608), ("1", "b", 8, 1600), ("1", "c", 9, 8), ("2", None, 8, 4)]
+    for parts in (None, 3):
+        found = identity.cooccurrence(left, right, parts=parts)
+        assert sorted(map(tuple, found.where("club_id is not null").collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.find("inline") < plan.rfind("REPARTITION_BY_NUM") and "name_n" in plan

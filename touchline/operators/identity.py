@@ -18,15 +18,27 @@ from touchline.session import checkpointed
 TIERS = ("normalized", "prefix", "substring", "fuzzy")
 
 
-def cooccurrence(left: DataFrame, right: DataFrame, least: int = 3, dominance: int = 3) -> DataFrame:
+def cooccurrence(left: DataFrame, right: DataFrame, least: int = 3, dominance: int = 3, parts: int | None = None) -> DataFrame:
     """``country, name, club_id, n``: names and clubs whose matches share country, day and score often, and far oftener than any other club's.
 
     ``left``: country, d, home_goals, away_goals, home_team, away_team. ``right``: the same with home_id, away_id.
+    A name and a club meet as often as the product of their matches of one country, day, score and side, so both are
+    counted there before they meet. Pairs are summed where they arise, which suits few names. Many names have hardly a
+    pair twice: with ``parts`` a name is dealt into so many partitions with the clubs it meets, and its pairs are made there.
     """
-    keys = ["country", "d", "home_goals", "away_goals"]
-    joined = left.join(right, keys)
-    sides = F.array(F.struct(F.col("home_team").alias("name"), F.col("home_id").alias("club_id")), F.struct(F.col("away_team").alias("name"), F.col("away_id").alias("club_id")))
-    counts = joined.select("country", F.inline(sides)).groupBy("country", "name", "club_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["country", "d", "home_goals", "away_goals", "side"]
+
+    def counted(matches: DataFrame, what: str, of: str) -> DataFrame:
+        sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_{of}").alias(what)) for s in ("home", "away")])
+        return matches.select(*keys[:-1], F.inline(sides)).groupBy(*keys, what).agg(F.count(F.lit(1)).alias(f"{what}_n"))
+
+    names, clubs = counted(left, "name", "team"), counted(right, "club_id", "id")
+    if parts is None:
+        pairs = names.join(clubs, keys)
+    else:
+        met = clubs.groupBy(*keys).agg(F.collect_list(F.struct("club_id", "club_id_n")).alias("met"))
+        pairs = names.join(met, keys).select("country", "name", "name_n", "met").repartition(parts, "country", "name").select("country", "name", "name_n", F.inline_outer("met"))
+    counts = pairs.groupBy("country", "name", "club_id").agg(F.sum(F.col("name_n") * F.col("club_id_n")).alias("n"))
     w = Window.partitionBy("country", "name").orderBy(F.desc("n"), "club_id")
     ranked = counts.withColumn("rank", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("n").over(w), F.lit(0)))
     return ranked.where((F.col("rank") == 1) & (F.col("n") >= least) & (F.col("n") >= dominance * F.col("second"))).select("country", "name", "club_id", "n")
@@ -56,6 +68,8 @@ def alias_keys(names: DataFrame, aliases: DataFrame, display: DataFrame) -> Data
     unique = display.groupBy(F.lower("display").alias("low")).agg(F.min("key").alias("found"), F.count_distinct("key").alias("n")).where("n = 1")
     is_key = F.col("target").startswith("tm:") | F.col("target").startswith("fd:")
     targeted = aliases.join(unique, F.lower("target") == F.col("low"), "left").withColumn("key", F.when(is_key, F.col("target")).otherwise(F.col("found"))).where("key is not null")
+    # the last row of each alias and country is all that can win
+    targeted = targeted.groupBy("alias", "country").agg(F.max_by("key", "row").alias("key"), F.max("row").alias("row"))
     hit = names.alias("n").join(targeted.alias("a"), (F.col("n.name") == F.col("a.alias")) & (F.col("a.country").isNull() | (F.col("a.country") == F.col("n.country"))))
     return hit.groupBy("n.country", "n.name").agg(F.max_by("a.key", "a.row").alias("key"))
 
@@ -176,8 +190,10 @@ def team_keys(names: DataFrame, co: DataFrame, aliases: DataFrame, pool: DataFra
     """``country, name, key, method`` of every name: alias, else co-occurrence, else a tiered match among the clubs that no name of the country has taken by either."""
     found = co.select("country", "name", F.concat(F.lit("tm:"), F.col("club_id").cast("string")).alias("key"), F.lit("cooccurrence").alias("method"))
     aliased = alias_keys(names, aliases, pool).withColumn("method", F.lit("alias"))
-    first = aliased.unionByName(found.join(aliased, ["country", "name"], "left_anti"))
-    rest = names.select("country", "name").join(first, ["country", "name"], "left_anti")
+    aliased = checkpointed(aliased)
+    # both are read several times by what follows
+    first = checkpointed(aliased.unionByName(found.join(aliased, ["country", "name"], "left_anti")))
+    rest = checkpointed(names.select("country", "name").join(first, ["country", "name"], "left_anti"))
     return first.unionByName(settle_conflicts(tiered_match(rest, pool, reference_countries, taken=first)))
 
 
