@@ -253,3 +253,15 @@ def test_cooccurrence_counts_before_names_meet_clubs(spark):
         assert sorted(map(tuple, found.where("club_id is not null").collect()), key=str) == sorted(want, key=str)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.find("inline") < plan.rfind("REPARTITION_BY_NUM") and "name_n" in plan
+
+
+def test_home_teams_meet_an_away_team_together(spark):
+    from touchline.plans import export
+
+    mapping = spark.createDataFrame([(c, f"t{k:03}", k) for c in "xy" for k in range(150)], "competition string, name string, key int")
+    f = export.fixtures(mapping, "2026-09-01", parts=2).select("competition", "home", "away", "stage")
+    parts = f.rdd.mapPartitions(lambda rows: [[tuple(r) for r in rows]]).collect()
+    rows = [r for own in parts for r in own]
+    assert len(rows) == len(set(rows)) == 2 * 3 * 150 * 149
+    # the away team changes once for each block of home teams, and not with each row
+    assert sum(a[2] != b[2] for own in parts for a, b in zip(own, own[1:])) < len(rows) / 100
