@@ -265,3 +265,33 @@ def test_home_teams_meet_an_away_team_together(spark):
     assert len(rows) == len(set(rows)) == 2 * 3 * 150 * 149
     # the away team changes once for each block of home teams, and not with each row
     assert sum(a[2] != b[2] for own in parts for a, b in zip(own, own[1:])) < len(rows) / 100
+
+
+def test_documents_are_spelled_once_for_each_two_values(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from touchline.plans import export
+
+    names = ['a"b', "c\\d", "[e]", "é", *[f"t{k:02}" for k in range(60)]]
+    rows = [(c, n, None if k % 17 == 3 else 0.5 + k % 3, None if k % 13 == 5 else 0.25 * (k % 4)) for c in "xy" for k, n in enumerate(names)] + [("z", "alone", 1.0, 1.0)]
+    teams = spark.createDataFrame(rows, "competition string, name string, home double, away double")
+    asked = []
+
+    def predict(df):
+        asked.append(df)
+        return df.withColumns({"lambda_home": F.col("home"), "lambda_away": F.col("away"), "home_win": F.col("home") / 7, "draw": F.col("away") / 9, "away_win": F.lit(0.1)})
+
+    got = {(r["competition"], r["home"]): r["document"] for r in export.documents(teams, predict, 3).collect()}
+    # two competitions, at most 3 by 4 values of at most 2 blocks of home teams
+    assert asked[0].count() <= 2 * 3 * 4 * 2
+    home, away = teams.select("competition", F.col("name").alias("home"), F.col("home").alias("h")), teams.select("competition", F.col("name").alias("away"), F.col("away").alias("a"))
+    pairs = home.join(away, "competition").where("home != away and h is not null and a is not null").withColumn("name", F.col("home"))
+    p = export.staged(predict(pairs.select("competition", "name", F.col("away").alias("other"), F.col("h").alias("home"), F.col("a").alias("away"))), "2026-09-01")
+    p = p.select("competition", F.col("name").alias("home"), F.col("other").alias("away"), "stage", "home_win", "draw", "away_win", "lambda_home", "lambda_away", F.lit(False).alias("elo_missing"))
+    want = {(r["competition"], r["home"]): json.loads(r["document"]) for r in export.nested(p, whole=False).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == want and len(want) == 2 * 60
+    assert all(list(json.loads(v)[k[1]]) == sorted(json.loads(v)[k[1]]) for k, v in got.items())
+    with pytest.raises(Exception, match="a name twice in z"):
+        export.documents(teams.unionByName(teams.where("name = 'alone'")), predict, 3).collect()
