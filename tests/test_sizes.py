@@ -295,3 +295,20 @@ def test_documents_are_spelled_once_for_each_two_values(spark):
     assert all(list(json.loads(v)[k[1]]) == sorted(json.loads(v)[k[1]]) for k, v in got.items())
     with pytest.raises(Exception, match="a name twice in z"):
         export.documents(teams.unionByName(teams.where("name = 'alone'")), predict, 3).collect()
+
+
+def test_rows_outside_the_sample_are_left_out_before_they_are_shuffled(spark, small):
+    from pyspark.sql import functions as F
+
+    from touchline.catalog import features
+    from touchline.operators import checks, snapshot
+
+    a, v = features._apps(spark, small), features.A.valuations(spark, small)
+    index = snapshot.value_index(a, v, features._reference(spark, small), features.PARAMS).localCheckpoint()
+    sampled = a.select("club_id", F.date_add("d", 9).alias("d")).distinct().orderBy("club_id", "d").limit(20).localCheckpoint()
+    slow = checks.brute_force_state(a, v, features.A.players(spark, small), index, sampled, features.PARAMS)
+    plan = slow._jdf.queryExecution().executedPlan().toString()
+    scans = [k for k in range(len(plan)) if plan.startswith("FileScan", k)]
+    assert len(scans) == plan.count("LeftSemi") == 3
+    assert all(plan.rfind("LeftSemi", 0, k) > plan.rfind("Exchange hashpartitioning", 0, k) for k in scans)
+    assert slow.count() == 20

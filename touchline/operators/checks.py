@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from touchline.functions.scalar import log10_or_null, month_start
 from touchline.operators import rolling
 from touchline.params import DEFAULT, FEATURES, Params
+from touchline.session import checkpointed
 
 
 class SchemaMismatch(RuntimeError):
@@ -65,33 +66,37 @@ def rating_consistency(rated: DataFrame, looked_up: DataFrame) -> DataFrame:
 def brute_force_state(appearances: DataFrame, valuations: DataFrame, players: DataFrame, index: DataFrame, sampled: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """``club_id, d`` and the eleven metrics of sampled club days, from all rows before each, by range joins: nothing of the fast path is used.
 
-    ``sampled``: club_id, d; a few hundred rows. ``appearances`` has ``uefa``.
+    ``sampled``: club_id, d; a few hundred rows. ``appearances`` has ``uefa``. Rows of other clubs and players are left out
+    where they are read, so what is shuffled and joined grows with the sample and not with the tables.
     """
     at = ["club_id", "at"]
-    past = appearances.join(sampled.select("club_id", F.col("d").alias("at")), "club_id").where("d < at")
+    of = lambda rows, some, key: rows.join(F.broadcast(some.select(key).distinct()), key, "left_semi")
+    mine = checkpointed(of(appearances, sampled, "club_id"))
+    past = mine.join(F.broadcast(sampled.select("club_id", F.col("d").alias("at"))), "club_id").where("d < at")
     games = past.groupBy(*at, "game_id").agg(F.min("d").alias("d"))
     games = games.withColumn("back", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("d"), F.desc("game_id"))))
     last = games.where("back = 1").select(*at, F.col("d").alias("t"), F.col("game_id").alias("last_game")).where(F.datediff("at", "t") <= params.player_gap_days)
     recent = past.join(games.where(F.col("back") <= params.player_matches).select(*at, "game_id"), [*at, "game_id"])
     minutes = recent.groupBy(*at, "player_id").agg(F.sum("minutes").alias("minutes"))
     ranked = minutes.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("minutes"), "player_id"))).where(F.col("rank") <= params.xi_size + params.bench_size)
-    ranked = ranked.select(*at, "player_id", (F.col("rank") <= params.xi_size).alias("xi")).join(last, at)
+    # read several times below; some twenty rows of each club day
+    ranked = checkpointed(ranked.select(*at, "player_id", (F.col("rank") <= params.xi_size).alias("xi")).join(last, at))
     one = [*at, "player_id"]
-    seen = ranked.join(valuations, "player_id").where("d <= t").groupBy(*one, "t").agg(F.max(F.struct("d", "value_eur")).alias("v"))
+    seen = ranked.join(of(valuations, ranked, "player_id"), "player_id").where("d <= t").groupBy(*one, "t").agg(F.max(F.struct("d", "value_eur")).alias("v"))
     values = seen.where(F.datediff("t", "v.d") <= params.valuation_max_age).select(*one, F.col("v.value_eur").alias("value"))
-    own = appearances.select("player_id", F.col("d").alias("day"), F.col("minutes").alias("m"), (F.col("goals") + F.col("assists")).alias("ga"), "uefa")
+    own = of(appearances, ranked, "player_id").select("player_id", F.col("d").alias("day"), F.col("minutes").alias("m"), (F.col("goals") + F.col("assists")).alias("ga"), "uefa")
     ago = F.datediff("t", "day")
     did = ranked.join(own, "player_id").where("day <= t").groupBy(*one).agg(
         F.sum(F.when(ago < params.production_days, F.col("m"))).alias("m"), F.sum(F.when(ago < params.production_days, F.col("ga"))).alias("ga"), F.count_if((ago < params.uefa_experience_days) & F.col("uefa").cast("boolean")).alias("games")
     )
-    here = appearances.select("club_id", F.col("game_id").alias("last_game"), "player_id", F.col("minutes").alias("now"))
-    full = ranked.join(values, one, "left").join(did, one, "left").join(here, ["club_id", "last_game", "player_id"], "left").join(players, "player_id", "left")
-    mine = lambda c: F.when(F.col("xi"), c)
+    here = mine.select("club_id", F.col("game_id").alias("last_game"), "player_id", F.col("minutes").alias("now"))
+    full = ranked.join(values, one, "left").join(did, one, "left").join(here, ["club_id", "last_game", "player_id"], "left").join(of(players, ranked, "player_id"), "player_id", "left")
+    first = lambda c: F.when(F.col("xi"), c)
     lines = {"att": "Attack", "mid": "Midfield", "def": "Defender", "gk": "Goalkeeper"}
     sums = full.groupBy(*at, "t").agg(
-        F.sum(mine(F.col("value"))).alias("total"), F.count(mine(F.col("value"))).alias("n"), F.max(mine(F.col("value"))).alias("most"), F.sum(F.when(~F.col("xi"), F.col("value"))).alias("bench"), F.count(F.when(~F.col("xi"), F.col("value"))).alias("n_bench"),
-        *[F.sum(mine(F.when(F.col("pos") == p, F.col("value")))).alias(n) for n, p in lines.items()], F.sum(mine(F.col("m"))).alias("m"), F.sum(mine(F.col("ga"))).alias("ga"),
-        F.avg(mine(F.datediff("t", "born") / 365.25)).alias("xi_age"), F.avg(mine(F.coalesce("games", F.lit(0)))).alias("xi_uefa_apps"), F.sum(mine(F.when(F.col("now") >= params.continuity_minutes, F.col("value")))).alias("kept"),
+        F.sum(first(F.col("value"))).alias("total"), F.count(first(F.col("value"))).alias("n"), F.max(first(F.col("value"))).alias("most"), F.sum(F.when(~F.col("xi"), F.col("value"))).alias("bench"), F.count(F.when(~F.col("xi"), F.col("value"))).alias("n_bench"),
+        *[F.sum(first(F.when(F.col("pos") == p, F.col("value")))).alias(n) for n, p in lines.items()], F.sum(first(F.col("m"))).alias("m"), F.sum(first(F.col("ga"))).alias("ga"),
+        F.avg(first(F.datediff("t", "born") / 365.25)).alias("xi_age"), F.avg(first(F.coalesce("games", F.lit(0)))).alias("xi_uefa_apps"), F.sum(first(F.when(F.col("now") >= params.continuity_minutes, F.col("value")))).alias("kept"),
     )
     both = sums.join(index, month_start("t") == F.col("month"), "left")
     enough = F.col("n") >= params.xi_min_valued
